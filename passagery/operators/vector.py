@@ -23,6 +23,7 @@ DIGITS = 9
 SCALE = 10**DIGITS
 BLOCK_BYTES = 64 << 20
 COMPACT_ROWS = 1 << 20
+SKIPPED = -(1 << 62)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -67,10 +68,10 @@ class _Best:
                 for column, chunk in enumerate(ids.tolist()):
                     row = self.position.get(chunk)
                     if row is not None and start <= row < start + len(block):
-                        key[row - start, column] = np.iinfo(np.int64).min
+                        key[row - start, column] = SKIPPED
             take = min(self.k, n)
             best = np.argpartition(-key, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(block), 1))
-            chosen = np.take_along_axis(key, best, axis=1) > np.iinfo(np.int64).min
+            chosen = np.take_along_axis(key, best, axis=1) > SKIPPED
             rows = np.repeat(np.arange(start, start + len(block)), take).reshape(len(block), take)
             found = np.take_along_axis(score, best, axis=1)
             self.parts.append((rows[chosen], found[chosen], ids[best[chosen]]))
@@ -202,12 +203,11 @@ def build_cluster_index(
     chunks: DataFrame, n_clusters: int = 16, id_col: str = "chunk_id", seed: int = 7, max_iter: int = 8
 ) -> ClusterIndex:
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
-    rows = chunks.filter(F.col("embedding").isNotNull())
-    model = KMeans(featuresCol="embedding", predictionCol="cluster", k=n_clusters, seed=seed, maxIter=max_iter).fit(
-        rows.select("embedding")
-    )
-    return ClusterIndex(model.transform(rows), np.array(model.clusterCenters()), id_col)
+    rows = chunks.filter(F.col("embedding").isNotNull()).withColumn("point", array_to_vector("embedding"))
+    model = KMeans(featuresCol="point", predictionCol="cluster", k=n_clusters, seed=seed, maxIter=max_iter).fit(rows.select("point"))
+    return ClusterIndex(model.transform(rows).drop("point"), np.array(model.clusterCenters()), id_col)
 
 
 def nearest_clusters(queries: DataFrame, centres: np.ndarray, n_probe: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text",)
+AREAS = ("text", "retrieval", "fusion", "catalog", "chat")
 
 
 def load_all() -> None:

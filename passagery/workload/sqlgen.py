@@ -113,7 +113,7 @@ def hashed(source: str, key: str, name: str) -> str:
 
 def cosine(a: str, b: str) -> str:
     norm = f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
-    return f"(CASE WHEN {norm} = 0 THEN 0.0 ELSE round(list_dot_product({a}, {b}) / {norm}, 9) END)"
+    return f"(CASE WHEN {norm} = 0 THEN 0.0 ELSE round(list_dot_product({a}, {b}) / {norm}, 9) + 0.0 END)"
 
 
 VECTORS = hashed("chunks", "chunk_id", "cv") + "," + hashed("queries", "query_id", "qv") + f""",
