@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("text", "retrieval", "fusion", "catalog", "chat")
+AREAS = ("text", "retrieval", "fusion", "catalog", "chat", "streams")
 
 
 def load_all() -> None:

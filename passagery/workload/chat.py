@@ -25,8 +25,8 @@ def stored_documents(t: Tables):
 
 
 @query(f"""WITH {S.CHUNKS} SELECT doc_id, kb_id, lang <> 'es' AS success, CASE WHEN lang = 'es' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-  CASE WHEN lang = 'es' THEN 'no text in document' END AS message, CASE WHEN lang = 'es' THEN 0 ELSE count(*) END AS chunk_count
-FROM chunks GROUP BY ALL""")
+  CASE WHEN lang = 'es' THEN 'no text in document' END AS message, CASE WHEN lang = 'es' THEN 0 ELSE n END AS chunk_count
+FROM (SELECT doc_id, kb_id, lang, count(*) AS n FROM chunks GROUP BY doc_id, kb_id, lang)""")
 def ingest_results(t: Tables):
     return PI.ingest(stored_documents(t))[0]
 
@@ -220,8 +220,8 @@ def streamed_answers(t: Tables):
     return X.assemble_stream(partial_events(t), "[tag]")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0.7 WHEN o_orderpriority LIKE '1%' THEN 0.0 END AS value FROM orders WHERE o_orderstatus <> 'P'
-UNION ALL SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0.2 WHEN o_orderpriority LIKE '5%' THEN NULL ELSE 0.5 END FROM orders WHERE o_orderstatus = 'P'""")
+@query("""SELECT o_orderkey, value::DOUBLE AS value FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0.7 WHEN o_orderpriority LIKE '1%' THEN 0.0 END AS value FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 0.2 WHEN o_orderpriority LIKE '5%' THEN NULL ELSE 0.5 END FROM orders WHERE o_orderstatus = 'P')""")
 def setting_precedence(t: Tables):
     spark = t.spark
     asked = t.orders.select(
