@@ -1,113 +1,221 @@
 """BM25 over a batch of queries.
 
-The corpus is hash-partitioned by chunk once. Term counts, matching and score sums are all keyed by chunk, so
-they run in that one partitioning; no data moves by term and a term found in every chunk costs nothing extra.
-Only the best k rows per task and query are shuffled for the final ranking.
+The index keeps one row per chunk with its terms and their counts, made row by row without a shuffle. Searching
+scans it once: a task scores its chunks against all query terms and keeps the best k per query, so neither postings
+nor (query, chunk) pairs are shuffled, and a term found in every chunk is no hot key. Query terms are broadcast
+after their number has been checked; a larger query set is joined by salted term instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from passagery import constants as K
-from passagery.functions import text as T
+from passagery.functions import text as X
+from passagery.operators.topk import BLOCK_BYTES, BestK, to_numpy
+from passagery.session import materialize
 
 SCOPE = "scope"
+DIGITS = 6
+SCALE = 10**DIGITS
+MAX_BLOCK_ROWS = 1 << 16
+BROADCAST_TERMS = 1_000_000
+SALTS = 16
 
 
 @dataclass
 class Bm25Index:
-    """`postings` (scope, chunk_id, term, tf, dl), `terms` (scope, term, df), `stats` (scope, n, avg_dl)."""
+    """`forward`: one row per chunk (scope, id, dl, terms, tfs, carried columns)."""
 
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-    id_col: str
+    forward: DataFrame
+    id_col: str = "chunk_id"
+
+    @property
+    def postings(self) -> DataFrame:
+        pairs = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
+        return self.forward.select(SCOPE, self.id_col, "dl", pairs).select(
+            SCOPE, self.id_col, "dl", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf")
+        )
+
+    @property
+    def terms(self) -> DataFrame:
+        listed = self.forward.select(SCOPE, F.explode("terms").alias("term"))
+        return listed.groupBy(SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.forward.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
+
+
+def term_counts(tokens: Column) -> Column:
+    """Distinct terms of one text with their counts, as strings of equal neighbours in the sorted token list."""
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(tokens), " "), F.lit("(\\S+)(?: \\1(?= |\\z))*"), 0)
+    return F.transform(runs, lambda r: F.struct(F.substring_index(r, " ", 1).alias("term"), F.length(r).alias("n")))
 
 
 def build_bm25_index(
-    chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", scope: str | None = None
+    chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", scope: str | None = None,
+    carry: list[str] | None = None, settle: bool = True,
 ) -> Bm25Index:
-    """Statistics are kept per `scope` (one knowledge base is one collection); without it there is one scope."""
+    """Statistics are kept per `scope` (one knowledge base is one collection); without it there is one scope.
+
+    `carry` keeps columns for filtering. With `settle` the rows are written once, as searching reads them twice.
+    """
     scope_value = F.col(scope) if scope else F.lit(0)
-    base = (
-        chunks.select(scope_value.alias(SCOPE), id_col, T.tokens(F.col(text_col)).alias("tokens"))
-        .withColumn("dl", F.size("tokens"))
-        .repartition(id_col)
-    )
-    postings = (
-        base.select(SCOPE, id_col, "dl", F.explode("tokens").alias("term"))
-        .groupBy(id_col, SCOPE, "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    counted = chunks.select(
+        scope_value.alias(SCOPE), id_col, *(carry or []), X.tokens(F.col(text_col)).alias("tokens")
+    ).withColumn("counts", term_counts(F.col("tokens")))
+    forward = counted.select(
+        SCOPE, id_col, *(carry or []), F.size("tokens").alias("dl"), F.transform("counts", lambda c: c["term"]).alias("terms"),
+        F.transform("counts", lambda c: ((c["n"] + 1) / (F.length(c["term"]) + 1)).cast("int")).alias("tfs"),
     )
-    terms = postings.groupBy(SCOPE, "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = base.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
-    return Bm25Index(postings, terms, stats, id_col)
+    return Bm25Index(materialize(forward, "bm25") if settle else forward, id_col)
 
 
-def save_bm25_index(index: Bm25Index, name: str, buckets: int = 200) -> None:
-    """Store the index: postings bucketed by chunk (no shuffle when searched), statistics beside them."""
-    index.postings.write.mode("overwrite").bucketBy(buckets, index.id_col).sortBy(index.id_col).saveAsTable(f"{name}_postings")
-    index.terms.write.mode("overwrite").saveAsTable(f"{name}_terms")
-    index.stats.write.mode("overwrite").saveAsTable(f"{name}_stats")
+def save_bm25_index(index: Bm25Index, path: str) -> None:
+    """Store the index by scope, so that a search of a few knowledge bases reads only their folders."""
+    index.forward.write.mode("overwrite").partitionBy(SCOPE).parquet(path)
 
 
-def load_bm25_index(spark: SparkSession, name: str, id_col: str = "chunk_id") -> Bm25Index:
-    return Bm25Index(spark.table(f"{name}_postings"), spark.table(f"{name}_terms"), spark.table(f"{name}_stats"), id_col)
+def load_bm25_index(spark: SparkSession, path: str, id_col: str = "chunk_id") -> Bm25Index:
+    return Bm25Index(spark.read.parquet(path), id_col)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
-def term_weight(tf: Column, dl: Column, avg_dl: Column, k1: float, b: float) -> Column:
-    return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / avg_dl))
-
-
 def query_terms(queries: DataFrame, query_id: str = "query_id", text_col: str = "text") -> DataFrame:
     """Terms of each query with their number of occurrences; a `scope` column restricts a query to one scope."""
     keys = [query_id] + ([SCOPE] if SCOPE in queries.columns else [])
     return (
-        queries.select(*keys, F.explode(T.tokens(F.col(text_col))).alias("term"))
+        queries.select(*keys, F.explode(X.tokens(F.col(text_col))).alias("term"))
         .groupBy(*keys, "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
 
 
-def bm25_scores(
-    queries: DataFrame,
-    index: Bm25Index,
-    k1: float = K.BM25_K1,
-    b: float = K.BM25_B,
-    query_id: str = "query_id",
-    salts: int = 1,
-) -> DataFrame:
-    """Scores of all matching chunks.
-
-    Query terms are joined to postings by broadcast when Catalyst finds them small. For a query set too large for
-    that, `salts` spreads each term over that many join keys, so that a frequent term is not one partition.
-    """
-    scoped = SCOPE in queries.columns
-    term_keys = [SCOPE, "term"] if scoped else ["term"]
+def weighted_terms(queries: DataFrame, index: Bm25Index, query_id: str = "query_id") -> DataFrame:
+    """Rows (query, scope, term, avg_dl, weight). Only terms that some query has are counted in the index."""
     wanted = query_terms(queries, query_id)
-    weights = index.terms.join(index.stats, SCOPE).select(
-        SCOPE, "term", "avg_dl", idf(F.col("n"), F.col("df")).alias("idf")
-    )
-    weighted = wanted.join(weights, term_keys).select(
+    keys = [SCOPE, "term"] if SCOPE in queries.columns else ["term"]
+    used = index.terms.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    weights = used.join(index.stats, SCOPE).select(SCOPE, "term", "avg_dl", idf(F.col("n"), F.col("df")).alias("idf"))
+    return wanted.join(weights, keys).select(
         query_id, SCOPE, "term", "avg_dl", (F.col("idf") * F.col("qtf")).alias("weight")
     )
-    postings, keys = index.postings, [SCOPE, "term"]
-    if salts > 1:
-        postings = postings.withColumn("salt", F.pmod(F.xxhash64(index.id_col), F.lit(salts)).cast("int"))
-        weighted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys = keys + ["salt"]
-    gain = F.col("weight") * term_weight(F.col("tf"), F.col("dl"), F.col("avg_dl"), k1, b)
+
+
+class _ScopeTerms:
+    """Query terms of one scope: for each term the queries that have it and their weights."""
+
+    def __init__(self, terms: np.ndarray, slots: np.ndarray, weights: np.ndarray, avg_dl: float) -> None:
+        vocabulary, codes = np.unique(terms, return_inverse=True)
+        order = np.argsort(codes, kind="stable")
+        self.vocabulary = pa.array(vocabulary, pa.string())
+        self.slots, self.weights, self.avg_dl = slots[order], weights[order], avg_dl
+        self.starts = np.searchsorted(codes[order], np.arange(len(vocabulary) + 1))
+
+
+def _scope_scores(scope: _ScopeTerms, rows: np.ndarray, codes: np.ndarray, tf: np.ndarray, dl: np.ndarray, n: int, n_slots: int, k1: float, b: float):
+    """Dense scores (query, chunk) of one block from its matching postings."""
+    gain = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl[rows] / scope.avg_dl))
+    width = np.diff(scope.starts)[codes]
+    posting = np.repeat(np.arange(len(codes)), width)
+    entry = np.arange(len(posting)) - np.repeat(np.cumsum(width) - width, width) + scope.starts[codes][posting]
+    place = scope.slots[entry] * n + rows[posting]
+    return np.bincount(place, scope.weights[entry] * gain[posting], minlength=n_slots * n).reshape(n_slots, n)
+
+
+def _scan(index: Bm25Index, weighted: pa.Table, k: int, k1: float, b: float, query_id: str, query_type: T.DataType) -> DataFrame:
+    """Score every chunk against the broadcast query terms; each task emits at most k rows per query and scope."""
+    frame = weighted.to_pandas()
+    slot_rows = frame[[query_id, SCOPE]].drop_duplicates().reset_index(drop=True)
+    slot_no = slot_rows.reset_index().merge(frame, on=[query_id, SCOPE])
+    scopes = {}
+    local = {}
+    for value, part in slot_no.groupby(SCOPE):
+        numbers = np.unique(part["index"].to_numpy())
+        local[value] = numbers
+        scopes[value] = _ScopeTerms(
+            part["term"].to_numpy(), np.searchsorted(numbers, part["index"].to_numpy()), part["weight"].to_numpy(), float(part["avg_dl"].iloc[0])
+        )
+    query_values, scope_values = slot_rows[query_id].to_numpy(), slot_rows[SCOPE].to_numpy()
+    id_col = index.id_col
+    forward = index.forward.select(SCOPE, id_col, "dl", "terms", "tfs")
+    fields = [
+        T.StructField(query_id, query_type), T.StructField(SCOPE, forward.schema[SCOPE].dataType),
+        T.StructField(id_col, forward.schema[id_col].dataType), T.StructField("score", T.DoubleType()),
+    ]
+    shared = forward.sparkSession.sparkContext.broadcast((scopes, local, query_values, scope_values))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scopes, local, query_values, scope_values = shared.value
+        best = BestK(k)
+        types = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = types or (batch.column(0).type, batch.column(1).type)
+            owner = to_numpy(batch.column(0))
+            for value in np.unique(owner):
+                if value not in scopes:
+                    continue
+                numbers = local[value]
+                limit = min(MAX_BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * len(numbers))))
+                mine = batch.filter(pa.array(owner == value))
+                for start in range(0, mine.num_rows, limit):
+                    _score_block(mine.slice(start, limit), scopes[value], numbers, best, k1, b)
+        found = best.result()
+        if found is not None:
+            slots, score, ids = found
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query_values[slots]), pa.array(scope_values[slots], types[0]), pa.array(ids, types[1]), pa.array(score / SCALE)],
+                names=[query_id, SCOPE, id_col, "score"],
+            )
+
+    return forward.mapInArrow(scan, T.StructType(fields))
+
+
+def _score_block(block: pa.RecordBatch, scope: _ScopeTerms, numbers: np.ndarray, best: BestK, k1: float, b: float) -> None:
+    ids = to_numpy(block.column(1))
+    order = np.argsort(ids, kind="stable")
+    block = block.take(pa.array(order))
+    n, terms = block.num_rows, block.column(3)
+    codes = pc.index_in(terms.flatten(), value_set=scope.vocabulary)
+    hit = codes.is_valid().to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(n), lengths)[hit]
+    codes = codes.drop_null().to_numpy()
+    tf = block.column(4).flatten().to_numpy(zero_copy_only=False)[hit].astype(np.float64)
+    dl = to_numpy(block.column(2)).astype(np.float64)
+    score = _scope_scores(scope, rows, codes, tf, dl, n, len(numbers), k1, b)
+    scaled = np.rint(score * SCALE).astype(np.int64)
+    part = BestK(best.k)
+    part.add(0, scaled, ids[order], score == 0.0)
+    for slots, found, names in part.parts:
+        best.parts.append((numbers[slots], found, names))
+        best.rows += len(slots)
+    if best.rows > 1 << 20:
+        best.compact()
+
+
+def _joined(index: Bm25Index, weighted: DataFrame, k1: float, b: float, query_id: str, salts: int) -> DataFrame:
+    """The relational form for a query set too large to broadcast: every term is spread over `salts` join keys."""
+    salt = F.pmod(F.xxhash64(index.id_col), F.lit(salts)).cast("int")
+    salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    tf, relative = F.col("tf"), F.col("dl") / F.col("avg_dl")
+    gain = F.col("weight") * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * relative))
     return (
-        postings.join(weighted, keys)
-        .groupBy(index.id_col, query_id, SCOPE)
-        .agg(F.round(F.sum(gain), 9).alias("score"))
+        index.postings.withColumn("salt", salt).join(salted, [SCOPE, "term", "salt"])
+        .groupBy(query_id, SCOPE, index.id_col)
+        .agg(F.round(F.sum(gain), DIGITS).alias("score"))
     )
 
 
@@ -117,17 +225,26 @@ def bm25_search(
     k: int = K.SEARCH_K,
     k1: float = K.BM25_K1,
     b: float = K.BM25_B,
-    where: DataFrame | None = None,
+    where: Column | DataFrame | None = None,
     query_id: str = "query_id",
-    salts: int = 1,
+    broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
     """Top-k per query (and scope): rows (query_id, scope, chunk_id, score, rank).
 
-    `where` is a set of allowed chunk ids; it is applied before ranking, statistics stay those of the collection.
+    `where` is a predicate over carried columns or a set of allowed chunk ids. It applies before ranking; the
+    statistics stay those of the collection.
     """
     k = k if k > 0 else K.SEARCH_K
-    scores = bm25_scores(queries, index, k1, b, query_id, salts)
-    if where is not None:
-        scores = scores.join(where.select(index.id_col), index.id_col, "left_semi")
+    weighted = materialize(weighted_terms(queries, index, query_id), "terms")
+    searched = index
+    if isinstance(where, DataFrame):
+        searched = Bm25Index(index.forward.join(where.select(index.id_col), index.id_col, "left_semi"), index.id_col)
+    elif where is not None:
+        searched = Bm25Index(index.forward.filter(where), index.id_col)
+    few = weighted.limit(broadcast_terms + 1).toArrow() if broadcast_terms > 0 else None
+    if few is not None and few.num_rows <= broadcast_terms:
+        scores = _scan(searched, few, k, k1, b, query_id, queries.schema[query_id].dataType)
+    else:
+        scores = _joined(searched, weighted, k1, b, query_id, SALTS)
     order = Window.partitionBy(query_id, SCOPE).orderBy(F.col("score").desc(), F.col(index.id_col))
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -18,12 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from passagery import constants as K
+from passagery.operators.topk import BLOCK_BYTES, BestK, to_numpy
 
 DIGITS = 9
 SCALE = 10**DIGITS
-BLOCK_BYTES = 64 << 20
-COMPACT_ROWS = 1 << 20
-SKIPPED = -(1 << 62)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -40,62 +38,33 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
-def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.to_numpy(zero_copy_only=False)
-
-
 class _Best:
-    """Best k (score, id) per query over the blocks of one task."""
+    """Best rows per query of one task."""
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool) -> None:
-        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.query_ids, self.queries, self.best = query_ids, queries, BestK(k)
         self.position = {q: i for i, q in enumerate(query_ids.tolist())} if skip_self else None
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.rows = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
-        n = len(ids)
-        step = max(1, BLOCK_BYTES // max(8 * n, 1))
+        step = max(1, BLOCK_BYTES // (8 * len(ids)))
         for start in range(0, len(self.queries), step):
             block = self.queries[start : start + step]
             score = np.rint(block @ vectors.T * SCALE).astype(np.int64)
-            key = (score << 22) - np.arange(n)
+            skip = None
             if self.position is not None:
-                for column, chunk in enumerate(ids.tolist()):
-                    row = self.position.get(chunk)
-                    if row is not None and start <= row < start + len(block):
-                        key[row - start, column] = SKIPPED
-            take = min(self.k, n)
-            best = np.argpartition(-key, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(block), 1))
-            chosen = np.take_along_axis(key, best, axis=1) > SKIPPED
-            rows = np.repeat(np.arange(start, start + len(block)), take).reshape(len(block), take)
-            found = np.take_along_axis(score, best, axis=1)
-            self.parts.append((rows[chosen], found[chosen], ids[best[chosen]]))
-            self.rows += int(chosen.sum())
-        if self.rows > COMPACT_ROWS:
-            self.compact()
-
-    def compact(self) -> None:
-        if not self.parts:
-            return
-        rows, score, ids = (np.concatenate(x) for x in zip(*self.parts))
-        _, ordinal = np.unique(ids, return_inverse=True)
-        order = np.lexsort((ordinal, -score, rows))
-        rows, score, ids = rows[order], score[order], ids[order]
-        starts = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - starts < self.k
-        self.parts = [(rows[keep], score[keep], ids[keep])]
-        self.rows = int(keep.sum())
+                own = np.array([self.position.get(c, -1) for c in ids.tolist()]) - start
+                here = np.flatnonzero((own >= 0) & (own < len(block)))
+                skip = np.zeros(score.shape, dtype=bool)
+                skip[own[here], here] = True
+            self.best.add(start, score, ids, skip)
 
     def table(self, schema: pa.Schema) -> pa.RecordBatch:
-        self.compact()
-        if not self.parts:
+        found = self.best.result()
+        if found is None:
             return pa.RecordBatch.from_pylist([], schema=schema)
-        rows, score, ids = self.parts[0]
+        rows, score, ids = found
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(self.query_ids[rows], schema.field(0).type),
@@ -135,8 +104,8 @@ def _cell_topk(cells_q: DataFrame, cells_c: DataFrame, keys: list[str], schemas,
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return arrow_schema.empty_table()
-        best = _Best(_ids(left.column(width)), _matrix(left.column(width + 1), dim), k, skip_self)
-        best.add(_ids(right.column(width)), _matrix(right.column(width + 1), dim))
+        best = _Best(to_numpy(left.column(width)), _matrix(left.column(width + 1), dim), k, skip_self)
+        best.add(to_numpy(right.column(width)), _matrix(right.column(width + 1), dim))
         return pa.Table.from_batches([best.table(arrow_schema)])
 
     return cells_q.groupBy(*keys).cogroup(cells_c.groupBy(*keys)).applyInArrow(meet, spark_schema)
@@ -174,13 +143,13 @@ def vector_search(
     limit = max(broadcast_bytes // (8 * dim), 1)
     head = q.limit(limit + 1).toArrow()
     if head.num_rows <= limit:
-        shared = q.sparkSession.sparkContext.broadcast((_ids(head.column(0)), _matrix(head.column(1), dim)))
+        shared = q.sparkSession.sparkContext.broadcast((to_numpy(head.column(0)), _matrix(head.column(1), dim)))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(*shared.value, k, skip_self)
             for batch in batches:
                 if batch.num_rows:
-                    best.add(_ids(batch.column(0)), _matrix(batch.column(1), dim))
+                    best.add(to_numpy(batch.column(0)), _matrix(batch.column(1), dim))
             yield best.table(arrow_schema)
 
         return _final(c.mapInArrow(scan, spark_schema), query_id, id_col, k)

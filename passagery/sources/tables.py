@@ -13,3 +13,9 @@ TABLES = (
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Columnar scan; projections and filters applied later are pushed into it."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of an input with fewer splits than cores, dealt out by key; a larger input is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,8 @@ from passagery.functions import text as T
 from passagery.operators import chunking as C, embedding as E
 from passagery.operators.keyword import Bm25Index, build_bm25_index
 from passagery.plans.search import Corpus
+from passagery.session import materialize
+from passagery.sources.tables import spread
 from passagery.workload.registry import Tables
 
 
@@ -15,12 +17,21 @@ def kb_of_source(source: str = "source"):
     return F.regexp_extract(source, "([0-9]+)", 1).cast("int")
 
 
+def documents(t: Tables) -> DataFrame:
+    return spread(t.documents, "doc_id")
+
+
 def corpus_chunks(t: Tables) -> DataFrame:
     """Text-model chunks of all documents; the source of a document is its knowledge base."""
-    docs = t.documents.select("doc_id", "lang", kb_of_source().alias("kb_id"), "text")
+    docs = documents(t).select("doc_id", "lang", kb_of_source().alias("kb_id"), "text")
     return C.chunk_text_model(docs).withColumn("text_hash", T.text_hash(F.col("text")))
 
 
+def stored_chunks(t: Tables) -> DataFrame:
+    """The chunk table as it lies in storage: chunked once, then read column by column."""
+    return materialize(corpus_chunks(t), "chunks")
+
+
 def benchmark_queries(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
@@ -30,8 +41,8 @@ def embedded_queries(t: Tables) -> DataFrame:
 
 
 def embedded_corpus(t: Tables) -> Corpus:
-    chunks = corpus_chunks(t)
-    return Corpus(E.embed(chunks), build_bm25_index(chunks))
+    chunks = materialize(E.embed(corpus_chunks(t)), "chunks")
+    return Corpus(chunks, build_bm25_index(chunks))
 
 
 def corpus_index(t: Tables, scope: str | None = None) -> Bm25Index:

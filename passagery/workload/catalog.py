@@ -229,12 +229,12 @@ def document_status_facets(t: Tables):
 
 @query(f"WITH {S.CHUNKS} SELECT doc_id, (SELECT count(*) FROM chunks c WHERE c.doc_id = d.doc_id) AS chunk_count FROM documents d")
 def document_chunk_counts(t: Tables):
-    return D.chunk_counts(t.documents.select("doc_id"), C.chunk_text_model(t.documents.select("doc_id", "text")))
+    return D.chunk_counts(t.documents.select("doc_id"), C.chunk_text_model(base.documents(t).select("doc_id", "text")))
 
 
 @query(f"WITH {S.CHUNKS} SELECT doc_id, chunk_index, md5(text) AS text_md5 FROM chunks ORDER BY doc_id, chunk_index")
 def chunks_in_order(t: Tables):
-    return D.get_chunks(C.chunk_text_model(t.documents.select("doc_id", "text"))).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
+    return D.get_chunks(C.chunk_text_model(base.documents(t).select("doc_id", "text"))).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
 
 
 @query("""WITH v AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'v' || o_custkey || '.2.3' WHEN 2 THEN o_custkey || '.5'
@@ -327,7 +327,7 @@ def version_diff(t: Tables):
         .when(F.col("lang") == "en", F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
     )
     hashed = lambda df: C.chunk_text_model(df).withColumn("text_hash", T.text_hash(F.col("text")))
-    docs = t.documents.select("doc_id", "lang", "text")
+    docs = base.documents(t).select("doc_id", "lang", "text")
     return V.compare_versions(hashed(docs), hashed(docs.withColumn("text", text)))
 
 

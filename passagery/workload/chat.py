@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from passagery import constants as K
 from passagery.functions import codes, text as T
 from passagery.operators import chunking as C, context as X, dashboard as J, fusion, indexing as I, sessions as H
-from passagery.operators.keyword import bm25_search
+from passagery.operators.keyword import bm25_search, build_bm25_index
 from passagery.plans import chat as PC, ingest as PI, search as P
 from passagery.session import scratch_path
 from passagery.sources import files, sinks
@@ -85,8 +85,9 @@ def reprocessed_kb(t: Tables):
 
 
 def ranked_chunks(t: Tables, k: int = 10):
-    hits = bm25_search(base.benchmark_queries(t), base.corpus_index(t), k)
-    return P.attach(hits, base.corpus_chunks(t), ["doc_id", "kb_id", "text"])
+    chunks = base.stored_chunks(t)
+    hits = bm25_search(base.benchmark_queries(t), build_bm25_index(chunks), k)
+    return P.attach(hits, chunks, ["doc_id", "kb_id", "text"])
 
 
 TOKENS = "(length({0}) // 4)"
@@ -103,12 +104,12 @@ def assembled_contexts(t: Tables):
     return rows.select("query_id", "context", "used_tokens", F.size("citations").alias("n_citations"))
 
 
-@query(CONTEXT_SQL + """ SELECT query_id, rank AS "index", doc_id AS "docId", kb_id::BIGINT AS "kbId", chunk_id AS "chunkId", md5(text) AS snippet_md5, round(score, 5) AS score FROM fit""")
+@query(CONTEXT_SQL + """ SELECT query_id, rank AS "index", doc_id AS "docId", kb_id::BIGINT AS "kbId", chunk_id AS "chunkId", md5(text) AS snippet_md5, round(score, 6) AS score FROM fit""")
 def citation_rows(t: Tables):
     """Citations written as JSON and read back."""
     done = X.assemble_context(ranked_chunks(t), 1200).select("query_id", X.citations_json(F.col("citations")).alias("citations"))
     rows = X.explode_citations(done)
-    return rows.select("query_id", "index", "docId", "kbId", "chunkId", F.md5("snippet").alias("snippet_md5"), F.round("score", 5).alias("score"))
+    return rows.select("query_id", "index", "docId", "kbId", "chunkId", F.md5("snippet").alias("snippet_md5"), F.round("score", 6).alias("score"))
 
 
 def stored_answers(t: Tables):

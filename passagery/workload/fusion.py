@@ -8,6 +8,7 @@ from passagery.functions.text import text_hash
 from passagery.operators import chunking as C, fusion as X
 from passagery.operators.keyword import bm25_search, build_bm25_index
 from passagery.plans import search as P
+from passagery.session import materialize
 from passagery.workload import base, sqlgen as S
 from passagery.workload.registry import Tables, query
 from passagery.workload.retrieval import FUSED_SQL, SCATTER_SQL, scattered
@@ -103,15 +104,16 @@ one AS (SELECT * FROM twice QUALIFY row_number() OVER (PARTITION BY query_id, ch
 
 
 @query(S.retrieval(S.bm25("kb_id"), SCATTER_SQL, S.top("hits", 4, "r", "query_id, scope", "query_id, scope, chunk_id, score, kb_pos"), CROSS_SQL)
-       + " SELECT query_id, chunk_id, kb_pos, round(score, 4) AS score FROM one")
+       + " SELECT query_id, chunk_id, kb_pos, round(score, 7) AS score FROM one")
 def cross_kb_dedup(t: Tables):
     """Candidates that reach the pool twice, the second time with a higher score for all but the first rank."""
-    hits = P.multi_kb_recall(scattered(t), base.corpus_index(t, "kb_id"), 4)
+    chunks = base.stored_chunks(t)
+    hits = P.multi_kb_recall(scattered(t), build_bm25_index(chunks, scope="kb_id"), 4)
     placed = hits.join(scattered(t).select("query_id", F.posexplode("kb_ids").alias("kb_pos", "kb_id")), ["query_id", "kb_id"])
     again = placed.filter(F.col("rank") > 1).withColumn("score", F.col("score") * 1.5).withColumn("kb_pos", F.col("kb_pos") + 10)
-    rows = P.attach(placed.unionByName(again), base.corpus_chunks(t), ["doc_id"])
+    rows = P.attach(placed.unionByName(again), chunks, ["doc_id"])
     single = X.dedup_cross_kb(rows.withColumn("position", F.struct("kb_pos", "rank")))
-    return single.select("query_id", "chunk_id", "kb_pos", F.round("score", 4).alias("score"))
+    return single.select("query_id", "chunk_id", "kb_pos", F.round("score", 7).alias("score"))
 
 
 def good_documents(t: Tables):
@@ -140,8 +142,9 @@ rel AS (SELECT r.query_id, r.chunk_id, r.rank AS prior, {COVER} AS relevance FRO
 SELECT query_id, chunk_id, prior, round(relevance, 6) AS relevance, (row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, prior))::INTEGER AS rank
 FROM rel QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, prior) <= 4""")
 def rerank_by_coverage(t: Tables):
-    hits = bm25_search(base.benchmark_queries(t), base.corpus_index(t), 10)
-    rows = P.attach(hits, base.corpus_chunks(t), ["text"]).join(
+    chunks = base.stored_chunks(t)
+    hits = bm25_search(base.benchmark_queries(t), build_bm25_index(chunks), 10)
+    rows = P.attach(hits, chunks, ["text"]).join(
         base.benchmark_queries(t).withColumnRenamed("text", "query_text"), "query_id"
     ).withColumn("prior", F.col("rank"))
     ranked = X.rerank(rows, X.term_coverage(F.col("query_text"), F.col("text")), 4)
@@ -156,8 +159,9 @@ rel AS (SELECT r.*, CASE WHEN length(c.text) > 600 AND length(q.text) > 150 THEN
 SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN any_rel = 1 THEN coalesce(relevance, 0) ELSE 0 END DESC, rank))::INTEGER AS rank FROM rel""")
 def rerank_with_gaps(t: Tables):
     """A scorer that misses some rows (they count 0) and fails for short queries (their order stays)."""
-    hits = bm25_search(base.benchmark_queries(t), base.corpus_index(t), 10)
-    rows = P.attach(hits, base.corpus_chunks(t), ["text", "chunk_index"]).join(
+    chunks = base.stored_chunks(t)
+    hits = bm25_search(base.benchmark_queries(t), build_bm25_index(chunks), 10)
+    rows = P.attach(hits, chunks, ["text", "chunk_index"]).join(
         base.benchmark_queries(t).withColumnRenamed("text", "query_text"), "query_id"
     )
     known = (F.length("text") > 600) & (F.length("query_text") > 150)
@@ -177,7 +181,7 @@ HIER_BM = (
 @query(HIER_BM + """ SELECT r.query_id, r.chunk_id, r.rank, md5(p.text) AS text_md5, true AS parent_enhanced
 FROM r JOIN chunks c USING (chunk_id) JOIN chunks p ON p.chunk_id = c.pid""")
 def parent_texts(t: Tables):
-    corpus = hierarchical_corpus(t)
+    corpus = materialize(hierarchical_corpus(t), "chunks")
     kids = corpus.filter(F.col("chunk_type") == "child")
     hits = bm25_search(base.benchmark_queries(t), build_bm25_index(kids), 5)
     rows = P.attach(hits, corpus, ["text", "chunk_type", "parent_chunk_id"])
@@ -186,13 +190,13 @@ def parent_texts(t: Tables):
 
 
 @query(S.retrieval(S.bm25(), S.top("bm", 10, "r")) + """
-SELECT query_id, chunk_id, round(s, 5) AS score, (row_number() OVER w)::INTEGER AS rank FROM (
+SELECT query_id, chunk_id, round(s, 6) AS score, (row_number() OVER w)::INTEGER AS rank FROM (
   SELECT r.*, CASE WHEN rank % 2 = 0 THEN score * 2 ELSE score END AS s FROM r)
 WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, rank, chunk_id) QUALIFY row_number() OVER w <= 3""")
 def final_ranking(t: Tables):
     hits = bm25_search(base.benchmark_queries(t), base.corpus_index(t), 10)
     rows = hits.withColumn("relevance", F.when(F.col("rank") % 2 == 0, F.col("score") * 2))
-    return X.finalize(rows, 3).select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
+    return X.finalize(rows, 3).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 MULTI_SQL = f"""
@@ -206,7 +210,7 @@ done AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY relevance
 @query(S.retrieval(S.bm25("kb_id"), SCATTER_SQL, S.top("hits", 18, "r", "query_id, scope", "query_id, scope, chunk_id, score, kb_pos"), MULTI_SQL)
        + " SELECT query_id, scope AS kb_id, chunk_id, doc_id, final AS rank, round(relevance, 6) AS relevance FROM done WHERE final <= 3")
 def multi_kb_search(t: Tables):
-    chunks = base.corpus_chunks(t)
+    chunks = base.stored_chunks(t)
     hits = P.multi_search(scattered(t), chunks, build_bm25_index(chunks, scope="kb_id"), 3, good_documents(t), relevance=X.term_coverage)
     return hits.select("query_id", "kb_id", "chunk_id", "doc_id", "rank", F.round("relevance", 6).alias("relevance"))
 

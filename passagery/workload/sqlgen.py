@@ -89,7 +89,7 @@ qtf AS (SELECT query_id, term, count(*) AS qtf FROM qtok GROUP BY ALL),
 bm AS (
   SELECT q.query_id, tf.scope, tf.cid AS chunk_id,
          round(sum(q.qtf * ln(1.0 + (st.n - dfr.df + 0.5) / (dfr.df + 0.5))
-                   * (tf.tf * 2.2) / (tf.tf + 1.2 * (1.0 - 0.75 + 0.75 * dl.dl / st.avg_dl))), 9) AS score
+                   * (tf.tf * 2.2) / (tf.tf + 1.2 * (1.0 - 0.75 + 0.75 * dl.dl / st.avg_dl))), 6) AS score
   FROM qtf q JOIN tf ON tf.term = q.term JOIN dfr ON dfr.term = tf.term AND dfr.scope = tf.scope
   JOIN st ON st.scope = tf.scope JOIN dl ON dl.cid = tf.cid
   GROUP BY ALL

@@ -8,7 +8,8 @@ from passagery import constants as K
 from passagery.functions import codes, text as T
 from passagery.operators import chunking as C
 from passagery.sources.tabular import assemble_parts, table_to_text
-from passagery.workload import sqlgen as S
+from passagery.sources.tables import spread
+from passagery.workload import base, sqlgen as S
 from passagery.workload.registry import Tables, query
 
 FILE_NAMES_SQL = """
@@ -56,7 +57,7 @@ e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;
 f AS (SELECT page_id, regexp_replace(regexp_replace(h, '[ \\t\\r\\f\\x0b]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g') AS h FROM e)
 SELECT page_id, {S.trim("regexp_replace(h, '\\n{2,}', chr(10), 'g')")} AS text FROM f""")
 def page_text(t: Tables):
-    return t.pages.select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return spread(t.pages, "page_id").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 SHEETS_SQL = """
@@ -134,7 +135,7 @@ def json_lists(t: Tables):
 
 @query(f"WITH {S.CHUNKS} SELECT doc_id, chunk_index, chunk_id, length(text) AS n_chars, md5(text) AS text_md5 FROM chunks")
 def text_model_chunks(t: Tables):
-    rows = C.chunk_text_model(t.documents.select("doc_id", "text"))
+    rows = C.chunk_text_model(base.documents(t).select("doc_id", "text"))
     return rows.select(
         "doc_id", "chunk_index", "chunk_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5")
     )
@@ -152,7 +153,7 @@ def multi_part_texts(t: Tables):
         "text", F.when(F.col("role") == "user", F.concat(F.lit("1. "), F.col("text"))).otherwise(F.col("text"))
     )
     parts = assemble_parts(marked, "conv_id", "turn").select(F.col("conv_id").alias("doc_id"), "text")
-    return parts.unionByName(t.documents.select((F.col("doc_id") + 1000000).alias("doc_id"), "text"))
+    return parts.unionByName(base.documents(t).select((F.col("doc_id") + 1000000).alias("doc_id"), "text"))
 
 
 TITLE_SQL = (
@@ -258,7 +259,7 @@ def cleaned_text(t: Tables):
 @query(f"""SELECT doc_id, (i - 1)::INTEGER AS piece_no, md5(ps[i]) AS text_md5 FROM (
   SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, {S.sentences('text', 700)} AS ps FROM documents))""")
 def oversized_cuts(t: Tables):
-    rows = t.documents.select("doc_id", F.posexplode(T.split_oversized(F.col("text"), 700)).alias("piece_no", "p"))
+    rows = base.documents(t).select("doc_id", F.posexplode(T.split_oversized(F.col("text"), 700)).alias("piece_no", "p"))
     return rows.select("doc_id", "piece_no", F.md5("p").alias("text_md5"))
 
 
@@ -275,7 +276,7 @@ def by_strategy(t: Tables):
         F.when(F.col("lang") == "de", "hierarchical-model").when(F.col("lang") == "en", " HIERARCHICAL_MODEL")
         .when(F.col("lang") == "es", "sentences")
     )
-    return C.chunk(t.documents.select("doc_id", "lang", "text"), wish)
+    return C.chunk(base.documents(t).select("doc_id", "lang", "text"), wish)
 
 
 @query(f"""WITH {STRATEGY_SQL}
@@ -322,11 +323,10 @@ def token_estimates(t: Tables):
 SELECT chunk_id, doc_id, kb_id, kb_id % 5 + 1 AS tenant_id, 'v1.0.0' AS version, coalesce(quality, -1) AS owner_flag, chunk_index, text_hash
 FROM chunks LEFT JOIN labels USING (doc_id)""")
 def enriched_chunks(t: Tables):
-    from passagery.workload.base import kb_of_source
-
+    kb_of_source = base.kb_of_source
     owners = t.labels.select("doc_id", "quality")
     docs = t.documents.select(
         "doc_id", kb_of_source().alias("kb_id"), (kb_of_source() % 5 + 1).alias("tenant_id"), F.lit("v1.0.0").alias("version")
     ).join(owners, "doc_id", "left").withColumn("owner_flag", F.coalesce("quality", F.lit(-1)))
-    rows = C.enrich_chunks(C.chunk_text_model(t.documents.select("doc_id", "text")), docs)
+    rows = C.enrich_chunks(C.chunk_text_model(base.documents(t).select("doc_id", "text")), docs)
     return rows.select("chunk_id", "doc_id", "kb_id", "tenant_id", "version", "owner_flag", "chunk_index", "text_hash")
