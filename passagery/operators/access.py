@@ -94,16 +94,23 @@ def list_users(users: DataFrame, bindings: DataFrame, roles: DataFrame, tenants:
 
 
 def list_tenants(requests: DataFrame, bindings: DataFrame, roles: DataFrame, tenants: DataFrame) -> DataFrame:
-    """Tenants each asking user may see: its own bindings, or all of them for a super user.
-
-    The all-tenants list of a super user is one array built once, so nothing is paired row by row.
-    """
+    """Tenants each asking user may see. A super user sees all of them: one row with `sees_all` stands for the list."""
+    asking = flag_super(requests.select("user_id").distinct(), bindings, roles)
     own = bindings.filter(F.col("tenant_id") != K.SUPER_TENANT).select("user_id", "tenant_id").distinct()
-    every = tenants.agg(F.collect_set("tenant_id").alias("ids")).select("ids")
-    flagged = flag_super(requests.select("user_id").distinct(), bindings, roles)
-    plain = flagged.filter(~F.col("is_super")).join(own, "user_id").select("user_id", "tenant_id")
-    full = flagged.filter("is_super").select("user_id", F.explode(every.scalar()).alias("tenant_id"))
-    return plain.unionByName(full).join(tenants.select("tenant_id", "tenant_name"), "tenant_id")
+    named = own.join(tenants.select("tenant_id", "tenant_name"), "tenant_id")
+    plain = asking.filter(~F.col("is_super")).join(named, "user_id").select("user_id", "tenant_id", "tenant_name", F.lit(False).alias("sees_all"))
+    above = asking.filter("is_super").select(
+        "user_id", F.lit(None).cast("int").alias("tenant_id"), F.lit(None).cast("string").alias("tenant_name"), F.lit(True).alias("sees_all")
+    )
+    return plain.unionByName(above)
+
+
+def tenants_for(user_id: int, bindings: DataFrame, roles: DataFrame, tenants: DataFrame) -> DataFrame:
+    """The full list for one asking user."""
+    mine = bindings.filter(F.col("user_id") == user_id)
+    seen = list_tenants(mine, mine, roles, tenants)
+    everything = tenants.filter(F.exists(F.array(seen.filter("sees_all").agg(F.count(F.lit(1)).alias("n")).scalar()), lambda n: n > 0))
+    return everything.unionByName(tenants.join(seen.filter("NOT sees_all"), "tenant_id", "left_semi"))
 
 
 def list_roles(roles: DataFrame, to_super: bool = False) -> DataFrame:

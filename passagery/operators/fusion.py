@@ -134,7 +134,7 @@ def dedup_cross_kb(cands: DataFrame) -> DataFrame:
 def whitelist(cands: DataFrame, allowed: DataFrame) -> DataFrame:
     """Keep candidates of allowed documents; `allowed` holds doc_id, or (query_id, doc_id)."""
     keys = [c for c in ("query_id", "doc_id") if c in allowed.columns]
-    return cands.join(allowed.select(*keys).distinct(), keys, "left_semi")
+    return cands.join(allowed.select(*keys), keys, "left_semi")
 
 
 def similarity_filter(df: DataFrame, threshold: float | None, score: str = "score") -> DataFrame:

@@ -22,7 +22,7 @@ def new_chunks(chunks: DataFrame, existing: DataFrame | None = None, order: list
     kept = rows.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") == 1).drop("copy")
     if existing is None:
         return kept
-    return kept.join(existing.select(*CONTENT_KEY).distinct(), CONTENT_KEY, "left_anti")
+    return kept.join(existing.select(*CONTENT_KEY), CONTENT_KEY, "left_anti")
 
 
 def index_chunks(chunks: DataFrame, existing: DataFrame | None = None, load=hashing_model) -> DataFrame:

@@ -3,7 +3,7 @@
 The index keeps one row per chunk with its terms and their counts, made row by row without a shuffle. Searching
 scans it once: a task scores its chunks against all query terms and keeps the best k per query, so neither postings
 nor (query, chunk) pairs are shuffled, and a term found in every chunk is no hot key. Query terms are broadcast
-after their number has been checked; a larger query set is joined by salted term instead.
+after their number has been checked; a larger query set is met slice by slice in a grid of bounded cells.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagery import constants as K
 from passagery.functions import text as X
@@ -26,7 +27,6 @@ DIGITS = 6
 SCALE = 10**DIGITS
 MAX_BLOCK_ROWS = 1 << 16
 BROADCAST_TERMS = 1_000_000
-SALTS = 16
 
 
 @dataclass
@@ -133,54 +133,89 @@ def _scope_scores(scope: _ScopeTerms, rows: np.ndarray, codes: np.ndarray, tf: n
     return np.bincount(place, scope.weights[entry] * gain[posting], minlength=n_slots * n).reshape(n_slots, n)
 
 
-def _scan(index: Bm25Index, weighted: pa.Table, k: int, k1: float, b: float, query_id: str, query_type: T.DataType) -> DataFrame:
+class _Terms:
+    """Query terms of all scopes, ready for scoring; every (query, scope) is one slot."""
+
+    def __init__(self, weighted: pa.Table) -> None:
+        frame = weighted.to_pandas()
+        frame.columns = ["query", SCOPE, "term", "avg_dl", "weight"]
+        slots = frame[["query", SCOPE]].drop_duplicates().reset_index(drop=True)
+        numbered = slots.reset_index().merge(frame, on=["query", SCOPE])
+        self.queries, self.scope_of = slots["query"].to_numpy(), slots[SCOPE].to_numpy()
+        self.scopes: dict = {}
+        for value, part in numbered.groupby(SCOPE):
+            numbers = np.unique(part["index"].to_numpy())
+            local = np.searchsorted(numbers, part["index"].to_numpy())
+            terms = _ScopeTerms(part["term"].to_numpy(), local, part["weight"].to_numpy(), float(part["avg_dl"].iloc[0]))
+            self.scopes[value] = (terms, numbers)
+
+    def score(self, block: pa.RecordBatch, best: BestK, k1: float, b: float) -> None:
+        """Score chunks (scope, id, dl, terms, tfs); each scope present only against its own query terms."""
+        owner = to_numpy(block.column(0))
+        for value in np.unique(owner):
+            if value not in self.scopes:
+                continue
+            terms, numbers = self.scopes[value]
+            limit = min(MAX_BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * len(numbers))))
+            mine = block.filter(pa.array(owner == value))
+            for start in range(0, mine.num_rows, limit):
+                _score_block(mine.slice(start, limit), terms, numbers, best, k1, b)
+
+    def result(self, best: BestK, schema: pa.Schema) -> pa.RecordBatch:
+        found = best.result()
+        if found is None:
+            return pa.RecordBatch.from_pylist([], schema=schema)
+        slots, score, ids = found
+        columns = [self.queries[slots], self.scope_of[slots], ids, score / SCALE]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _schemas(queries: DataFrame, index: Bm25Index, query_id: str) -> tuple[T.StructType, pa.Schema]:
+    kinds = [(query_id, queries.schema[query_id].dataType), (SCOPE, index.forward.schema[SCOPE].dataType),
+             (index.id_col, index.forward.schema[index.id_col].dataType), ("score", T.DoubleType())]
+    schema = T.StructType([T.StructField(n, t) for n, t in kinds])
+    return schema, to_arrow_schema(schema)
+
+
+def _scan(index: Bm25Index, weighted: pa.Table, k: int, k1: float, b: float, schemas) -> DataFrame:
     """Score every chunk against the broadcast query terms; each task emits at most k rows per query and scope."""
-    frame = weighted.to_pandas()
-    slot_rows = frame[[query_id, SCOPE]].drop_duplicates().reset_index(drop=True)
-    slot_no = slot_rows.reset_index().merge(frame, on=[query_id, SCOPE])
-    scopes = {}
-    local = {}
-    for value, part in slot_no.groupby(SCOPE):
-        numbers = np.unique(part["index"].to_numpy())
-        local[value] = numbers
-        scopes[value] = _ScopeTerms(
-            part["term"].to_numpy(), np.searchsorted(numbers, part["index"].to_numpy()), part["weight"].to_numpy(), float(part["avg_dl"].iloc[0])
-        )
-    query_values, scope_values = slot_rows[query_id].to_numpy(), slot_rows[SCOPE].to_numpy()
-    id_col = index.id_col
-    forward = index.forward.select(SCOPE, id_col, "dl", "terms", "tfs")
-    fields = [
-        T.StructField(query_id, query_type), T.StructField(SCOPE, forward.schema[SCOPE].dataType),
-        T.StructField(id_col, forward.schema[id_col].dataType), T.StructField("score", T.DoubleType()),
-    ]
-    shared = forward.sparkSession.sparkContext.broadcast((scopes, local, query_values, scope_values))
+    spark_schema, arrow_schema = schemas
+    forward = index.forward.select(SCOPE, index.id_col, "dl", "terms", "tfs")
+    shared = forward.sparkSession.sparkContext.broadcast(_Terms(weighted))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scopes, local, query_values, scope_values = shared.value
-        best = BestK(k)
-        types = None
+        terms, best = shared.value, BestK(k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            types = types or (batch.column(0).type, batch.column(1).type)
-            owner = to_numpy(batch.column(0))
-            for value in np.unique(owner):
-                if value not in scopes:
-                    continue
-                numbers = local[value]
-                limit = min(MAX_BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * len(numbers))))
-                mine = batch.filter(pa.array(owner == value))
-                for start in range(0, mine.num_rows, limit):
-                    _score_block(mine.slice(start, limit), scopes[value], numbers, best, k1, b)
-        found = best.result()
-        if found is not None:
-            slots, score, ids = found
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query_values[slots]), pa.array(scope_values[slots], types[0]), pa.array(ids, types[1]), pa.array(score / SCALE)],
-                names=[query_id, SCOPE, id_col, "score"],
-            )
-
-    return forward.mapInArrow(scan, T.StructType(fields))
+            if batch.num_rows:
+                terms.score(batch, best, k1, b)
+        yield terms.result(best, arrow_schema)
+
+    return forward.mapInArrow(scan, spark_schema)
+
+
+def _grid(index: Bm25Index, weighted: DataFrame, n_terms: int, limit: int, block_rows: int, k: int, k1: float, b: float, query_id: str, schemas) -> DataFrame:
+    """The same for a query set too large to broadcast: slices of the queries meet blocks of the chunks in cells
+    of bounded size, and each cell emits its best k rows per query."""
+    spark_schema, arrow_schema = schemas
+    slices = F.lit(max(-(-n_terms // limit), 1))
+    blocks = F.lit(max(-(-index.forward.count() // block_rows), 1))
+    every = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    slot = lambda column, n: F.pmod(F.xxhash64(column), n).cast("int")
+    asked = weighted.withColumn("cell_q", slot(query_id, slices)).withColumn("cell_c", every(blocks))
+    held = index.forward.withColumn("cell_c", slot(index.id_col, blocks)).withColumn("cell_q", every(slices))
+    cells = ["cell_q", "cell_c"]
+    left = asked.select(*cells, query_id, SCOPE, "term", "avg_dl", "weight").groupBy(*cells)
+    right = held.select(*cells, SCOPE, index.id_col, "dl", "terms", "tfs").groupBy(*cells)
+
+    def meet(terms: pa.Table, chunks: pa.Table) -> pa.Table:
+        if not terms.num_rows or not chunks.num_rows:
+            return arrow_schema.empty_table()
+        prepared, best = _Terms(terms.select(range(2, 7))), BestK(k)
+        for batch in chunks.select(range(2, 7)).to_batches():
+            prepared.score(batch, best, k1, b)
+        return pa.Table.from_batches([prepared.result(best, arrow_schema)])
+
+    return left.cogroup(right).applyInArrow(meet, spark_schema)
 
 
 def _score_block(block: pa.RecordBatch, scope: _ScopeTerms, numbers: np.ndarray, best: BestK, k1: float, b: float) -> None:
@@ -206,19 +241,6 @@ def _score_block(block: pa.RecordBatch, scope: _ScopeTerms, numbers: np.ndarray,
         best.compact()
 
 
-def _joined(index: Bm25Index, weighted: DataFrame, k1: float, b: float, query_id: str, salts: int) -> DataFrame:
-    """The relational form for a query set too large to broadcast: every term is spread over `salts` join keys."""
-    salt = F.pmod(F.xxhash64(index.id_col), F.lit(salts)).cast("int")
-    salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    tf, relative = F.col("tf"), F.col("dl") / F.col("avg_dl")
-    gain = F.col("weight") * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * relative))
-    return (
-        index.postings.withColumn("salt", salt).join(salted, [SCOPE, "term", "salt"])
-        .groupBy(query_id, SCOPE, index.id_col)
-        .agg(F.round(F.sum(gain), DIGITS).alias("score"))
-    )
-
-
 def bm25_search(
     queries: DataFrame,
     index: Bm25Index,
@@ -228,6 +250,7 @@ def bm25_search(
     where: Column | DataFrame | None = None,
     query_id: str = "query_id",
     broadcast_terms: int = BROADCAST_TERMS,
+    block_rows: int = MAX_BLOCK_ROWS,
 ) -> DataFrame:
     """Top-k per query (and scope): rows (query_id, scope, chunk_id, score, rank).
 
@@ -241,10 +264,10 @@ def bm25_search(
         searched = Bm25Index(index.forward.join(where.select(index.id_col), index.id_col, "left_semi"), index.id_col)
     elif where is not None:
         searched = Bm25Index(index.forward.filter(where), index.id_col)
-    few = weighted.limit(broadcast_terms + 1).toArrow() if broadcast_terms > 0 else None
-    if few is not None and few.num_rows <= broadcast_terms:
-        scores = _scan(searched, few, k, k1, b, query_id, queries.schema[query_id].dataType)
+    n_terms, schemas = weighted.count(), _schemas(queries, index, query_id)
+    if n_terms <= broadcast_terms:
+        scores = _scan(searched, weighted.toArrow(), k, k1, b, schemas)
     else:
-        scores = _joined(searched, weighted, k1, b, query_id, SALTS)
+        scores = _grid(searched, weighted, n_terms, max(broadcast_terms, 1), block_rows, k, k1, b, query_id, schemas)
     order = Window.partitionBy(query_id, SCOPE).orderBy(F.col("score").desc(), F.col(index.id_col))
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

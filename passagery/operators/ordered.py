@@ -3,6 +3,7 @@
 A plain window over a key puts all rows of that key into one task. Here a history is cut into buckets by a
 monotone expression of its order (a day, a month, a range of numbers): rows are processed per (key, bucket), and
 one small row per bucket carries the state on. A key that holds a third of the data is spread over its buckets.
+Rows are shuffled once in full; the bucket summaries come from a narrow second read.
 """
 
 from __future__ import annotations
@@ -12,54 +13,91 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKET = "__bucket"
 
 
-def _carry(summary: DataFrame, keys: list[str]) -> Window:
+def earlier(keys: list[str]):
+    """All earlier buckets of the same key."""
     return Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    bucket: Column,
-    sums: dict[str, Column] | None = None,
-    maxima: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Add inclusive running sums and running maxima of the given expressions, per key in the given order."""
-    sums, maxima = sums or {}, maxima or {}
-    local = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn(BUCKET, bucket)
-    rows = rows.select(
-        "*", *[F.sum(e).over(local).alias(n) for n, e in sums.items()], *[F.max(e).over(local).alias(n) for n, e in maxima.items()]
-    )
-    # both running values grow within a bucket, so the bucket's maximum is its final state
-    totals = rows.groupBy(*keys, BUCKET).agg(*[F.max(n).alias(n) for n in (*sums, *maxima)])
-    before = _carry(totals, keys)
-    carried = totals.select(
-        *keys, BUCKET,
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__{n}") for n in sums],
-        *[F.max(n).over(before).alias(f"__{n}") for n in maxima],
-    )
-    joined = rows.join(carried, [*keys, BUCKET])
-    for n in sums:
-        joined = joined.withColumn(n, F.col(n) + F.col(f"__{n}"))
-    for n in maxima:
-        joined = joined.withColumn(n, F.greatest(F.col(n), F.col(f"__{n}")))
-    return joined.drop(BUCKET, *[f"__{n}" for n in (*sums, *maxima)])
+def so_far(keys: list[str], order: list[str]):
+    """All rows up to the current one within its bucket."""
+    return Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: dict[str, Column]) -> DataFrame:
     """Add the value of the preceding row of the same key, per key in the given order."""
+    cut = df.withColumn(BUCKET, bucket)
     local = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    rows = df.withColumn(BUCKET, bucket)
-    rows = rows.select(
-        "*", *[F.lag(e).over(local).alias(n) for n, e in values.items()], F.row_number().over(local).alias("__no"),
-        *[e.alias(f"__own_{n}") for n, e in values.items()],
-    )
+    rows = cut.select("*", *[F.lag(e).over(local).alias(n) for n, e in values.items()], F.row_number().over(local).alias("__no"))
     place = F.struct(*[F.col(c) for c in order])
-    last = rows.groupBy(*keys, BUCKET).agg(*[F.max_by(f"__own_{n}", place).alias(f"__last_{n}") for n in values])
+    last = cut.groupBy(*keys, BUCKET).agg(*[F.max_by(e, place).alias(f"__{n}") for n, e in values.items()])
     before = Window.partitionBy(*keys).orderBy(BUCKET)
-    carried = last.select(*keys, BUCKET, *[F.lag(f"__last_{n}").over(before).alias(f"__{n}") for n in values])
+    carried = last.select(*keys, BUCKET, *[F.lag(f"__{n}").over(before).alias(f"__{n}") for n in values])
     joined = rows.join(carried, [*keys, BUCKET])
     for n in values:
         joined = joined.withColumn(n, F.when(F.col("__no") == 1, F.col(f"__{n}")).otherwise(F.col(n)))
-    return joined.drop(BUCKET, "__no", *[f"__{n}" for n in values], *[f"__own_{n}" for n in values])
+    return joined.drop(BUCKET, "__no", *[f"__{n}" for n in values])
+
+
+def counts_since(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, counters: dict[str, tuple[Column, Column]], first_resets: bool = False
+) -> DataFrame:
+    """Add `seq` (row number) and, per counter (counted, reset), the number of counted rows since the last reset row.
+
+    That number is the running count minus the running count at the last reset. Both only grow, so a bucket is
+    summed up by its two maxima, and the state before a bucket is a sum and a maximum over the earlier summaries.
+    With `first_resets` the first row of a key resets every counter.
+    """
+    cut = df.withColumn(BUCKET, bucket)
+    local = so_far(keys, order)
+    one = lambda c: F.when(c, 1).otherwise(0)
+    counted = cut.select(
+        "*", F.row_number().over(local.orderBy(*order)).alias("seq"),
+        *[F.sum(one(c)).over(local).alias(f"__n_{n}") for n, (c, _) in counters.items()],
+    )
+    rows = counted.select(
+        "*", *[F.max(F.when(r, F.col(f"__n_{n}"))).over(local).alias(f"__b_{n}") for n, (_, r) in counters.items()]
+    )
+    place = F.struct(*[F.col(c) for c in order])
+    totals = rows.groupBy(*keys, BUCKET).agg(
+        F.max("seq").alias("__seq"),
+        *[F.max(f"__n_{n}").alias(f"__n_{n}") for n in counters], *[F.max(f"__b_{n}").alias(f"__b_{n}") for n in counters],
+        *[F.min_by(one(c), place).alias(f"__f_{n}") for n, (c, _) in counters.items()],
+    )
+    before, upto = earlier(keys), Window.partitionBy(*keys).orderBy(BUCKET)
+    summed = totals.select(
+        *keys, BUCKET, *[f"__b_{n}" for n in counters], F.coalesce(F.sum("__seq").over(before), F.lit(0)).alias("__c_seq"),
+        *[F.coalesce(F.sum(f"__n_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in counters],
+        *[F.first(f"__f_{n}").over(upto).alias(f"__f_{n}") for n in counters],
+    )
+    carried = summed.select(
+        *keys, BUCKET, "__c_seq", *[f"__c_{n}" for n in counters], *[f"__f_{n}" for n in counters],
+        *[F.max(F.col(f"__b_{n}") + F.col(f"__c_{n}")).over(before).alias(f"__p_{n}") for n in counters],
+    )
+    joined = rows.join(carried, [*keys, BUCKET]).withColumn("seq", F.col("seq") + F.col("__c_seq"))
+    for n in counters:
+        total = F.col(f"__n_{n}") + F.col(f"__c_{n}")
+        start = F.col(f"__f_{n}") if first_resets else F.lit(0)
+        base = F.greatest(F.col(f"__b_{n}") + F.col(f"__c_{n}"), F.col(f"__p_{n}"), start)
+        joined = joined.withColumn(n, total - base)
+    helpers = [f"__{kind}_{n}" for n in counters for kind in "nbcfp"]
+    return joined.drop(BUCKET, "__c_seq", *helpers)
+
+
+def gap_sessions(df: DataFrame, keys: list[str], order: list[str], bucket: Column, clock: Column, gap: int, out: str) -> DataFrame:
+    """Add the number of the gap-separated run each row belongs to, per key; `clock` is the position in time."""
+    cut = df.withColumn(BUCKET, bucket).withColumn("__clock", clock)
+    local = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    gaps = cut.withColumn("__step", F.col("__clock") - F.lag("__clock").over(local))
+    starts = F.sum(F.when(F.col("__step") >= gap, 1).otherwise(0)).over(so_far(keys, order))
+    rows = gaps.withColumn("__starts", starts)
+    totals = rows.groupBy(*keys, BUCKET).agg(
+        F.min("__clock").alias("__first"), F.max("__clock").alias("__last"), F.max("__starts").alias("__n")
+    )
+    order_b = Window.partitionBy(*keys).orderBy(BUCKET)
+    step = F.col("__first") - F.lag("__last").over(order_b)
+    opened = totals.withColumn("__opens", F.when(step.isNull() | (step >= gap), 1).otherwise(0))
+    carried = opened.select(
+        *keys, BUCKET, (F.col("__opens") + F.coalesce(F.sum(F.col("__opens") + F.col("__n")).over(earlier(keys)), F.lit(0))).alias("__base")
+    )
+    joined = rows.join(carried, [*keys, BUCKET]).withColumn(out, F.col("__base") + F.col("__starts"))
+    return joined.drop(BUCKET, "__clock", "__step", "__starts", "__base")

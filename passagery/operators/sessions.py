@@ -8,7 +8,7 @@ from passagery import constants as K
 from passagery.functions import codes
 from passagery.functions.text import estimate_tokens, is_blank
 from passagery.operators.context import parse_citations
-from passagery.operators.ordered import previous, running
+from passagery.operators.ordered import counts_since, gap_sessions
 
 
 def list_sessions(sessions: DataFrame, user_id: int, tenant_id: int | None = None) -> DataFrame:
@@ -101,9 +101,7 @@ def sessionize(events: DataFrame, keys: list[str], ts: str, gap_seconds: int = K
     """Number the sliding-expiry sessions of each key: a gap of at least the lifetime starts a new one."""
     day = F.to_date(F.col(ts)) if bucket is None else bucket
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    gaps = previous(events, keys, [ts, tie], day, {"before": micros})
-    fresh = F.col("before").isNull() | (micros - F.col("before") >= gap_seconds * 1_000_000)
-    return running(gaps, keys, [ts, tie], day, sums={"session_no": F.when(fresh, 1).otherwise(0)}).drop("before")
+    return gap_sessions(events, keys, [ts, tie], day, micros, gap_seconds * 1_000_000, "session_no")
 
 
 def resolve_tenant(requests: DataFrame, kbs: DataFrame) -> DataFrame:
@@ -114,12 +112,6 @@ def resolve_tenant(requests: DataFrame, kbs: DataFrame) -> DataFrame:
 
 def lockouts(events: DataFrame, keys: list[str], ts: str, tie: str, failed: Column, limit: int = K.LOCK_FAILURES, minutes: int = K.LOCK_MINUTES) -> DataFrame:
     """Failures that complete a row of `limit` without a success between them; a lock starts the count anew."""
-    day = F.to_date(F.col(ts))
-    one = lambda c: F.when(c, 1).otherwise(0)
-    counted = running(events, keys, [ts, tie], day, sums={"fails": one(failed), "passes": one(~failed)})
-    based = running(counted, keys, [ts, tie], day, maxima={"base": F.when(~failed, F.col("fails"))})
-    streak = F.col("fails") - F.coalesce(F.col("base"), F.lit(0))
-    return (
-        based.filter(failed & (streak % limit == 0)).withColumn("streak", streak)
-        .withColumn("locked_until", F.col(ts) + F.expr(f"INTERVAL {minutes} MINUTES")).drop("fails", "passes", "base")
-    )
+    rows = counts_since(events, keys, [ts, tie], F.to_date(F.col(ts)), {"streak": (failed, ~failed)})
+    full = rows.filter(failed & (F.col("streak") % limit == 0)).drop("seq")
+    return full.withColumn("locked_until", F.col(ts) + F.expr(f"INTERVAL {minutes} MINUTES"))

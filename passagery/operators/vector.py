@@ -169,13 +169,16 @@ class ClusterIndex:
 
 
 def build_cluster_index(
-    chunks: DataFrame, n_clusters: int = 16, id_col: str = "chunk_id", seed: int = 7, max_iter: int = 8
+    chunks: DataFrame, n_clusters: int = 16, id_col: str = "chunk_id", seed: int = 7, max_iter: int = 8, train_rows: int = 1_000_000
 ) -> ClusterIndex:
+    """Centres are fitted on at most about `train_rows` rows; every row is then assigned to its centre."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = chunks.filter(F.col("embedding").isNotNull()).withColumn("point", array_to_vector("embedding"))
-    model = KMeans(featuresCol="point", predictionCol="cluster", k=n_clusters, seed=seed, maxIter=max_iter).fit(rows.select("point"))
+    share = min(1.0, train_rows / max(rows.count(), 1))
+    known = rows.select("point") if share == 1.0 else rows.select("point").sample(share, seed)
+    model = KMeans(featuresCol="point", predictionCol="cluster", k=n_clusters, seed=seed, maxIter=max_iter).fit(known)
     return ClusterIndex(model.transform(rows).drop("point"), np.array(model.clusterCenters()), id_col)
 
 

@@ -6,36 +6,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagery import constants as K
 from passagery.functions import codes
-from passagery.operators.ordered import running
+from passagery.operators.ordered import counts_since
 
 
 def version_chain(changes: DataFrame, keys: list[str], order: list[str], bucket: Column, change: str = "change_type") -> DataFrame:
-    """Version label of every change: the first is v1.0.0, then each change raises its part and resets the lower ones.
-
-    A part's value is its count since the last reset: a running count minus the running maximum of that count at
-    the resetting changes.
-    """
+    """Version label of every change: the first is v1.0.0, then each change raises its part and resets the lower ones."""
     kind = F.upper(F.col(change))
     is_major, is_patch = kind == "MAJOR", kind == "PATCH"
     is_minor = ~is_major & ~is_patch
-    one = lambda c: F.when(c, 1).otherwise(0)
-    counted = running(
-        changes, keys, order, bucket,
-        sums={"seq": F.lit(1), "n_major": one(is_major), "n_minor": one(is_minor), "n_patch": one(is_patch)},
-    )
-    first = F.col("seq") == 1
-    marked = running(
-        counted, keys, order, bucket,
-        maxima={
-            "major_base": F.when(first, one(is_major)),
-            "minor_base": F.when(is_major | first, F.col("n_minor")),
-            "patch_base": F.when(is_major | is_minor | first, F.col("n_patch")),
-        },
-    )
-    label = codes.format_version(
-        F.lit(1) + F.col("n_major") - F.col("major_base"), F.col("n_minor") - F.col("minor_base"), F.col("n_patch") - F.col("patch_base")
-    )
-    return marked.withColumn("version", label).drop("n_major", "n_minor", "n_patch", "major_base", "minor_base", "patch_base")
+    counters = {"n_major": (is_major, F.lit(False)), "n_minor": (is_minor, is_major), "n_patch": (is_patch, is_major | is_minor)}
+    rows = counts_since(changes, keys, order, bucket, counters, first_resets=True)
+    label = codes.format_version(F.col("n_major") + 1, F.col("n_minor"), F.col("n_patch"))
+    return rows.withColumn("version", label).drop(*counters)
 
 
 def activate_latest(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -7,14 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 PARTITIONS = ["tenant_id", "kb_id"]
 
 
-def write_chunks(df: DataFrame, path: str, mode: str = "append", files_per_kb: int = 16) -> None:
+def write_chunks(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append chunks, one folder per (tenant, knowledge base).
 
-    Rows are spread over `files_per_kb` writers per knowledge base, so that a dominant one is not written
-    by a single task.
+    Rows are rebalanced by folder: small folders get one file, and a dominant knowledge base is split over as many
+    writers as its size asks for.
     """
-    slot = F.pmod(F.xxhash64("chunk_id"), F.lit(files_per_kb))
-    df.repartition(*PARTITIONS, slot).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    df.hint("rebalance", *PARTITIONS).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, tenant_id: int | None = None, kb_ids: list[int] | None = None):
@@ -33,7 +32,7 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def delete_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return df.join(ids.select(key).distinct(), key, "left_anti")
+    return df.join(ids.select(key), key, "left_anti")
 
 
 def delete_document(tables: dict[str, DataFrame], ids: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
@@ -43,7 +42,7 @@ def delete_document(tables: dict[str, DataFrame], ids: DataFrame, key: str = "do
 
 def overwrite_partitions(df: DataFrame, path: str) -> None:
     """Replace exactly the (tenant, knowledge base) folders that `df` has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    df.hint("rebalance", *PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 
 
 def clear_kb(spark: SparkSession, path: str, tenant_id: int, kb_id: int) -> DataFrame:

@@ -25,7 +25,7 @@ def ingest_stream(docs: DataFrame, label: str = "ingest", strategy: str | None =
         if number > 0:
             # earlier batches only: a repeated batch must not see its own first attempt
             stored = spark.read.parquet(out).filter(F.col("batch") < number).select(*CONTENT_KEY)
-            fresh = fresh.join(stored.distinct(), CONTENT_KEY, "left_anti")
+            fresh = fresh.join(stored, CONTENT_KEY, "left_anti")
         write_batch(fresh, number, out)
 
     return run_available(docs, label, step=step)

@@ -91,10 +91,10 @@ def users_seen_by_tenant_admin(t: Tables):
 
 
 @query(R.ctes("users", "bindings", "tenants") + f""", {SUPER}
-SELECT u.user_id, t.tenant_id, tenant_name FROM users u JOIN sup USING (user_id), tenants t
-UNION ALL SELECT DISTINCT user_id, tenant_id, tenant_name FROM bindings JOIN tenants USING (tenant_id) WHERE user_id NOT IN (SELECT user_id FROM sup)""")
+SELECT user_id, NULL::INTEGER AS tenant_id, NULL::VARCHAR AS tenant_name, true AS sees_all FROM sup
+UNION ALL SELECT DISTINCT user_id, tenant_id, tenant_name, false FROM bindings JOIN tenants USING (tenant_id) WHERE user_id NOT IN (SELECT user_id FROM sup)""")
 def visible_tenants(t: Tables):
-    return A.list_tenants(R.users(t), R.bindings(t), R.roles(t), R.tenants(t)).select("user_id", "tenant_id", "tenant_name")
+    return A.list_tenants(R.users(t), R.bindings(t), R.roles(t), R.tenants(t))
 
 
 @query(R.ctes("kbs", "kb_documents") + """ SELECT kb_id, kb_name, tenant_id, (SELECT count(*) FROM kb_documents d WHERE d.kb_id = k.kb_id) AS n_documents FROM kbs k""")

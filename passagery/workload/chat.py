@@ -46,14 +46,13 @@ def directory_ingest(t: Tables):
 DEDUP_SQL = """firsts AS (SELECT * FROM chunks WHERE text NOT SIMILAR TO '\\s*' QUALIFY row_number() OVER (PARTITION BY kb_id, text_hash ORDER BY doc_id, chunk_index) = 1)"""
 
 
-@query(f"WITH {S.CHUNKS}, {DEDUP_SQL} SELECT chunk_id, doc_id, kb_id, text_hash FROM firsts WHERE text_hash NOT IN (SELECT sha256(text) FROM benchmark)")
+@query(f"""WITH {S.CHUNKS}, old AS (SELECT kb_id, text_hash FROM chunks WHERE lang = 'de'), fresh AS (SELECT * FROM chunks WHERE lang <> 'de'),
+{DEDUP_SQL.replace('FROM chunks', 'FROM fresh')} SELECT chunk_id, doc_id, kb_id, text_hash FROM firsts WHERE (kb_id, text_hash) NOT IN (SELECT (kb_id, text_hash) FROM old)""")
 def indexed_chunks(t: Tables):
-    """Chunks new to the index, which already holds the benchmark texts in every knowledge base."""
-    have = t.benchmark.select(T.text_hash(F.col("text")).alias("text_hash"))
-    kbs = base.corpus_chunks(t).select("kb_id").distinct()
-    existing = kbs.select("kb_id", F.lit("flat").alias("chunk_type"), F.explode(
-        have.agg(F.collect_set("text_hash").alias("h")).scalar()).alias("text_hash"))
-    return I.index_chunks(base.corpus_chunks(t), existing).select("chunk_id", "doc_id", "kb_id", "text_hash")
+    """Chunks new to an index that already holds the German documents."""
+    chunks = base.stored_chunks(t)
+    german = F.col("lang") == "de"
+    return I.index_chunks(chunks.filter(~german), chunks.filter(german)).select("chunk_id", "doc_id", "kb_id", "text_hash")
 
 
 @query(f"WITH {S.CHUNKS} SELECT kb_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM chunks WHERE kb_id % 5 = 2 GROUP BY kb_id")
