@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,24 @@ def build_session(app: str = "passagery", master: str | None = None, **conf: str
             builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of the application, once; a no-op when it was sent before."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        home = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "passagery.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(home.rglob("*.py")):
+                out.write(source, source.relative_to(home.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(application)
+    return spark
 
 
 _local_dirs: dict[str, str] = {}

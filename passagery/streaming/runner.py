@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagery.session import scratch_path
 
+SHUFFLE = "spark.sql.shuffle.partitions"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,14 +28,19 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: i
 
 
 @contextmanager
-def disk_state(spark: SparkSession):
-    """Keep operator state on disk: state outgrows memory long before the data does."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+def stream_settings(spark: SparkSession):
+    """Operator state on disk, as it outgrows memory long before the data does, and no more state partitions than
+    a few per core: each of them is a store of its own."""
+    partitions = min(int(spark.conf.get(SHUFFLE)), 4 * spark.sparkContext.defaultParallelism)
+    wanted = {STORE: ROCKS, SHUFFLE: str(partitions)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append", step: Callable[[DataFrame, int, str], None] | None = None) -> str:
@@ -45,7 +51,7 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", step: Cal
     def write(batch: DataFrame, number: int) -> None:
         (step or write_batch)(batch, number, out)
 
-    with disk_state(spark):
+    with stream_settings(spark):
         job = (
             stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(write).start()

@@ -5,14 +5,19 @@ Each micro-batch hands a key its rows of that batch only; the batch size is set
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from passagery import constants as K
 
+# the worker that prepares keyed state receives no shipped files, so the processors travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Lockout(StatefulProcessor):
     """Length of the open failure streak per user; a lock at every full row of failures."""

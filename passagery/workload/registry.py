@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from passagery.session import ship_package
 from passagery.sources.tables import load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or fn.__name__
         if key in QUERIES:
             raise ValueError(f"duplicate query {key}")
-        QUERIES[key] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[key] = lambda spark, folder: fn(Tables(ship_package(spark), folder))
         if sql is not None:
             ORACLES[key] = sql
         return fn
