@@ -238,7 +238,7 @@ TRUTH_SQL = f"""truth AS (SELECT q.query_id, d.doc_id FROM queries q JOIN docume
 
 @query(S.retrieval(S.bm25(), S.top("bm", 10, "r"), TRUTH_SQL, """
 hit AS (SELECT t.query_id, min(r.rank) AS best FROM truth t JOIN chunks c USING (doc_id) JOIN r ON r.query_id = t.query_id AND r.chunk_id = c.chunk_id GROUP BY t.query_id)""") + """
-SELECT k, n AS n_queries, found AS n_hit, round(found / n::DOUBLE, 6) AS recall FROM (
+SELECT k, n AS n_queries, found AS n_hit, CASE WHEN n > 0 THEN round(found / n::DOUBLE, 6) END AS recall FROM (
   SELECT k, (SELECT count(DISTINCT query_id) FROM truth) AS n, (SELECT count(*) FROM hit WHERE best <= k) AS found FROM (SELECT unnest([5, 10]) AS k))""")
 def recall_at_k(t: Tables):
     """Documents -> chunks -> keyword index -> all benchmark queries -> recall at 5 and 10."""
@@ -251,7 +251,7 @@ def recall_at_k(t: Tables):
 
 @query(S.retrieval(S.bm25(), S.top("bm", 10, "r"), f"truth AS (SELECT q.query_id, d.doc_id FROM queries q JOIN documents d ON contains(d.text, q.text) WHERE length(d.text) > 5000)", """
 hit AS (SELECT t.query_id, min(r.rank) AS best FROM truth t JOIN chunks c USING (doc_id) JOIN r ON r.query_id = t.query_id AND r.chunk_id = c.chunk_id GROUP BY t.query_id)""") + """
-SELECT k, n AS n_queries, found AS n_hit, round(found / n::DOUBLE, 6) AS recall FROM (
+SELECT k, n AS n_queries, found AS n_hit, CASE WHEN n > 0 THEN round(found / n::DOUBLE, 6) END AS recall FROM (
   SELECT k, (SELECT count(DISTINCT query_id) FROM truth) AS n, (SELECT count(*) FROM hit WHERE best <= k) AS found FROM (SELECT unnest([5, 10]) AS k))""")
 def recall_at_k_long_documents(t: Tables):
     chunks = base.stored_chunks(t)

@@ -70,14 +70,15 @@ sizes AS (SELECT sheet, count(*) AS n, min(row_no // 1000) AS first FROM rows_ G
 lines AS (
   SELECT r.sheet, row_no, n <= 20 AS md, CASE WHEN n <= 20 THEN first ELSE row_no // 1000 END AS segment, first,
     CASE WHEN n <= 20 THEN '| ' || array_to_string(list_transform(cells, lambda c: c[2]), ' | ') || ' |'
-    ELSE array_to_string(list_transform(cells, lambda c: c[1] || ': ' || c[2]), ', ') END AS line
+    ELSE array_to_string(list_transform(cells, lambda c: c[1] || ': ' || c[2]), ', ') END AS line,
+    '| ' || array_to_string(list_transform(cells, lambda c: c[1]), ' | ') || ' |' || chr(10) || '|' || repeat(' --- |', len(cells)) || chr(10) AS head
   FROM rows_ r JOIN sizes USING (sheet)),
-body AS (SELECT sheet, md, segment, first, count(*) AS n_rows, string_agg(line, chr(10) ORDER BY row_no) AS body FROM lines GROUP BY ALL)"""
+body AS (SELECT sheet, md, segment, first, any_value(head) AS head, count(*) AS n_rows, string_agg(line, chr(10) ORDER BY row_no) AS body FROM lines GROUP BY sheet, md, segment, first)"""
 
 
 @query(f"""WITH {SHEETS_SQL}
 SELECT sheet, CASE WHEN md THEN 'markdown' ELSE 'key_value' END AS mode, (segment - first)::BIGINT AS segment, n_rows,
-  CASE WHEN md THEN '## ' || sheet || chr(10) || chr(10) || '| id | name |' || chr(10) || '| --- | --- |' || chr(10) || body || chr(10)
+  CASE WHEN md THEN '## ' || sheet || chr(10) || chr(10) || head || body || chr(10)
        WHEN segment = first THEN '## ' || sheet || chr(10) || chr(10) || body ELSE body END AS text
 FROM body""")
 def sheet_text(t: Tables):

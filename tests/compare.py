@@ -18,7 +18,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value) -> str:
-    if isinstance(value, float) and value == int(value) and abs(value) < 1e15:
+    if isinstance(value, float) and value.is_integer():
         return f"{value:.1f}"
     return repr(value)
 
