@@ -122,7 +122,7 @@ def file_type(name: Column) -> Column:
 def route_parser(name: Column, override: Column | None = None, pdf_provider: str = "layout") -> Column:
     """Parser kind by extension; an explicit layout-model request wins; unknown types are read as text."""
     table = dict(K.PARSER_BY_EXTENSION)
-    table["pdf"] = "mixed" if pdf_provider.lower() == "tika-mixed" else "layout"
+    table["pdf"] = "mixed" if pdf_provider.lower().endswith("mixed") else "layout"
     routes = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     kind = F.coalesce(F.try_element_at(routes, file_extension(name)), F.lit("text"))
     if override is None:
