@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from passagery.functions.text import is_blank, tokens
+from passagery.session import materialize
 
 def containment_truth(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (query_id, doc_id) where the document contains the query text verbatim, on word boundaries.
@@ -23,7 +24,8 @@ def containment_truth(queries: DataFrame, docs: DataFrame) -> DataFrame:
         words.join(usage, "term", "left").groupBy("query_id")
         .agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), F.col("term"))).alias("term"))
     )
-    pairs = doc_terms.join(anchor, "term").select("query_id", "doc_id").join(asked, "query_id")
+    # written first: a small set of pairs is then broadcast to the document scan
+    pairs = materialize(doc_terms.join(anchor, "term").select("query_id", "doc_id"), "pairs").join(asked, "query_id")
     checked = pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "query_text"))
     aligned = F.size(F.array_except(words_of("query_text"), words_of("text"))) == 0
     return checked.filter(aligned).select("query_id", "doc_id")

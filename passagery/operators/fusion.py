@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagery import constants as K
-from passagery.functions.text import null_if_blank
+from passagery.functions.text import null_if_blank, tokens
+from passagery.session import materialize
 
 EPS = 1e-10
 DIGITS = 12
@@ -146,8 +147,6 @@ def similarity_filter(df: DataFrame, threshold: float | None, score: str = "scor
 
 def term_coverage(query: Column, text: Column) -> Column:
     """Share of the distinct query words that the text contains."""
-    from passagery.functions.text import tokens
-
     words = F.array_distinct(tokens(query))
     found = F.size(F.array_intersect(words, tokens(text)))
     return F.when(F.size(words) > 0, found / F.size(words)).otherwise(F.lit(0.0))
@@ -170,8 +169,10 @@ def rerank(cands: DataFrame, relevance: Column, top_n: int | None = None) -> Dat
 def parent_enhance(cands: DataFrame, chunks: DataFrame) -> DataFrame:
     """Give child candidates the text of their parent, looked up in the full chunk table.
 
-    The chunk table is reduced to the wanted parents by a semi join before any of its text moves.
+    The candidates are written first, so their size is known: the chunk table is reduced to the wanted parents by a
+    semi join with a small set before any of its text moves.
     """
+    cands = materialize(cands, "candidates")
     wanted = cands.filter((F.col("chunk_type") == "child") & F.col("parent_chunk_id").isNotNull()).select("parent_chunk_id").distinct()
     parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("text").alias("parent_text")).join(
         wanted, "parent_chunk_id", "left_semi"

@@ -53,11 +53,11 @@ def recall_size_multi(k: Column, has_whitelist: Column, expand: Column | None =
     return base * factor * F.when(has_whitelist, 3).otherwise(1)
 
 
-def attach(cands: DataFrame, chunks: DataFrame, columns: list[str], settle: bool = False) -> DataFrame:
+def attach(cands: DataFrame, chunks: DataFrame, columns: list[str], settle: bool = True) -> DataFrame:
     """Bring chunk columns to ranked rows. Ranking carries ids only; text is read once, for the ids that won.
 
-    With `settle` the winners are written first: their size is then known from the files, and a small set is
-    broadcast to the chunk scan instead of shuffling the chunk table.
+    The winners are written first: their size is then known from the files, and a small set is broadcast to the
+    chunk scan, so that the chunk table itself is not shuffled for a few rows.
     """
     rows = materialize(cands, "winners") if settle else cands
     return rows.join(chunks.select("chunk_id", *columns), "chunk_id")
