@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search, usable
+from .bpe import encode
 from .common import read
+from .langid import fit, held_out, predict
 from .lines import drop_lines
 from .mixing import mix
+from .pii import BASE, KINDS, find, listed
 from .quality import judge
+from .simhash import near_duplicates
 from .sql import LINES, MIXING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +44,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(read(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "posterior")
+
+
+@query
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = usable(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return search(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    network = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    return predict(docs, network).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read(spark, sf_dir, "documents")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=3).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+    return spans.select("doc_id", "spans", base.alias("base")).select(
+        "doc_id", *[number(kind).alias(f"n_{kind}") for kind in BASE],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
