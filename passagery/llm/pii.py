@@ -52,6 +52,8 @@ AGAINST = "version|isbn|issn|doi|page|chapter|invoice|order|total|build|release"
 DOMAINS = "com|org|net|edu|gov|de|fr|es|uk|io|info|eu"
 LABELERS = ["by_pattern", "by_gazetteer", "by_context", "by_validity"]
 CONTEXT = 40
+CANDIDATES = ("array<struct<kind:int,start:bigint,stop:bigint,base:boolean,by_pattern:int,by_gazetteer:int,"
+              "by_context:int,by_validity:int,features:array<string>>>")
 CERTAIN = 0.9
 
 
@@ -122,7 +124,7 @@ def matches(text: Column, pattern: str, need: str, describe: Callable[[Column],
 
         return let(F.split(text, pattern, -1), cut)
 
-    none = F.filter(found(F.array(F.lit(""))), lambda _: F.lit(False))
+    none = F.array().cast(CANDIDATES)
     all_values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     some = let(all_values, lambda v: F.when(F.size(v) > 0, found(v)).otherwise(none))
     ready = F.contains(text, F.lit(need)) if need else text.rlike("[0-9]" if KINDS[kind] != "name" else pattern)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import secrets
 from .ann import search, usable
 from .bpe import encode
 from .common import read
@@ -15,6 +16,7 @@ from .lines import drop_lines
 from .mixing import mix
 from .pii import BASE, KINDS, find, listed
 from .quality import judge
+from .secrets import find_secrets
 from .simhash import near_duplicates
 from .sql import LINES, MIXING
 
@@ -80,3 +82,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "spans", base.alias("base")).select(
         "doc_id", *[number(kind).alias(f"n_{kind}") for kind in BASE],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long")
+    return found.select("doc_id", "spans", base.alias("base")).select(
+        "doc_id", *[number(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
