@@ -18,6 +18,7 @@ from .pii import BASE, KINDS, find, listed
 from .quality import judge
 from .secrets import find_secrets
 from .simhash import near_duplicates
+from .suffix import passages
 from .sql import LINES, MIXING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,8 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "spans", base.alias("base")).select(
         "doc_id", *[number(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
         F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(read(spark, sf_dir, "documents"), least=50)

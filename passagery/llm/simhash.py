@@ -22,7 +22,7 @@ import itertools
 import random
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
@@ -129,3 +129,16 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     classes = scratch.write(distinct.join(roots, "node", "left").select(
         "fp", F.coalesce("root", "node").alias("component_id")), "classes")
     return printed.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+    """The rows of one document of each component, that of the smallest doc_id; of rows repeated under it, one stays.
+    Rows without doc_id stay, since no id can name them."""
+    found = near_duplicates(docs, width)
+    keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keeper")).distinct()
+    id_of = F.col("row.doc_id").cast("long")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("id", id_of).withColumn("text_hash", F.xxhash64("row.text"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("text_hash"))
+    kept = rows.where("id IS NOT NULL").join(keepers, F.col("id") == F.col("_keeper"), "left_semi")
+    return kept.withColumn("place", place).where("place = 1").select("row.*").unionAll(
+        rows.where("id IS NULL").select("row.*"))
