@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, Scratch, ascii_lower
 
 HASH = ["h1", "h2"]
+ENTRY = "h1 long, h2 long, n_docs long, keeper long, fresh boolean"
 
 
 def line_key(line: Column) -> Column:
@@ -82,7 +83,7 @@ class Runs:
     def all(self, names: list[str] | None = None) -> DataFrame:
         """The entries of several runs, read as plain files: a union of bucketed scans claims a partitioning that its
         rows do not have."""
-        return self.spark.read.parquet(*[f"{self.scratch.root}/{name}" for name in names or self._live()])
+        return self.spark.read.schema(ENTRY).parquet(*[f"{self.scratch.root}/{name}" for name in names or self._live()])
 
     def close(self) -> None:
         self._forget(self._live())

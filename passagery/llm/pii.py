@@ -32,7 +32,7 @@ BASE = {
 #: further candidates
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[] ?at ?[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[] ?dot ?[)\]]|\.) ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9A-Za-z+().-] ?)(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
+    "phone": r"(?<![0-9A-Za-z+().-])(?<![0-9+)] )(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": r"(?<!\p{L})(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? \p{Lu}\p{Ll}+",
 }

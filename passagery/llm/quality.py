@@ -22,14 +22,15 @@ WINDOW = 5
 #: name -> (votes good when, votes bad when), over the columns of `statistics`
 RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words >= 50", "n_words < 10"),
-    "word_length": ("word_chars BETWEEN 3 * n_words AND 10 * n_words", "word_chars NOT BETWEEN 2 * n_words AND 14 * n_words"),
-    "symbols": ("100 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    "word_length": ("word_chars BETWEEN 4 * n_words AND 7 * n_words", "word_chars NOT BETWEEN 2 * n_words AND 12 * n_words"),
+    "symbols": ("1000 * n_symbols <= 5 * n_words", "10 * n_symbols > n_words"),
+    "symbol_share": ("1000 * n_symbols <= word_chars", "50 * n_symbols > word_chars"),
+    "plain_words": ("100 * n_plain >= 95 * n_words", "100 * n_plain < 85 * n_words"),
     "dup_lines": ("n_lines >= 3 AND n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines"),
     "repeats": ("100 * n_repeat_words <= 5 * n_words", "100 * n_repeat_words > 20 * n_words"),
-    "capitals": ("10 * n_upper <= 2 * word_chars", "10 * n_upper > 5 * word_chars"),
-    "sentences": ("n_ends > 0 AND n_ends BETWEEN n_words / 80 AND n_words / 3",
-                  "n_ends > n_words / 2 OR (n_words >= 50 AND n_ends = 0)"),
-    "plain_words": ("10 * n_plain >= 8 * n_words", "10 * n_plain < 5 * n_words"),
+    "capitals": ("10 * n_upper <= word_chars", "10 * n_upper > 4 * word_chars"),
+    "sentences": ("100 * n_ends BETWEEN 2 * n_words AND 30 * n_words",
+                  "100 * n_ends > 40 * n_words OR (n_words >= 50 AND n_ends = 0)"),
 }
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 class Accuracies:
     """Prior of good, and for each rule the chance that a vote cast on a good and on a bad document is right."""
 
-    def __init__(self, rules: Iterable[str], prior: float = 0.8, right: float = 0.8):
-        self.prior, self.good = prior, dict.fromkeys(rules, right)
-        self.bad = dict(self.good)
+    def __init__(self, rules: Iterable[str], prior: float = 0.8, good: float = 0.9, bad: float = 0.5):
+        self.prior, self.good, self.start = prior, dict.fromkeys(rules, good), bad
+        self.bad = dict.fromkeys(self.good, bad)
 
     def posterior(self) -> Column:
         """Probability of good given the vote columns: the logistic function of summed log odds."""
@@ -27,7 +27,8 @@ class Accuracies:
     def refit(self, patterns: DataFrame) -> float:
         """One round: expected votes of each class in one aggregate, then new estimates. Gives the largest change.
 
-        A rule counts as better than chance and never as certain, which keeps the classes from changing names.
+        On good items a rule counts as better than chance, which keeps the classes from changing names; on bad ones it
+        may miss most, as a rule for one fault does not see the others. No rule is ever certain.
         """
         sums = {"n": F.col("n"), "p": F.col("n") * F.col("p")}
         for rule in self.good:
@@ -43,5 +44,5 @@ class Accuracies:
             up, down = found[f"{rule}:up:p"], found[f"{rule}:down:p"]
             not_up, not_down = found[f"{rule}:up"] - up, found[f"{rule}:down"] - down
             self.good[rule] = round(min(max((up + 4) / (up + down + 5), 0.55), 0.99), 6)
-            self.bad[rule] = round(min(max((not_down + 4) / (not_up + not_down + 5), 0.55), 0.99), 6)
+            self.bad[rule] = round(min(max((not_down + 4 * self.start) / (not_up + not_down + 4), 0.02), 0.99), 6)
         return max(abs(a - b) for a, b in zip(before, [self.prior, *self.good.values(), *self.bad.values()], strict=True))
