@@ -9,8 +9,10 @@ from passagery.functions import codes
 from passagery.operators.ordered import previous
 
 
-def list_kbs(kbs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Knowledge bases with their number of documents; documents are counted before they are joined."""
+def list_kbs(kbs: DataFrame, documents: DataFrame, tenant_id: int | None = None) -> DataFrame:
+    """Knowledge bases, of one tenant if given, with their number of documents, which are counted before the join."""
+    if tenant_id is not None:
+        kbs = kbs.filter(F.col("tenant_id") == tenant_id)
     counts = documents.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_documents"))
     return kbs.join(counts, "kb_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)))
 
@@ -37,9 +39,10 @@ def facet_filter(df: DataFrame, keyword: str | None, text_cols: list[str], facet
     return df.filter(condition)
 
 
-def list_documents(documents: DataFrame, kb_id: int, newest: int | None = None) -> DataFrame:
-    """Documents of a knowledge base, newest upload first."""
-    rows = documents.filter(F.col("kb_id") == kb_id).orderBy(F.col("upload_time").desc(), F.col("doc_id").desc())
+def list_documents(documents: DataFrame, kb_id: int | None = None, newest: int | None = None) -> DataFrame:
+    """Documents of a knowledge base, or of every one, newest upload first."""
+    mine = documents if kb_id is None else documents.filter(F.col("kb_id") == kb_id)
+    rows = mine.orderBy("kb_id", F.col("upload_time").desc(), F.col("doc_id").desc())
     return rows.limit(newest) if newest else rows
 
 

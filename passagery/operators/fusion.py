@@ -28,11 +28,18 @@ def limit_candidates(cands: DataFrame, k: int) -> DataFrame:
     return cands.filter(F.col("rank") <= 2 * k)
 
 
-def fusion_key(df: DataFrame) -> Column:
-    """Identity of a candidate: text hash, else chunk, else record, else the start of the text."""
+def text_identity(df: DataFrame, compat: bool = False) -> Column:
+    """Identity of a candidate by its text: the hash of all of it, or with `compat` its first 64 characters."""
+    text = null_if_blank(_optional(df, "text"))
+    return F.concat(F.lit("txt:"), F.substring(text, 1, 64) if compat else F.sha2(text, 256))
+
+
+def fusion_key(df: DataFrame, compat: bool = False) -> Column:
+    """Identity of a candidate: text hash, else chunk, else record, else the text."""
     tagged = lambda tag, name: F.concat(F.lit(tag), null_if_blank(_optional(df, name)))
-    start = F.concat(F.lit("txt:"), F.substring(null_if_blank(_optional(df, "text")), 1, 64))
-    return F.coalesce(tagged("hash:", "text_hash"), tagged("cid:", "chunk_id"), tagged("id:", "record_id"), start, F.lit(""))
+    return F.coalesce(
+        tagged("hash:", "text_hash"), tagged("cid:", "chunk_id"), tagged("id:", "record_id"), text_identity(df, compat), F.lit("")
+    )
 
 
 def minmax(df: DataFrame, by: list[str], score: str = "score") -> Column:
@@ -80,9 +87,8 @@ def dedup_instances(cands: DataFrame, mode: str = "rrf") -> DataFrame:
     """One row per (document, chunk): gains add up in rank fusion, the best counts in weighted fusion."""
     has_ids = null_if_blank(_optional(cands, "doc_id")).isNotNull() & null_if_blank(_optional(cands, "chunk_id")).isNotNull()
     pair = F.concat(_optional(cands, "doc_id"), F.lit("_"), _optional(cands, "chunk_id"))
-    start = F.substring(null_if_blank(_optional(cands, "text")), 1, 64)
     fallback = F.coalesce(
-        F.concat(F.lit("id:"), null_if_blank(_optional(cands, "record_id"))), F.concat(F.lit("txt:"), start), F.lit("")
+        F.concat(F.lit("id:"), null_if_blank(_optional(cands, "record_id"))), text_identity(cands), F.lit("")
     )
     keyed = cands.withColumn("instance", F.when(has_ids, pair).otherwise(fallback))
     place = F.struct(F.col("rank"), path_order(F.col("path")).alias("path_ord"))

@@ -11,12 +11,14 @@ from passagery.operators.context import parse_citations
 from passagery.operators.ordered import counts_since, gap_sessions
 
 
-def list_sessions(sessions: DataFrame, user_id: int, tenant_id: int | None = None) -> DataFrame:
-    """Sessions of a user that are not deleted, latest access first."""
-    mine = sessions.filter((F.col("user_id") == user_id) & (F.col("deleted") == 0))
+def list_sessions(sessions: DataFrame, user_id: int | None = None, tenant_id: int | None = None) -> DataFrame:
+    """Sessions of a user, or of every user, that are not deleted, latest access first."""
+    mine = sessions.filter(F.col("deleted") == 0)
+    if user_id is not None:
+        mine = mine.filter(F.col("user_id") == user_id)
     if tenant_id is not None:
         mine = mine.filter(F.col("tenant_id") == tenant_id)
-    return mine.orderBy(F.col("last_access_time").desc(), "session_id")
+    return mine.orderBy("user_id", F.col("last_access_time").desc(), "session_id")
 
 
 def session_history(messages: DataFrame) -> DataFrame:
@@ -28,13 +30,15 @@ def session_history(messages: DataFrame) -> DataFrame:
 def rebuild_sessions(sessions: DataFrame, messages: DataFrame, requests: DataFrame, page_size: int = 10000) -> DataFrame:
     """Sessions with their ordered messages, for requests whose tenant and user own the session.
 
-    Messages come in pages of `page_size` turns, so that one very long session is several rows.
+    Messages are ordered within pages of `page_size` turns; a second level joins the pages of a session to one row.
     """
     owned = requests.join(sessions, ["session_id", "tenant_id", "user_id"]).filter(F.col("deleted") == 0)
     page = F.floor(F.col("turn") / page_size)
     nested = (
         messages.filter(F.col("deleted") == 0).withColumn("page", page).groupBy("session_id", "page")
         .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+        .groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("page", "messages"))).alias("pages"))
+        .select("session_id", F.flatten(F.transform("pages", lambda p: p["messages"])).alias("messages"))
     )
     return owned.join(nested, "session_id", "left")
 

@@ -11,6 +11,7 @@ on every partitioning of the data.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from passagery import constants as K
 from passagery.functions.vectors import cosine
 from passagery.operators.topk import BLOCK_BYTES, BestK, to_numpy
+from passagery.session import scratch_path
 
 DIGITS = 9
 SCALE = 10**DIGITS
@@ -129,18 +131,30 @@ def vector_search(
     skip_self: bool = False,
     broadcast_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Exact top-k by cosine: rows (query_id, chunk_id, cosine, rank, score). The filter applies before ranking."""
+    """Exact top-k by cosine: rows (query_id, chunk_id, cosine, rank, score). The filter applies before ranking.
+
+    Vectors of different length, as of different models, never meet: each length is searched on its own.
+    """
     k = k if k > 0 else K.SEARCH_K
     if where is not None:
         chunks = chunks.filter(where)
-    q = queries.select(query_id, "embedding").filter(F.col("embedding").isNotNull())
-    c = chunks.select(id_col, "embedding").filter(F.col("embedding").isNotNull())
+    q = queries.select(query_id, "embedding").filter(F.size("embedding") > 0)
+    c = chunks.select(id_col, "embedding").filter(F.size("embedding") > 0)
     schemas = _schemas(queries, chunks, query_id, id_col)
+    # as many rows as there are lengths
+    lengths = sorted(row["n"] for row in q.select(F.size("embedding").alias("n")).distinct().collect())
+    if not lengths:
+        return _final(q.sparkSession.createDataFrame([], schemas[0]), query_id, id_col, k)
+    parts = []
+    for dim in lengths:
+        fits = F.size("embedding") == dim
+        parts.append(_best_of_length(q.filter(fits), c.filter(fits), dim, schemas, k, query_id, id_col, skip_self, broadcast_bytes))
+    return _final(reduce(DataFrame.unionAll, parts), query_id, id_col, k)
+
+
+def _best_of_length(q: DataFrame, c: DataFrame, dim: int, schemas, k: int, query_id: str, id_col: str, skip_self: bool, broadcast_bytes: int) -> DataFrame:
+    """Each task's best rows per query, all vectors being of one length."""
     spark_schema, arrow_schema = schemas
-    first = q.select(F.size("embedding").alias("n")).head()
-    if first is None:
-        return _final(q.sparkSession.createDataFrame([], spark_schema), query_id, id_col, k)
-    dim = max(first["n"], 1)
     limit = max(broadcast_bytes // (8 * dim), 1)
     head = q.limit(limit + 1).toArrow()
     if head.num_rows <= limit:
@@ -153,34 +167,35 @@ def vector_search(
                     best.add(to_numpy(batch.column(0)), _matrix(batch.column(1), dim))
             yield best.table(arrow_schema)
 
-        return _final(c.mapInArrow(scan, spark_schema), query_id, id_col, k)
+        return c.mapInArrow(scan, spark_schema)
     n_q, n_c = q.count(), c.count()
     grid_q, grid_c = F.lit(-(-n_q // limit)), F.lit(max(-(-n_c // limit), 1))
     cells_q = _spread(q, query_id, "cell_q", grid_q, "cell_c", grid_c).select("cell_q", "cell_c", query_id, "embedding")
     cells_c = _spread(c, id_col, "cell_c", grid_c, "cell_q", grid_q).select("cell_q", "cell_c", id_col, "embedding")
-    partial = _cell_topk(cells_q, cells_c, ["cell_q", "cell_c"], schemas, dim, k, skip_self)
-    return _final(partial, query_id, id_col, k)
+    return _cell_topk(cells_q, cells_c, ["cell_q", "cell_c"], schemas, dim, k, skip_self)
 
 
 class ClusterIndex:
-    """Corpus rows with the number of their nearest centre, and the centres (as many as asked for)."""
+    """Corpus rows stored by the number of their nearest centre, and the centres (as many as asked for)."""
 
     def __init__(self, rows: DataFrame, centres: np.ndarray, id_col: str) -> None:
         self.rows, self.centres, self.id_col = rows, centres, id_col
 
 
 def build_cluster_index(
-    chunks: DataFrame, n_clusters: int = 16, id_col: str = "chunk_id", seed: int = 7, max_iter: int = 8, train_rows: int = 1_000_000
+    chunks: DataFrame, n_clusters: int = 16, id_col: str = "chunk_id", seed: int = 7, max_iter: int = 8
 ) -> ClusterIndex:
-    """Centres are fitted on at most about `train_rows` rows; every row is then assigned to its centre."""
+    """Centres are fitted on all rows; every row is then assigned once and stored in the folder of its cluster."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = chunks.filter(F.col("embedding").isNotNull()).withColumn("point", array_to_vector("embedding"))
-    share = min(1.0, train_rows / max(rows.count(), 1))
-    known = rows.select("point") if share == 1.0 else rows.select("point").sample(share, seed)
-    model = KMeans(featuresCol="point", predictionCol="cluster", k=n_clusters, seed=seed, maxIter=max_iter).fit(known)
-    return ClusterIndex(model.transform(rows).drop("point"), np.array(model.clusterCenters()), id_col)
+    model = KMeans(featuresCol="point", predictionCol="cluster", k=n_clusters, seed=seed, maxIter=max_iter).fit(rows.select("point"))
+    path = scratch_path(chunks.sparkSession, "clusters")
+    assigned = model.transform(rows).drop("point")
+    assigned.hint("rebalance", "cluster").write.partitionBy("cluster").parquet(path)
+    stored = chunks.sparkSession.read.schema(assigned.schema).parquet(path)
+    return ClusterIndex(stored, np.array(model.clusterCenters()), id_col)
 
 
 def nearest_clusters(queries: DataFrame, centres: np.ndarray, n_probe: int) -> DataFrame:
@@ -216,7 +231,8 @@ def vector_search_ann(
     id_col = index.id_col
     dim = index.centres.shape[1]
     q = nearest_clusters(queries.select(query_id, "embedding").filter(F.col("embedding").isNotNull()), index.centres, n_probe)
-    c = index.rows.select(id_col, "embedding", "cluster")
+    probed = [row["cluster"] for row in q.select("cluster").distinct().collect()]  # at most one row per cluster
+    c = index.rows.filter(F.col("cluster").isin(probed)).select(id_col, "embedding", "cluster")
     blocks = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
     # one row per cluster: the number of clusters is the caller's parameter
     plan = F.broadcast(blocks(q, "blocks_q").join(blocks(c, "blocks_c"), "cluster"))
@@ -230,14 +246,26 @@ def vector_search_ann(
     return _final(partial, query_id, id_col, k)
 
 
+def admit_uploads(temp_chunks: DataFrame, limit: int = K.TEMP_DOC_MAX) -> DataFrame:
+    """Uploads (session_id, upload_no) in order of arrival, with `admitted` and the `reason` of a refusal.
+
+    An upload is admitted, whole, while its session holds fewer than `limit` chunks.
+    """
+    sizes = temp_chunks.groupBy("session_id", "upload_no").agg(F.count(F.lit(1)).alias("n_chunks"))
+    before = Window.partitionBy("session_id").orderBy("upload_no").rowsBetween(Window.unboundedPreceding, -1)
+    admitted = F.coalesce(F.sum("n_chunks").over(before), F.lit(0)) < limit
+    return sizes.withColumn("admitted", admitted).withColumn(
+        "reason", F.when(~F.col("admitted"), F.lit(f"limit of {limit} reached"))
+    )
+
+
 def temp_recall(
-    queries: DataFrame, temp_chunks: DataFrame, k: int = K.TEMP_K, id_col: str = "chunk_id", max_chunks: int = K.TEMP_DOC_MAX
+    queries: DataFrame, temp_chunks: DataFrame, k: int = K.TEMP_K, id_col: str = "chunk_id", limit: int = K.TEMP_DOC_MAX
 ) -> DataFrame:
-    """Best own-session chunks per query. A session holds at most `max_chunks` chunks (first come), as on upload."""
-    admitted = Window.partitionBy("session_id").orderBy("added_no", id_col)
-    pool = (
-        temp_chunks.withColumn("slot", F.row_number().over(admitted)).filter(F.col("slot") <= max_chunks)
-        .select("session_id", id_col, F.col("embedding").alias("chunk_vector"))
+    """Best own-session chunks per query, of all chunks of the admitted uploads."""
+    admitted = admit_uploads(temp_chunks, limit).filter("admitted").select("session_id", "upload_no")
+    pool = temp_chunks.join(admitted, ["session_id", "upload_no"], "left_semi").select(
+        "session_id", id_col, F.col("embedding").alias("chunk_vector")
     )
     scored = queries.select("query_id", "session_id", "embedding").join(pool, "session_id").select(
         "query_id", "session_id", id_col,

@@ -1,7 +1,7 @@
 """Tables and parts rendered as text.
 
-Every text is built per (key, segment), where a segment is a fixed range of row numbers. A key that holds
-a large share of all rows is therefore spread over many groups; its segments in order are the whole text.
+Every text is built per (key, segment), where a segment is a fixed range of row numbers, so that a key that holds a
+large share of all rows is spread over many groups; a second level joins the few segments of a key to its one text.
 """
 
 from __future__ import annotations
@@ -32,13 +32,16 @@ def ordered_text(order: list[str], text: Column, sep: str) -> Column:
 def assemble_parts(
     df: DataFrame, key: str, order: str, text: str = "text", sep: str = "\n\n", segment_parts: int = SEGMENT_ROWS
 ) -> DataFrame:
-    """Parts of one document joined in order: rows (key, segment, n_parts, text)."""
+    """Parts of one document joined in order: one row (key, n_parts, text) for each document."""
     segment = F.floor(F.col(order) / segment_parts).cast("bigint")
-    return (
+    segments = (
         df.withColumn("segment", segment)
         .groupBy(key, "segment")
         .agg(F.count(F.lit(1)).alias("n_parts"), ordered_text([order], F.col(text), sep).alias("text"))
     )
+    return segments.groupBy(key).agg(
+        F.sum("n_parts").alias("n_parts"), ordered_text(["segment"], F.col("text"), sep).alias("text")
+    )
 
 
 def table_to_text(
@@ -49,7 +52,7 @@ def table_to_text(
     threshold: int = K.TABLE_ROW_LIMIT,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Rows of each sheet as text: a Markdown table up to `threshold` rows, else `header: value` lines.
+    """Each sheet as one text: a Markdown table up to `threshold` rows, else `header: value` lines.
 
     `cols` maps source columns to headers (blank header: a numbered one). Rows without any value are dropped.
     """
@@ -61,9 +64,7 @@ def table_to_text(
         .filter(F.exists("cells", lambda c: c != ""))
         .withColumn("segment", F.floor(F.col("row_no") / segment_rows).cast("bigint"))
     )
-    sizes = rows.groupBy("sheet").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("segment").alias("first_segment")
-    )
+    sizes = rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"))
     pairs = F.filter(
         F.zip_with(
             F.array(*[F.lit(h) for h in headers]), F.col("cells"),
@@ -77,18 +78,22 @@ def table_to_text(
     lined = (
         rows.join(sizes, "sheet")
         .withColumn("mode", F.when(small, F.lit("markdown")).otherwise(F.lit("key_value")))
-        .withColumn("segment", F.when(small, F.col("first_segment")).otherwise(F.col("segment")))
         .withColumn("line", F.when(small, md_row).otherwise(F.array_join(pairs, ", ")))
     )
-    body = lined.groupBy("sheet", "mode", "segment", "first_segment").agg(
+    segments = lined.groupBy("sheet", "mode", "segment").agg(
         F.count(F.lit(1)).alias("n_rows"), ordered_text(["row_no"], F.col("line"), "\n").alias("body")
     )
+    body = segments.groupBy("sheet", "mode").agg(
+        F.sum("n_rows").alias("n_rows"), ordered_text(["segment"], F.col("body"), "\n").alias("body")
+    )
     title = F.concat(F.lit("## "), F.col("sheet").cast("string"), F.lit("\n\n"))
-    first = F.col("segment") == F.col("first_segment")
-    text = (
-        F.when(F.col("mode") == "markdown", F.concat(title, F.lit(md_head), F.col("body"), F.lit("\n")))
-        .when(first, F.concat(title, F.col("body")))
-        .otherwise(F.col("body"))
+    table = F.concat(title, F.lit(md_head), F.col("body"), F.lit("\n"))
+    text = F.when(F.col("mode") == "markdown", table).otherwise(F.concat(title, F.col("body")))
+    return body.select("sheet", "mode", "n_rows", text.alias("text"))
+
+
+def workbook_text(sheets: DataFrame, workbook: str, order: str) -> DataFrame:
+    """The sheets of each workbook joined by the break, in order: one row (workbook, n_sheets, text)."""
+    return sheets.groupBy(workbook).agg(
+        F.count(F.lit(1)).alias("n_sheets"), ordered_text([order], F.col("text"), K.SHEET_BREAK).alias("text")
     )
-    return body.select("sheet", "mode", (F.col("segment") - F.col("first_segment")).alias("segment"), "n_rows",
-                       text.alias("text"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from passagery.session import scratch_path
 
@@ -19,12 +19,15 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A table file (or a folder of files of that table) as a stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A table, stored as a folder of part files or as one file, as a stream."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 @contextmanager
@@ -74,5 +77,6 @@ def updated(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """The last state per key that an update-mode stream has emitted."""
     rest = [c for c in stream.columns if c not in keys]
     out = run_available(stream, label, "update")
-    rows = stream.sparkSession.read.parquet(out)
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(out)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")

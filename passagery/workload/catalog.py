@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from passagery import constants as K
 from passagery.functions import codes, text as T
@@ -180,12 +180,11 @@ def role_counts(t: Tables):
     return A.role_facets(R.bindings(t), R.roles(t))
 
 
-@query(R.ctes("kb_documents") + """ SELECT kb_id, doc_id, (row_number() OVER w)::INTEGER AS position FROM kb_documents
-WINDOW w AS (PARTITION BY kb_id ORDER BY upload_time DESC, doc_id DESC) QUALIFY row_number() OVER w <= 20""")
+@query(R.ctes("kb_documents") + " SELECT kb_id, doc_id, strftime(upload_time, '%Y-%m-%d %H:%M:%S') AS uploaded FROM kb_documents")
 def newest_documents(t: Tables):
-    """The first page of every knowledge base's document list."""
-    w = Window.partitionBy("kb_id").orderBy(F.col("upload_time").desc(), F.col("doc_id").desc())
-    return R.kb_documents(t).withColumn("position", F.row_number().over(w)).filter(F.col("position") <= 20).select("kb_id", "doc_id", "position")
+    """The whole document list of every knowledge base."""
+    return D.list_documents(R.kb_documents(t)).select(
+        "kb_id", "doc_id", F.date_format("upload_time", "yyyy-MM-dd HH:mm:ss").alias("uploaded"))
 
 
 EVENTS_SQL = """

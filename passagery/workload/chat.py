@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from passagery import constants as K
 from passagery.functions import codes, text as T
@@ -13,6 +13,7 @@ from passagery.session import scratch_path
 from passagery.sources import files, sinks
 from passagery.workload import base, derived as R, sqlgen as S
 from passagery.workload.registry import Tables, query
+from passagery.workload.retrieval import UPLOADS_SQL, upload_no
 
 # ---- ingest and storage -------------------------------------------------------------------------------------
 
@@ -236,8 +237,7 @@ def setting_precedence(t: Tables):
 TURNS_SQL = f"""
 turns AS (SELECT conv_id * 1000 + turn AS query_id, conv_id AS session_id, CASE WHEN turn = 2 THEN text || ' System Prompt: x' ELSE text END AS text FROM conversations WHERE role = 'user'),
 queries AS (SELECT query_id, text FROM turns WHERE NOT contains(text, 'System Prompt: x')),
-all_up AS (SELECT conv_id AS session_id, conv_id * 1000 + turn AS chunk_id, turn, text FROM conversations WHERE role = 'assistant'),
-uploads AS (SELECT * FROM all_up QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn, chunk_id) <= 5),
+{UPLOADS_SQL},
 {S.VECTORS}, {S.hashed('uploads', 'chunk_id', 'uv')}, {S.top('vec', 4, 'vtop')},
 own AS (SELECT qv.id AS query_id, u.chunk_id::VARCHAR AS chunk_id, (1.0 + {S.cosine('qv.e', 'uv.e')}) / 2.0 AS score, u.chunk_id AS ord, u.text
         FROM qv JOIN turns t ON t.query_id = qv.id JOIN uploads u ON u.session_id = t.session_id JOIN uv ON uv.id = u.chunk_id),
@@ -264,7 +264,7 @@ def chat_contexts(t: Tables):
         F.col("key").alias("query_id"), F.col("conv_id").alias("session_id"), unsafe.alias("text"), F.lit(" ").alias("rewritten")
     )
     temp = rows.filter(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("session_id"), F.col("key").cast("string").alias("chunk_id"), F.col("turn").alias("added_no"),
+        F.col("conv_id").alias("session_id"), F.col("key").cast("string").alias("chunk_id"), upload_no().alias("upload_no"),
         F.lit(None).cast("bigint").alias("doc_id"), "text",
     )
     done = PC.prepare_context(embed(turns), base.embedded_corpus(t), embed(temp), k=4, threshold=0.78, budget=1500)
@@ -276,13 +276,10 @@ def chat_contexts(t: Tables):
 # ---- sessions -----------------------------------------------------------------------------------------------
 
 
-@query(R.ctes("sessions") + """ SELECT user_id, session_id, (row_number() OVER w)::INTEGER AS position FROM sessions WHERE deleted = 0
-WINDOW w AS (PARTITION BY user_id ORDER BY last_access_time DESC, session_id) QUALIFY row_number() OVER w <= 10""")
+@query(R.ctes("sessions") + " SELECT user_id, session_id FROM sessions WHERE deleted = 0")
 def session_lists(t: Tables):
-    """The first page of every user's session list."""
-    w = Window.partitionBy("user_id").orderBy(F.col("last_access_time").desc(), "session_id")
-    rows = R.sessions(t).filter(F.col("deleted") == 0).withColumn("position", F.row_number().over(w))
-    return rows.filter(F.col("position") <= 10).select("user_id", "session_id", "position")
+    """The whole session list of every user."""
+    return H.list_sessions(R.sessions(t)).select("user_id", "session_id")
 
 
 @query(R.ctes("messages") + """ SELECT session_id, message_id, role, text, CASE WHEN role = 'ASSISTANT' AND turn % 3 <> 2 THEN 2 ELSE 0 END AS n_citations

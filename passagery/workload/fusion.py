@@ -86,7 +86,7 @@ def content_dedup(t: Tables):
     return X.dedup_content(X.dedup_instances(rows)).select("query_id", "chunk_id", "text_hash")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'hash:' || sha256(text) WHEN role = 'system' AND text <> '' THEN 'txt:' || substr(text, 1, 64)
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'hash:' || sha256(text) WHEN role = 'system' AND text <> '' THEN 'txt:' || sha256(text)
   WHEN turn % 3 = 1 THEN 'cid:' || turn ELSE 'id:' || conv_id END AS fusion_key FROM conversations""")
 def fusion_keys(t: Tables):
     assistant = F.col("role") == "assistant"

@@ -181,18 +181,29 @@ def search_by_mode(t: Tables):
 TEMP_SQL = S.hashed("uploads", "chunk_id", "uv") + "," + S.hashed("asks", "query_id", "av")
 
 
+UPLOADS_SQL = """
+all_up AS (SELECT conv_id AS session_id, conv_id * 1000 + turn AS chunk_id, turn // 4 AS upload_no, text FROM conversations WHERE role = 'assistant'),
+held AS (SELECT session_id, upload_no, count(*) AS n_chunks, coalesce(sum(count(*)) OVER (PARTITION BY session_id ORDER BY upload_no
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM all_up GROUP BY session_id, upload_no),
+uploads AS (SELECT a.* FROM all_up a JOIN held USING (session_id, upload_no) WHERE before < 5)"""
+
+
+def upload_no():
+    """Assistant texts of neighbouring turns stand in for the chunks of one uploaded file."""
+    return F.floor(F.col("turn") / 4).cast("bigint")
+
+
 def session_uploads(t: Tables):
-    """Assistant texts stand in for a session's uploaded files, user texts for its questions."""
+    """Assistant texts stand in for the chunks of a session's uploaded files, user texts for its questions."""
     rows = t.conversations.withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
     temp = rows.filter(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("session_id"), F.col("key").alias("chunk_id"), F.col("turn").alias("added_no"), "text"
+        F.col("conv_id").alias("session_id"), F.col("key").alias("chunk_id"), upload_no().alias("upload_no"), "text"
     )
     asks = rows.filter(F.col("role") == "user").select(F.col("conv_id").alias("session_id"), F.col("key").alias("query_id"), "text")
     return E.embed(asks), E.embed(temp)
 
 
-@query(f"""WITH all_up AS (SELECT conv_id AS session_id, conv_id * 1000 + turn AS chunk_id, turn, text FROM conversations WHERE role = 'assistant'),
-uploads AS (SELECT * FROM all_up QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn, chunk_id) <= 5),
+@query(f"""WITH {UPLOADS_SQL},
 asks AS (SELECT conv_id AS session_id, conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user'), {TEMP_SQL},
 s AS (SELECT a.query_id, u.chunk_id, {S.cosine('av.e', 'uv.e')} AS score FROM asks a JOIN uploads u USING (session_id)
       JOIN av ON av.id = a.query_id JOIN uv ON uv.id = u.chunk_id), {S.top('s', 2, 'r')}
@@ -202,6 +213,14 @@ def session_temp_recall(t: Tables):
     return V.temp_recall(asks, temp, 2).select("query_id", "chunk_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
+@query(f"""WITH {UPLOADS_SQL} SELECT session_id, upload_no, n_chunks, before < 5 AS admitted,
+CASE WHEN before < 5 THEN NULL ELSE 'limit of 5 reached' END AS reason FROM held""")
+def temp_uploads(t: Tables):
+    """Which uploads of a session are admitted, and why the others are refused."""
+    rows = t.conversations.filter(F.col("role") == "assistant").select(F.col("conv_id").alias("session_id"), upload_no().alias("upload_no"))
+    return V.admit_uploads(rows)
+
+
 @query("""SELECT o_orderkey AS query_id,
   (CASE WHEN k > 0 THEN k ELSE 5 END * CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '1%' THEN 3 ELSE 1 END)::INTEGER AS pool,
   (CASE WHEN k > 0 THEN k ELSE 5 END * 2 * CASE WHEN o_orderstatus = 'O' THEN 3 ELSE 1 END)::INTEGER AS multi_pool

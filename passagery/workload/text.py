@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from passagery import constants as K
 from passagery.functions import codes, text as T
 from passagery.operators import chunking as C
-from passagery.sources.tabular import assemble_parts, table_to_text
+from passagery.sources.tabular import assemble_parts, table_to_text, workbook_text
 from passagery.sources.tables import spread
 from passagery.workload import base, sqlgen as S
 from passagery.workload.registry import Tables, query
@@ -66,21 +66,18 @@ sup AS (SELECT 'suppliers' AS sheet, s_suppkey AS row_no, [['id', s_suppkey::VAR
         ['列3', CASE WHEN s_acctbal = floor(s_acctbal) THEN s_acctbal::BIGINT::VARCHAR ELSE s_acctbal::VARCHAR END]] AS cells FROM supplier),
 prt AS (SELECT 'parts' AS sheet, p_partkey AS row_no, [['id', p_partkey::VARCHAR], ['name', p_name], ['brand', p_brand]] AS cells FROM part),
 rows_ AS (SELECT * FROM nat UNION ALL SELECT * FROM sup UNION ALL SELECT * FROM prt),
-sizes AS (SELECT sheet, count(*) AS n, min(row_no // 1000) AS first FROM rows_ GROUP BY sheet),
+sizes AS (SELECT sheet, count(*) AS n FROM rows_ GROUP BY sheet),
 lines AS (
-  SELECT r.sheet, row_no, n <= 20 AS md, CASE WHEN n <= 20 THEN first ELSE row_no // 1000 END AS segment, first,
+  SELECT r.sheet, row_no, n <= 20 AS md,
     CASE WHEN n <= 20 THEN '| ' || array_to_string(list_transform(cells, lambda c: c[2]), ' | ') || ' |'
     ELSE array_to_string(list_transform(cells, lambda c: c[1] || ': ' || c[2]), ', ') END AS line,
     '| ' || array_to_string(list_transform(cells, lambda c: c[1]), ' | ') || ' |' || chr(10) || '|' || repeat(' --- |', len(cells)) || chr(10) AS head
   FROM rows_ r JOIN sizes USING (sheet)),
-body AS (SELECT sheet, md, segment, first, any_value(head) AS head, count(*) AS n_rows, string_agg(line, chr(10) ORDER BY row_no) AS body FROM lines GROUP BY sheet, md, segment, first)"""
+body AS (SELECT sheet, md, any_value(head) AS head, count(*) AS n_rows, string_agg(line, chr(10) ORDER BY row_no) AS body FROM lines GROUP BY sheet, md),
+sheets AS (SELECT sheet, md, n_rows, '## ' || sheet || chr(10) || chr(10) || CASE WHEN md THEN head || body || chr(10) ELSE body END AS text FROM body)"""
 
 
-@query(f"""WITH {SHEETS_SQL}
-SELECT sheet, CASE WHEN md THEN 'markdown' ELSE 'key_value' END AS mode, (segment - first)::BIGINT AS segment, n_rows,
-  CASE WHEN md THEN '## ' || sheet || chr(10) || chr(10) || head || body || chr(10)
-       WHEN segment = first THEN '## ' || sheet || chr(10) || chr(10) || body ELSE body END AS text
-FROM body""")
+@query(f"WITH {SHEETS_SQL} SELECT sheet, CASE WHEN md THEN 'markdown' ELSE 'key_value' END AS mode, n_rows, text FROM sheets")
 def sheet_text(t: Tables):
     nation = t.nation.withColumn("sheet", F.concat(F.lit("region "), F.col("n_regionkey").cast("string")))
     small = table_to_text(nation, "sheet", "n_nationkey", {"n_nationkey": "id", "n_name": "name"})
@@ -95,6 +92,14 @@ def sheet_text(t: Tables):
     return small.unionByName(suppliers).unionByName(parts)
 
 
+@query(f"""WITH {SHEETS_SQL} SELECT md AS small, count(*) AS n_sheets,
+string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY sheet) AS text FROM sheets GROUP BY md""")
+def workbooks(t: Tables):
+    """The sheets of a workbook as one text: one workbook of the small sheets, one of the long ones."""
+    sheets = sheet_text(t).withColumn("small", F.col("mode") == "markdown")
+    return workbook_text(sheets, "small", "sheet")
+
+
 def noisy_ocr(text):
     """Recognised-text markup around every document."""
     return F.concat(
@@ -117,7 +122,7 @@ def meaningful_text(t: Tables):
     )
 
 
-@query("""SELECT conv_id, 0::BIGINT AS segment, count(*) AS n_parts, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
+@query("""SELECT conv_id, count(*) AS n_parts, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""")
 def assembled_conversations(t: Tables):
     return assemble_parts(t.conversations, "conv_id", "turn")

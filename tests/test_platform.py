@@ -70,11 +70,12 @@ def test_tables_of_20_and_21_rows(spark):
     assert out["s21"]["text"].split("\n")[2:4] == ["B: 2.5, 列3: z", "A: y, B: 2.5, 列3: z"] and out["s21"]["mode"] == "key_value"
 
 
-def test_long_sheet_comes_in_segments_that_join_to_the_whole(spark):
+def test_long_sheet_and_long_documents_are_one_text(spark):
     df = spark.range(95).select(F.lit("s").alias("sheet"), F.col("id").alias("no"), F.concat(F.lit("v"), F.col("id")).alias("a"))
-    rows = tabular.table_to_text(df, "sheet", "no", {"a": "A"}, segment_rows=10).orderBy("segment").collect()
-    assert len(rows) == 10
-    assert "\n".join(r["text"] for r in rows) == "## s\n\n" + "\n".join(f"A: v{i}" for i in range(95))
+    rows = tabular.table_to_text(df, "sheet", "no", {"a": "A"}, segment_rows=10).collect()
+    assert [r["text"] for r in rows] == ["## s\n\n" + "\n".join(f"A: v{i}" for i in range(95))]
+    parts = tabular.assemble_parts(spark.range(2100).selectExpr("1L AS key", "id", "'p' || id AS text"), "key", "id").collect()
+    assert [(r["n_parts"], r["text"]) for r in parts] == [(2100, "\n\n".join(f"p{i}" for i in range(2100)))]
 
 
 def test_directory_with_a_broken_file(spark, tmp_path):

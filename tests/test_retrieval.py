@@ -180,3 +180,24 @@ def test_embedding_is_unit_and_null_stays_null(spark):
     df = spark.createDataFrame([("a b c",), (None,), ("",)], "text string")
     rows = [r["embedding"] for r in embed(df).collect()]
     assert abs(sum(x * x for x in rows[0]) - 1) < 1e-6 and rows[1] is None and not any(rows[2])
+
+
+def test_vectors_of_different_length_never_meet(spark):
+    from passagery.operators.vector import vector_search
+
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.8, 0.2, 0.0])]
+    for order in (rows, rows[::-1]):
+        chunks = spark.createDataFrame(order, "chunk_id long, embedding array<double>").coalesce(1)
+        queries = spark.createDataFrame([(10 * i, v) for i, v in order if i in (1, 3)], "query_id long, embedding array<double>")
+        got = sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in vector_search(queries, chunks, 5).collect())
+        assert got == [(10, 1, 1), (10, 2, 2), (30, 1, 3), (30, 2, 4)]
+
+
+def test_uploads_are_admitted_whole_until_the_pool_is_full(spark):
+    from passagery.operators.vector import admit_uploads, temp_recall
+
+    chunks = [(1, 0, f"a{i}", [1.0, float(i)]) for i in range(40)] + [(1, 1, "late", [1.0, 5.0])]
+    temp = spark.createDataFrame(chunks, "session_id long, upload_no long, chunk_id string, embedding array<double>")
+    assert {r["upload_no"]: r["admitted"] for r in admit_uploads(temp).collect()} == {0: True, 1: False}
+    asked = spark.createDataFrame([(7, 1, [0.0, 1.0])], "query_id long, session_id long, embedding array<double>")
+    assert [r["chunk_id"] for r in temp_recall(asked, temp, 2).orderBy("rank").collect()] == ["a39", "a38"]

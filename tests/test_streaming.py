@@ -82,3 +82,13 @@ def test_dedup_and_status_over_batches(spark, tmp_path):
     states = states.withColumn("status", F.concat(F.lit("S"), F.col("seq"))).withColumn("event_time", F.timestamp_seconds("seq"))
     last = R.updated(J.latest_status_stream(split_stream(states, str(tmp_path / "y"), "no")), "status", ["doc_id"])
     assert [tuple(r) for r in last.select("status", "n_events").distinct().collect()] == [("S3", 4)]
+
+
+def test_a_table_in_a_folder_of_parts_streams_like_one_file(spark, tmp_path):
+    from passagery.streaming.runner import appended, stream_table
+
+    spark.range(40).repartition(4).write.parquet(str(tmp_path / "parts.parquet"))
+    stream = stream_table(spark, str(tmp_path), "parts", files_per_batch=1)
+    assert sorted(r["id"] for r in appended(stream, "parts").collect()) == list(range(40))
+    spark.range(0).write.parquet(str(tmp_path / "none.parquet"))
+    assert appended(stream_table(spark, str(tmp_path), "none"), "none").count() == 0
