@@ -229,21 +229,43 @@ def vector_search_ann(
     Clusters above `block_rows` rows, and clusters probed by more queries than that, are met in several cells.
     """
     id_col = index.id_col
-    dim = index.centres.shape[1]
     q = nearest_clusters(queries.select(query_id, "embedding").filter(F.col("embedding").isNotNull()), index.centres, n_probe)
     probed = [row["cluster"] for row in q.select("cluster").distinct().collect()]  # at most one row per cluster
     c = index.rows.filter(F.col("cluster").isin(probed)).select(id_col, "embedding", "cluster")
-    blocks = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-    # one row per cluster: the number of clusters is the caller's parameter
-    plan = F.broadcast(blocks(q, "blocks_q").join(blocks(c, "blocks_c"), "cluster"))
-    keys = ["cluster", "cell_q", "cell_c"]
-    cells_q = _spread(q.join(plan, "cluster"), query_id, "cell_q", F.col("blocks_q"), "cell_c", F.col("blocks_c"))
-    cells_c = _spread(c.join(plan, "cluster"), id_col, "cell_c", F.col("blocks_c"), "cell_q", F.col("blocks_q"))
-    schemas = _schemas(queries, index.rows, query_id, id_col)
-    partial = _cell_topk(
+    partial = _within(q, c, "cluster", index.centres.shape[1], _schemas(queries, index.rows, query_id, id_col), k, skip_self, block_rows)
+    return _final(partial, query_id, id_col, k)
+
+
+def _within(q: DataFrame, c: DataFrame, scope: str, dim: int, schemas, k: int, skip_self: bool, block_rows: int) -> DataFrame:
+    """Best rows per query of the corpus rows of its own scope; each scope is cut into cells of bounded size."""
+    query_id, id_col = schemas[1].names[:2]
+    blocks = lambda df, name: df.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+    plan = blocks(q, "blocks_q").join(blocks(c, "blocks_c"), scope)
+    keys = [scope, "cell_q", "cell_c"]
+    cells_q = _spread(q.join(plan, scope), query_id, "cell_q", F.col("blocks_q"), "cell_c", F.col("blocks_c"))
+    cells_c = _spread(c.join(plan, scope), id_col, "cell_c", F.col("blocks_c"), "cell_q", F.col("blocks_q"))
+    return _cell_topk(
         cells_q.select(*keys, query_id, "embedding"), cells_c.select(*keys, id_col, "embedding"), keys, schemas, dim, k, skip_self
     )
-    return _final(partial, query_id, id_col, k)
+
+
+def scoped_vector_search(
+    queries: DataFrame, chunks: DataFrame, scope: str, k: int = K.SEARCH_K, query_id: str = "query_id", id_col: str = "chunk_id",
+    block_rows: int = 1 << 16,
+) -> DataFrame:
+    """Exact top-k of every (query, scope) row of `queries` among the chunks of that scope, all scopes in one job."""
+    q = queries.select(query_id, scope, "embedding").filter(F.size("embedding") > 0)
+    c = chunks.select(id_col, scope, "embedding").filter(F.size("embedding") > 0)
+    pair = F.concat_ws("@", F.col(scope).cast("string"), F.col(query_id).cast("string"))
+    asked = q.select(pair.alias("pair"), scope, "embedding")
+    schemas = _schemas(asked, c, "pair", id_col)
+    lengths = sorted(row["n"] for row in q.select(F.size("embedding").alias("n")).distinct().collect())
+    parts = [q.sparkSession.createDataFrame([], schemas[0])]
+    for dim in lengths:
+        fits = F.size("embedding") == dim
+        parts.append(_within(asked.filter(fits), c.filter(fits), scope, dim, schemas, k, False, block_rows))
+    hits = _final(reduce(DataFrame.unionAll, parts), "pair", id_col, k)
+    return hits.join(q.select(pair.alias("pair"), query_id, scope), "pair").drop("pair")
 
 
 def admit_uploads(temp_chunks: DataFrame, limit: int = K.TEMP_DOC_MAX) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from passagery import constants as K
 from passagery.operators import fusion as X
 from passagery.operators.keyword import Bm25Index, bm25_search
-from passagery.operators.vector import vector_search
+from passagery.operators.vector import scoped_vector_search, vector_search
 from passagery.session import materialize
 
 MODES = ("VECTOR_ONLY", "BM25_ONLY", "HYBRID")
@@ -88,7 +88,7 @@ def hybrid_search(
 def search(
     queries: DataFrame, corpus: Corpus, k: int = K.SEARCH_K, config: SearchConfig | None = None, where: Column | None = None
 ) -> DataFrame:
-    """Each query row names its own mode; the three plans share the corpus scan and are united."""
+    """Each query row names its own mode; the three plans are united."""
     cfg = config or SearchConfig()
     moded = queries.withColumn("mode", normalize_mode(F.col("mode")))
     pick = lambda name: moded.filter(F.col("mode") == name)
@@ -114,6 +114,46 @@ def search_kb(
     return X.rerank(asked, relevance(F.col("query_text"), F.col("text")), k).drop("query_text")
 
 
+def search_scoped(queries: DataFrame, corpus: Corpus, k: int, config: SearchConfig | None = None) -> DataFrame:
+    """Each row (query_id, kb_id, text, embedding, mode) searches its own base in its own mode, vector by default.
+
+    A (query, base) pair ranks like a query of its own, so that all bases and modes are one vector and one keyword job.
+    The keyword index must be scoped by base. Rows: (query_id, kb_id, chunk_id, rank, score).
+    """
+    cfg = config or SearchConfig()
+    pair = F.concat_ws("@", F.col("kb_id").cast("string"), F.col("query_id").cast("string"))
+    mode = normalize_mode(F.col("mode")) if "mode" in queries.columns else F.lit("VECTOR_ONLY")
+    asked = queries.filter(F.col("kb_id").isNotNull()).withColumn("pair", pair).withColumn("mode", mode)
+    vector = scoped_vector_search(asked.filter("mode <> 'BM25_ONLY'"), corpus.chunks, "kb_id", 2 * k)
+    words = asked.filter("mode <> 'VECTOR_ONLY'").select("query_id", "text", F.col("kb_id").alias("scope"))
+    keyword = bm25_search(words, corpus.index, 2 * k, cfg.k1, cfg.b).withColumnRenamed("scope", "kb_id")
+    row = lambda df, path: df.select(pair.alias("pair"), F.lit(path).alias("path"), "chunk_id", "rank", "score")
+    hits = row(vector, "vector").unionByName(row(keyword, "bm25")).join(asked.select("pair", "mode"), "pair")
+    pool = attach(hits.withColumnRenamed("pair", "query_id"), corpus.chunks, corpus.identity)
+    fused = X.fuse(pool.filter("mode = 'HYBRID'").drop("mode"), k, cfg.fusion_mode, cfg.rrf_k, cfg.vector_weight, cfg.bm25_weight)
+    single = pool.filter((F.col("mode") != "HYBRID") & (F.col("rank") <= k)).select("query_id", "chunk_id", "rank", "score")
+    both = single.unionByName(fused.select("query_id", "chunk_id", "rank", F.col("gain").alias("score")))
+    return both.withColumnRenamed("query_id", "pair").join(asked.select("pair", "query_id", "kb_id"), "pair").drop("pair")
+
+
+def search_base(
+    queries: DataFrame, corpus: Corpus, k: int = K.SEARCH_K, config: SearchConfig | None = None, relevance=X.term_coverage
+) -> DataFrame:
+    """One base per query in the query's mode; only a hybrid search enlarges its pool and is reranked."""
+    cfg = config or SearchConfig(rerank=True)
+    factor = cfg.rerank_multiplier if cfg.rerank else 1
+    mode = normalize_mode(F.col("mode"))
+    hits = search_scoped(queries, corpus, k * factor, cfg)
+    asked = hits.join(queries.select("query_id", mode.alias("mode"), F.col("text").alias("query_text")), "query_id")
+    columns = ["query_id", "kb_id", "mode", "chunk_id", "rank", "score"]
+    plain = asked.filter((F.col("rank") <= k) & ((F.col("mode") != "HYBRID") | F.lit(not cfg.rerank))).select(*columns)
+    if not cfg.rerank:
+        return plain
+    texts = attach(asked.filter("mode = 'HYBRID'"), corpus.chunks, ["text"])
+    ranked = X.rerank(texts, relevance(F.col("query_text"), F.col("text")), k)
+    return plain.unionByName(ranked.select(*columns))
+
+
 def multi_kb_recall(queries: DataFrame, index: Bm25Index, size: int, k1: float = K.BM25_K1, b: float = K.BM25_B) -> DataFrame:
     """Top rows of every knowledge base named by a query (`kb_ids`), in one job; an empty base adds nothing."""
     scattered = queries.select("query_id", "text", F.explode("kb_ids").alias("scope"))
@@ -129,10 +169,17 @@ def multi_search(
     expand: int = 2,
     relevance=None,
     parents: DataFrame | None = None,
+    by_mode: bool = False,
 ) -> DataFrame:
-    """Several knowledge bases: recall, whitelist, cross-base deduplication, rank, parent texts, cut."""
+    """Several knowledge bases: recall, whitelist, cross-base deduplication, rank, parent texts, cut.
+
+    Recall is by keywords, or with `by_mode` in the mode of each query (then with an embedding).
+    """
     size = k * expand * (3 if allowed is not None else 1)
-    recalled = multi_kb_recall(queries, index, size)
+    if by_mode:
+        recalled = search_scoped(queries.withColumn("kb_id", F.explode("kb_ids")), Corpus(chunks, index), size)
+    else:
+        recalled = multi_kb_recall(queries, index, size)
     base_no = queries.select("query_id", F.posexplode("kb_ids").alias("kb_pos", "kb_id"))
     placed = recalled.join(base_no, ["query_id", "kb_id"])
     extra = [c for c in ("doc_id", "text_hash", "chunk_type", "parent_chunk_id", "text") if c in chunks.columns]

@@ -11,7 +11,7 @@ from passagery.plans import search as P
 from passagery.session import materialize
 from passagery.workload import base, sqlgen as S
 from passagery.workload.registry import Tables, query
-from passagery.workload.retrieval import FUSED_SQL, SCATTER_SQL, scattered
+from passagery.workload.retrieval import BY_MODE_SQL, FUSED_SQL, SCATTER_SQL, SCOPED_SQL, by_mode, scattered, scoped_corpus
 from passagery.workload.text import HIER_SQL, multi_part_texts
 
 
@@ -222,3 +222,20 @@ WINDOW w AS (PARTITION BY query_id ORDER BY relevance DESC, rank) QUALIFY row_nu
 def single_kb_search(t: Tables):
     hits = P.search_kb(base.embedded_queries(t), base.embedded_corpus(t), 5)
     return hits.select("query_id", "chunk_id", "rank", F.round("relevance", 6).alias("relevance"))
+
+
+ONE_BASE_SQL = """
+asked AS (SELECT query_id, (length(text) % 20)::INTEGER AS scope FROM queries)"""
+
+
+@query(S.retrieval(S.VECTORS, S.bm25("kb_id"), ONE_BASE_SQL, SCOPED_SQL, S.pool(18, "vec2", "bm2"), FUSED_SQL.format(limit=18), BY_MODE_SQL, f"""
+own AS (SELECT asked_id AS query_id, kb_id, mode, chunk_id, rank, score FROM ranked JOIN modes USING (query_id, mode) WHERE rank <= 9),
+rel AS (SELECT own.*, count(*) OVER (PARTITION BY query_id) AS n, {COVER} AS relevance FROM own JOIN queries q USING (query_id)
+        JOIN chunks c USING (chunk_id) WHERE mode = 'HYBRID'),
+again AS (SELECT query_id, kb_id, mode, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n = 1 THEN 1.0 ELSE relevance END DESC, rank))::INTEGER AS rank FROM rel)""")
+       + """ SELECT query_id, kb_id, mode, chunk_id, rank FROM own WHERE mode <> 'HYBRID' AND rank <= 3
+UNION ALL SELECT query_id, kb_id, mode, chunk_id, rank FROM again WHERE rank <= 3""")
+def single_kb_by_mode(t: Tables):
+    """One base for each query, in the query's mode; hybrid results are reranked from a larger pool."""
+    asked = by_mode(base.embedded_queries(t)).withColumn("kb_id", (F.length("text") % 20).cast("int"))
+    return P.search_base(asked, scoped_corpus(t), 3).select("query_id", "kb_id", "mode", "chunk_id", "rank")

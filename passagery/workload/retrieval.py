@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from passagery.functions import codes, text as T, vectors
 from passagery.functions.filters import filter_expr
 from passagery.operators import embedding as E, keyword as B, vector as V
 from passagery.operators.evaluation import containment_truth, recall_at_k as recall
+from passagery.operators.keyword import build_bm25_index
 from passagery.plans import search as P
+from passagery.session import materialize
 from passagery.workload import base, sqlgen as S
 from passagery.workload.registry import Tables, query
 
@@ -87,6 +89,14 @@ def vector_topk_ann(t: Tables):
     return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(EMB_SQL + ", " + S.top("s", 5, "r") + " SELECT query_id, chunk_id, rank, round((1.0 + score) / 2.0, 6) AS score FROM r")
+def vector_topk_all_clusters(t: Tables):
+    """Probing every cluster of the stored index is the exact search."""
+    index = V.build_cluster_index(vectors_as_chunks(t), n_clusters=8)
+    hits = V.vector_search_ann(vectors_as_queries(t), index, 5, n_probe=8, skip_self=True)
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {S.CHUNKS}, tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), {S.TOK})) AS term FROM chunks)
 SELECT term, count(*) AS total_tf, count(DISTINCT chunk_id) AS df FROM tok GROUP BY term""")
 def index_terms(t: Tables):
@@ -252,6 +262,37 @@ def multi_kb_candidates(t: Tables):
     return hits.select("query_id", "kb_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+SCOPED_SQL = """
+vec2 AS (SELECT a.scope || '@' || v.query_id AS query_id, v.chunk_id, v.score FROM vec v JOIN chunks c USING (chunk_id)
+         JOIN asked a ON a.query_id = v.query_id AND a.scope = c.kb_id),
+bm2 AS (SELECT b.scope || '@' || b.query_id AS query_id, b.chunk_id, b.score FROM bm b JOIN asked USING (query_id, scope)),
+modes AS (SELECT a.scope || '@' || query_id AS query_id, query_id AS asked_id, scope AS kb_id,
+          ['VECTOR_ONLY', 'BM25_ONLY', 'HYBRID'][length(text) % 3 + 1] AS mode FROM asked a JOIN queries USING (query_id))"""
+BY_MODE_SQL = """
+ranked AS (SELECT query_id, 'VECTOR_ONLY' AS mode, chunk_id, rank, score FROM vtop UNION ALL SELECT query_id, 'BM25_ONLY', chunk_id, rank, score FROM btop
+           UNION ALL SELECT query_id, 'HYBRID', chunk_id, rank, gain FROM fused)"""
+
+
+def by_mode(queries: DataFrame) -> DataFrame:
+    names = F.array(*[F.lit(m) for m in P.MODES])
+    return queries.withColumn("mode", F.element_at(names, (F.length("text") % 3 + 1).cast("int")))
+
+
+def scoped_corpus(t: Tables) -> P.Corpus:
+    chunks = materialize(E.embed(base.corpus_chunks(t)), "chunks")
+    return P.Corpus(chunks, build_bm25_index(chunks, scope="kb_id"))
+
+
+@query(S.retrieval(S.VECTORS, S.bm25("kb_id"), SCATTER_SQL, SCOPED_SQL, S.pool(8, "vec2", "bm2"), FUSED_SQL.format(limit=8), BY_MODE_SQL)
+       + """ SELECT asked_id AS query_id, kb_id, mode, chunk_id, rank, round(score, 6) AS score FROM ranked JOIN modes USING (query_id, mode) WHERE rank <= 4""")
+def multi_kb_by_mode(t: Tables):
+    """Every base that a query names is searched in the query's mode."""
+    asked = by_mode(E.embed(scattered(t)))
+    hits = P.search_scoped(asked.withColumn("kb_id", F.explode("kb_ids")), scoped_corpus(t), 4)
+    return hits.join(asked.select("query_id", "mode"), "query_id").select(
+        "query_id", "kb_id", "mode", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 TRUTH_SQL = f"""truth AS (SELECT q.query_id, d.doc_id FROM queries q JOIN documents d ON contains(d.text, q.text) AND list_has_all(regexp_extract_all(lower(d.text), {S.TOK}), regexp_extract_all(lower(q.text), {S.TOK})))"""
 
 

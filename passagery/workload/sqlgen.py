@@ -126,9 +126,9 @@ def top(source: str, k: int, name: str, by: str = "query_id", columns: str = "qu
   QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY score DESC, chunk_id) <= {k})"""
 
 
-def pool(k: int) -> str:
+def pool(k: int, vec: str = "vec", bm: str = "bm") -> str:
     """Candidates of both paths with their identity columns."""
-    return f"""{top('vec', k, 'vtop')}, {top('bm', k, 'btop')},
+    return f"""{top(vec, k, 'vtop')}, {top(bm, k, 'btop')},
 pool AS (
   SELECT p.*, c.doc_id, c.text_hash FROM (
     SELECT query_id, 'vector' AS path, 0 AS po, chunk_id, rank, score FROM vtop
