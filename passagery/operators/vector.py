@@ -133,13 +133,14 @@ def vector_search(
 ) -> DataFrame:
     """Exact top-k by cosine: rows (query_id, chunk_id, cosine, rank, score). The filter applies before ranking.
 
-    Vectors of different length, as of different models, never meet: each length is searched on its own.
+    Each length of query vectors, as of different models, is searched on its own; a corpus vector of another length has
+    cosine 0 there, whatever the order of the rows.
     """
     k = k if k > 0 else K.SEARCH_K
     if where is not None:
         chunks = chunks.filter(where)
     q = queries.select(query_id, "embedding").filter(F.size("embedding") > 0)
-    c = chunks.select(id_col, "embedding").filter(F.size("embedding") > 0)
+    c = chunks.select(id_col, "embedding").filter(F.col("embedding").isNotNull())
     schemas = _schemas(queries, chunks, query_id, id_col)
     # as many rows as there are lengths
     lengths = sorted(row["n"] for row in q.select(F.size("embedding").alias("n")).distinct().collect())
@@ -148,7 +149,7 @@ def vector_search(
     parts = []
     for dim in lengths:
         fits = F.size("embedding") == dim
-        parts.append(_best_of_length(q.filter(fits), c.filter(fits), dim, schemas, k, query_id, id_col, skip_self, broadcast_bytes))
+        parts.append(_best_of_length(q.filter(fits), c, dim, schemas, k, query_id, id_col, skip_self, broadcast_bytes))
     return _final(reduce(DataFrame.unionAll, parts), query_id, id_col, k)
 
 
@@ -255,7 +256,7 @@ def scoped_vector_search(
 ) -> DataFrame:
     """Exact top-k of every (query, scope) row of `queries` among the chunks of that scope, all scopes in one job."""
     q = queries.select(query_id, scope, "embedding").filter(F.size("embedding") > 0)
-    c = chunks.select(id_col, scope, "embedding").filter(F.size("embedding") > 0)
+    c = chunks.select(id_col, scope, "embedding").filter(F.col("embedding").isNotNull())
     pair = F.concat_ws("@", F.col(scope).cast("string"), F.col(query_id).cast("string"))
     asked = q.select(pair.alias("pair"), scope, "embedding")
     schemas = _schemas(asked, c, "pair", id_col)
@@ -263,7 +264,7 @@ def scoped_vector_search(
     parts = [q.sparkSession.createDataFrame([], schemas[0])]
     for dim in lengths:
         fits = F.size("embedding") == dim
-        parts.append(_within(asked.filter(fits), c.filter(fits), scope, dim, schemas, k, False, block_rows))
+        parts.append(_within(asked.filter(fits), c, scope, dim, schemas, k, False, block_rows))
     hits = _final(reduce(DataFrame.unionAll, parts), "pair", id_col, k)
     return hits.join(q.select(pair.alias("pair"), query_id, scope), "pair").drop("pair")
 

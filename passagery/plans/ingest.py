@@ -11,7 +11,8 @@ from passagery.functions.text import is_blank
 from passagery.operators import chunking as C
 from passagery.operators.catalog import chunk_counts
 from passagery.operators.indexing import new_chunks
-from passagery.sources.sinks import overwrite_partitions, read_chunks
+from passagery.session import materialize
+from passagery.sources.sinks import clear_kb, overwrite_partitions, read_chunks
 
 
 def ingest(docs: DataFrame, strategy: Column | str | None = None, params: Mapping | None = None) -> tuple[DataFrame, DataFrame]:
@@ -28,8 +29,12 @@ def ingest(docs: DataFrame, strategy: Column | str | None = None, params: Mappin
 
 
 def reprocess(docs: DataFrame, path: str, tenant_id: int, kb_id: int, strategy: str | None = None) -> None:
-    """Chunk one knowledge base anew and replace exactly its folder."""
+    """Chunk one knowledge base anew and replace exactly its folder, or drop it when no chunk is left."""
     mine = docs.filter((F.col("tenant_id") == tenant_id) & (F.col("kb_id") == kb_id))
     _, chunks = ingest(mine, strategy)
     stored = read_chunks(docs.sparkSession, path)
-    overwrite_partitions(new_chunks(chunks).select(*stored.columns), path)
+    fresh = materialize(new_chunks(chunks).select(*stored.columns), "reprocessed")
+    if fresh.isEmpty():
+        clear_kb(docs.sparkSession, path, tenant_id, kb_id)
+    else:
+        overwrite_partitions(fresh, path)

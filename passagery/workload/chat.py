@@ -69,7 +69,26 @@ def stored_chunks(t: Tables):
 def cleared_kb(t: Tables):
     path = scratch_path(t.spark, "chunks")
     sinks.write_chunks(base.corpus_chunks(t).withColumn("tenant_id", F.col("kb_id") % 5 + 1), path)
-    return sinks.clear_kb(t.spark, path, 5, 4).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    sinks.clear_kb(t.spark, path, 5, 4)
+    return sinks.read_chunks(t.spark, path).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query(f"WITH {S.CHUNKS} SELECT kb_id, count(*) AS n_chunks FROM chunks WHERE length(text) >= 200 AND kb_id <> 7 GROUP BY kb_id")
+def stored_chunks_deleted(t: Tables):
+    """Short chunks and all chunks of one base are deleted on disk; the folder is read afterwards."""
+    path = scratch_path(t.spark, "chunks")
+    sinks.write_chunks(base.corpus_chunks(t).withColumn("tenant_id", F.col("kb_id") % 5 + 1), path)
+    sinks.delete_stored(t.spark, path, (F.length("text") < 200) | (F.col("kb_id") == 7))
+    return sinks.read_chunks(t.spark, path).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query(f"WITH {S.CHUNKS} SELECT kb_id, count(*) AS n_chunks FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY kb_id")
+def stored_documents_deleted(t: Tables):
+    """The chunks of labelled documents are deleted on disk by document id."""
+    path = scratch_path(t.spark, "chunks")
+    sinks.write_chunks(base.corpus_chunks(t).withColumn("tenant_id", F.col("kb_id") % 5 + 1), path)
+    sinks.delete_stored_ids(t.spark, path, t.labels.filter("toxic = 1"), "doc_id")
+    return sinks.read_chunks(t.spark, path).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 @query(f"WITH {S.CHUNKS}, {DEDUP_SQL} SELECT kb_id, count(*) AS n_chunks FROM (SELECT kb_id FROM firsts WHERE kb_id = 6 UNION ALL SELECT kb_id FROM chunks WHERE kb_id <> 6) GROUP BY kb_id")

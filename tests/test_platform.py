@@ -156,3 +156,18 @@ def test_citations_survive_bad_values(spark):
     assert (c["docId"], c["kbId"], c["score"]) == (12, None, None)
     df = spark.createDataFrame([(None,), ("",), ("[",), ("[]",)], "j string")
     assert [len(r[0]) for r in df.select(X.parse_citations(F.col("j"))).collect()] == [0, 0, 0, 0]
+
+
+def test_reprocessing_to_nothing_and_clearing_leave_no_stale_chunks(spark, tmp_path):
+    from passagery.plans import ingest
+    from passagery.sources import sinks
+
+    path = str(tmp_path / "chunks")
+    docs = spark.createDataFrame([(1, 1, 1, "first text"), (2, 1, 2, "second text"), (3, 2, 3, "third")], "doc_id long, tenant_id int, kb_id int, text string")
+    chunks = ingest.ingest(docs)[1]
+    sinks.write_chunks(chunks.withColumn("text_hash", F.sha2("text", 256)), path)
+    stored = lambda: sorted(r["kb_id"] for r in sinks.read_chunks(spark, path).collect())
+    ingest.reprocess(docs.withColumn("text", F.when(F.col("kb_id") != 2, F.col("text"))), path, 1, 2)
+    assert stored() == [1, 3]
+    sinks.delete_stored(spark, path, F.col("doc_id") == 3)
+    assert stored() == [1]
