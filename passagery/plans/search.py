@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,12 +30,17 @@ class SearchConfig:
 
 @dataclass
 class Corpus:
-    """Chunks with identity columns and vectors, and their keyword index."""
+    """Chunks with identity columns and vectors, and their keyword index or what builds it when it is first read."""
 
     chunks: DataFrame
-    index: Bm25Index
+    index: Bm25Index | Callable[[], Bm25Index]
     identity: list[str] = field(default_factory=lambda: ["doc_id", "text_hash"])
 
+    def keywords(self) -> Bm25Index:
+        if callable(self.index):
+            self.index = self.index()
+        return self.index
+
 
 def normalize_mode(mode: Column) -> Column:
     name = F.upper(F.trim(mode))
@@ -70,7 +76,7 @@ def vector_path(queries: DataFrame, corpus: Corpus, k: int, where: Column | None
 
 def bm25_path(queries: DataFrame, corpus: Corpus, k: int, config: SearchConfig, where: Column | None = None) -> DataFrame:
     allowed = corpus.chunks.filter(where).select("chunk_id") if where is not None else None
-    hits = bm25_search(queries.select("query_id", "text"), corpus.index, k, config.k1, config.b, allowed)
+    hits = bm25_search(queries.select("query_id", "text"), corpus.keywords(), k, config.k1, config.b, allowed)
     return hits.select("query_id", F.lit("bm25").alias("path"), "chunk_id", "rank", "score")
 
 
@@ -126,7 +132,7 @@ def search_scoped(queries: DataFrame, corpus: Corpus, k: int, config: SearchConf
     asked = queries.filter(F.col("kb_id").isNotNull()).withColumn("pair", pair).withColumn("mode", mode)
     vector = scoped_vector_search(asked.filter("mode <> 'BM25_ONLY'"), corpus.chunks, "kb_id", 2 * k)
     words = asked.filter("mode <> 'VECTOR_ONLY'").select("query_id", "text", F.col("kb_id").alias("scope"))
-    keyword = bm25_search(words, corpus.index, 2 * k, cfg.k1, cfg.b).withColumnRenamed("scope", "kb_id")
+    keyword = bm25_search(words, corpus.keywords(), 2 * k, cfg.k1, cfg.b).withColumnRenamed("scope", "kb_id")
     row = lambda df, path: df.select(pair.alias("pair"), F.lit(path).alias("path"), "chunk_id", "rank", "score")
     hits = row(vector, "vector").unionByName(row(keyword, "bm25")).join(asked.select("pair", "mode"), "pair")
     pool = attach(hits.withColumnRenamed("pair", "query_id"), corpus.chunks, corpus.identity)

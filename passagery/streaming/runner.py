@@ -18,12 +18,10 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A table, stored as a folder of part files or as one file, as a stream."""
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
+    """A table, stored as a folder of part files or as one file, as a stream of bounded micro-batches."""
     path = f"{folder}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
         return reader.parquet(path)

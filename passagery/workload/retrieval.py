@@ -8,9 +8,7 @@ from passagery.functions import codes, text as T, vectors
 from passagery.functions.filters import filter_expr
 from passagery.operators import embedding as E, keyword as B, vector as V
 from passagery.operators.evaluation import containment_truth, recall_at_k as recall
-from passagery.operators.keyword import build_bm25_index
 from passagery.plans import search as P
-from passagery.session import materialize
 from passagery.workload import base, sqlgen as S
 from passagery.workload.registry import Tables, query
 
@@ -141,8 +139,7 @@ def filter_trees(t: Tables):
 
 @query(S.retrieval(S.VECTORS, S.top("vec", 5, "r")) + " SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r")
 def text_vector_search(t: Tables):
-    chunks = E.embed(base.corpus_chunks(t))
-    hits = V.vector_search(base.embedded_queries(t), chunks, 5)
+    hits = V.vector_search(base.embedded_queries(t), base.embedded_chunks(t), 5)
     return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -279,8 +276,7 @@ def by_mode(queries: DataFrame) -> DataFrame:
 
 
 def scoped_corpus(t: Tables) -> P.Corpus:
-    chunks = materialize(E.embed(base.corpus_chunks(t)), "chunks")
-    return P.Corpus(chunks, build_bm25_index(chunks, scope="kb_id"))
+    return base.embedded_corpus(t, "kb_id")
 
 
 @query(S.retrieval(S.VECTORS, S.bm25("kb_id"), SCATTER_SQL, SCOPED_SQL, S.pool(8, "vec2", "bm2"), FUSED_SQL.format(limit=8), BY_MODE_SQL)

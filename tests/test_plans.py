@@ -36,7 +36,7 @@ def test_filters_reach_the_scan(tables):
 def test_searches_shuffle_only_their_winners(tables):
     corpus = base.embedded_corpus(tables)
     vector = plan(V.vector_search(base.embedded_queries(tables), corpus.chunks, 5))
-    keyword = plan(B.bm25_search(base.benchmark_queries(tables), corpus.index, 5))
+    keyword = plan(B.bm25_search(base.benchmark_queries(tables), corpus.keywords(), 5))
     for text in (vector, keyword):
         exchange, scan = text.index("Exchange hashpartitioning(query_id"), text.index("MapInArrow")
         assert exchange < scan and "Exchange" not in text[scan:]
