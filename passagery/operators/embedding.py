@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,11 +27,14 @@ def hashing_model(dim: int = DIM) -> Callable[[list[str]], np.ndarray]:
     """Signed feature hashing of words, scaled to unit length."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        for row, text in enumerate(texts):
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                slot, sign = _slot(word)
-                out[row, slot % dim] += sign * n
+        found = [WORD.findall(text.lower()) for text in texts]
+        flat = list(chain.from_iterable(found))
+        # each distinct word of the batch is hashed once, and all words are counted in one pass
+        places = {word: i for i, word in enumerate(dict.fromkeys(flat))}
+        slot, sign = np.array([_slot(word) for word in places] or np.empty((0, 2))).T
+        word = np.fromiter(map(places.__getitem__, flat), np.int64, len(flat))
+        cell = np.repeat(np.arange(len(texts)) * dim, [len(words) for words in found]) + slot.astype(np.int64)[word] % dim
+        out = np.bincount(cell, sign[word], len(texts) * dim).reshape(len(texts), dim)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1.0, norm)).astype(np.float32)
 

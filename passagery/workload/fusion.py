@@ -108,7 +108,7 @@ one AS (SELECT * FROM twice QUALIFY row_number() OVER (PARTITION BY query_id, ch
 def cross_kb_dedup(t: Tables):
     """Candidates that reach the pool twice, the second time with a higher score for all but the first rank."""
     chunks = base.stored_chunks(t)
-    hits = P.multi_kb_recall(scattered(t), build_bm25_index(chunks, scope="kb_id"), 4)
+    hits = P.multi_kb_recall(scattered(t), base.corpus_index(t, "kb_id"), 4)
     placed = hits.join(scattered(t).select("query_id", F.posexplode("kb_ids").alias("kb_pos", "kb_id")), ["query_id", "kb_id"])
     again = placed.filter(F.col("rank") > 1).withColumn("score", F.col("score") * 1.5).withColumn("kb_pos", F.col("kb_pos") + 10)
     rows = P.attach(placed.unionByName(again), chunks, ["doc_id"])
@@ -143,7 +143,7 @@ SELECT query_id, chunk_id, prior, round(relevance, 6) AS relevance, (row_number(
 FROM rel QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, prior) <= 4""")
 def rerank_by_coverage(t: Tables):
     chunks = base.stored_chunks(t)
-    hits = bm25_search(base.benchmark_queries(t), build_bm25_index(chunks), 10)
+    hits = bm25_search(base.benchmark_queries(t), base.corpus_index(t), 10)
     rows = P.attach(hits, chunks, ["text"]).join(
         base.benchmark_queries(t).withColumnRenamed("text", "query_text"), "query_id"
     ).withColumn("prior", F.col("rank"))
@@ -160,7 +160,7 @@ SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY CA
 def rerank_with_gaps(t: Tables):
     """A scorer that misses some rows (they count 0) and fails for short queries (their order stays)."""
     chunks = base.stored_chunks(t)
-    hits = bm25_search(base.benchmark_queries(t), build_bm25_index(chunks), 10)
+    hits = bm25_search(base.benchmark_queries(t), base.corpus_index(t), 10)
     rows = P.attach(hits, chunks, ["text", "chunk_index"]).join(
         base.benchmark_queries(t).withColumnRenamed("text", "query_text"), "query_id"
     )
@@ -211,7 +211,7 @@ done AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY relevance
        + " SELECT query_id, scope AS kb_id, chunk_id, doc_id, final AS rank, round(relevance, 6) AS relevance FROM done WHERE final <= 3")
 def multi_kb_search(t: Tables):
     chunks = base.stored_chunks(t)
-    hits = P.multi_search(scattered(t), chunks, build_bm25_index(chunks, scope="kb_id"), 3, good_documents(t), relevance=X.term_coverage)
+    hits = P.multi_search(scattered(t), chunks, base.corpus_index(t, "kb_id"), 3, good_documents(t), relevance=X.term_coverage)
     return hits.select("query_id", "kb_id", "chunk_id", "doc_id", "rank", F.round("relevance", 6).alias("relevance"))
 
 

@@ -113,7 +113,10 @@ def ocr_cleanup(t: Tables):
     return t.documents.select("doc_id", F.md5(T.clean_ocr_text(noisy_ocr(F.col("text")))).alias("text_md5"))
 
 
-@query("""SELECT page_id, length(regexp_replace(substr(html, 1), '[\\s\\{\\}\\[\\]\\(\\)<>|_\\-=+*·•\\\\,;:."''`~^/、，。：；！？…—－]', '', 'g')) >= 5 AS meaningful,
+NOISE_SQL = "'" + K.OCR_NOISE.replace("'", "''") + "'"
+
+
+@query(f"""SELECT page_id, length(regexp_replace(html, {NOISE_SQL}, '', 'g')) >= {K.OCR_MIN_CHARS} AS meaningful,
  length(regexp_replace(url, '[^/.:?=&]', '', 'g')) >= 99 AS punctuation_meaningful FROM pages""")
 def meaningful_text(t: Tables):
     marks = F.regexp_replace("url", "[^/.:=_-]", "")
@@ -162,10 +165,7 @@ def multi_part_texts(t: Tables):
     return parts.unionByName(base.documents(t).select((F.col("doc_id") + 1000000).alias("doc_id"), "text"))
 
 
-TITLE_SQL = (
-    "(length(l) <= 50 AND regexp_matches(l, '^(第[一二三四五六七八九十百千万0-9]+[章条节部分篇]|[一二三四五六七八九十]+、"
-    "|（[一二三四五六七八九十]+）|\\([一二三四五六七八九十]+\\)|[0-9]+[.、]|[一二三四五六七八九十]+[.])'))"
-)
+TITLE_SQL = f"(length(l) <= {K.TITLE_MAX} AND regexp_matches(l, '^({K.TITLE_FORMS})'))"
 
 PARAGRAPHS_SQL = f"""
 cleaned AS (SELECT doc_id, {S.trim("regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM asm),
