@@ -23,6 +23,7 @@ from .common import small_batches
 
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 16, 256
 BLOCK = 2048
+SALTS = 64
 UNKNOWN = "und"
 
 #: byte -> symbol: A-Z as a-z, digits as 0, white space as a space; 0 fills short windows
@@ -122,11 +123,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def sample(labelled: DataFrame, per_language: int, slices: int) -> DataFrame:
     """(lang, slice): `slices` places, evenly spread over the whole text, of `per_language` documents of each language.
 
-    Ranks are taken on ids alone; the texts of the chosen documents are read in a second, narrow pass.
+    Ranks are taken on ids alone, first within salts of a language and then among the few that are left, so that no task
+    sees a whole language; the texts of the chosen documents are read in a second, narrow pass.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= per_language)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    salted = labelled.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    few = salted.withColumn("rank", first).where(F.col("rank") <= per_language)
+    ids = few.withColumn("rank", rank).where(F.col("rank") <= per_language)
     chosen = sorted({r["doc_id"] for r in ids.select("doc_id").collect()})
     span = F.greatest(F.char_length("text") - LENGTH, F.lit(0))
     cut = [F.substring(F.col("text"), (span * k / max(1, slices - 1)).cast("int") + 1, F.lit(LENGTH)) for k in range(slices)]
