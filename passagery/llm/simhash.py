@@ -131,10 +131,10 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return printed.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of one document of each component, that of the smallest doc_id; of rows repeated under it, one stays.
-    Rows without doc_id stay, since no id can name them."""
-    found = near_duplicates(docs, width)
+    Rows without doc_id stay, since no id can name them. `found` is (doc_id, component_id), by default near_duplicates."""
+    found = near_duplicates(docs) if found is None else found
     keepers = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keeper")).distinct()
     id_of = F.col("row.doc_id").cast("long")
     rows = docs.select(F.struct("*").alias("row")).withColumn("id", id_of).withColumn("text_hash", F.xxhash64("row.text"))

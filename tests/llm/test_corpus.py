@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from passagery.llm import ann, bpe, components, langid, mixing, pii, quality, secrets, simhash, suffix
+from passagery.llm import ann, bpe, components, langid, mixing, near, pii, quality, secrets, simhash, suffix
 from passagery.llm.common import Scratch
 from passagery.llm.lines import drop_lines
 from passagery.llm.queries import QUERIES
@@ -339,6 +340,41 @@ def test_components_of_a_long_path(spark):
     assert got == {**dict.fromkeys(range(101), 0), 500: 500, 600: 500}
 
 
+# shingles
+
+
+def plain_shingles(text: str, width: int = 5) -> set:
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def similar_components(texts: dict) -> dict:
+    held, root = {i: plain_shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    top = lambda i: i if root[i] == i else top(root[i])
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if held[a] == held[b] or 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b]):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    return {i: top(i) for i in texts}
+
+
+def test_near_duplicate_stage_reaches_similarity_of_four_fifths(spark, documents):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    expected = similar_components(documents)
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(docs).collect()} == expected
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, DATA).select("doc_id").collect()}
+    assert kept == set(expected.values()) and not kept & {145, 177}
+
+
+@pytest.mark.parametrize("max_group", [4, 64])
+def test_near_duplicates_in_crowded_groups(spark, max_group):
+    base = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(100)}
+    texts |= {200 + i: " ".join(base[:60] + [f"y{i}_{k}" for k in range(60)]) for i in range(100)} | {400: "", 401: None}
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(frame(spark, list(texts.items())), max_group=max_group).collect()}
+    assert got == similar_components(texts) and len(set(got.values())) == 102
+
+
 # mixing
 
 
