@@ -2,8 +2,8 @@
 
 Base patterns (assignments, access keys, hexadecimal strings) name the base spans. Beyond them, every long run of
 token characters is encoded with a public vocabulary: prose and identifiers are made of long known pieces, random
-strings fall apart into short ones, so few characters a token expose a secret. Known digests, UUIDs, numbers, and names
-put together of words are excluded first; a run is encoded in slices of bounded length, all of it.
+strings fall apart into short ones, so few characters a token expose a secret. Known digests, UUIDs, numbers and rules
+are excluded first; names and words are told by the test alone. A run is encoded in slices of bounded length, all of it.
 
 Places are code points. Null and empty texts have no spans. Repeated rows are scanned each for itself. An empty table
 gives no rows.
@@ -28,13 +28,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_VALUE, MIN_ACCESS = 8, 16
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: fixed values: lengths of common digests in hexadecimal (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512)
 DIGESTS = {32, 40, 56, 64, 96, 128}
 KNOWN = re.compile(
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUID
     r"|[0-9_=+/-]+"  # numbers and rules
-    r"|(?:[A-Z][a-z]++|[a-z]{2,}+|[A-Z]{2,}+|[_/=+-]++)*+[0-9]{0,4}")  # words joined by signs or capitals
+    r"|(.)\1+")  # one character repeated
 SLICE, MOST_CHARS_PER_TOKEN = 256, 2.2
 
 
@@ -60,7 +60,7 @@ def chars_per_token(run: str, path: str) -> float:
 
 
 def excluded(run: str) -> bool:
-    """Known digests, identifiers and plain words."""
+    """Known digests, identifiers, numbers and rules."""
     if len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return True
     return KNOWN.fullmatch(run) is not None

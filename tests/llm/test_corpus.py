@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -211,6 +213,15 @@ def test_op4_random_strings_only():
         assert kinds(text) == []
 
 
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + string.digits])
+@pytest.mark.parametrize("length", [16, 19, 20, 33])
+def test_op4_random_strings_of_one_case_and_short_ones(letters, length):
+    draw = random.Random(5)
+    texts = ["key " + "".join(draw.choices(letters, k=length)) + " here" for _ in range(200)]
+    found = [[s[:3] for s in secrets.scan(t, secrets.default_path()) if not s[3]] for t in texts]
+    assert sum(f == [(3, 4, 4 + length)] for f in found) >= 190
+
+
 # languages
 
 
