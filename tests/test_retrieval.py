@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from passagery.functions.filters import filter_expr
 from passagery.operators import fusion as X, keyword as B, vector as V
 from passagery.operators.embedding import embed
+from passagery.workload import load_all
+from passagery.workload.registry import QUERIES
+from tests.conftest import DATA
 
 RNG = np.random.default_rng(1)
 DIM = 16
@@ -56,6 +59,15 @@ def test_probing_all_clusters_is_exact_and_few_have_good_recall(spark):
     assert hits / 240 > 0.6
 
 
+def test_registered_probe_finds_nine_tenths_of_the_given_neighbours(spark):
+    load_all()
+    pairs = lambda name: {(r["query_id"], r["chunk_id"]) for r in QUERIES[name](spark, DATA).collect()}
+    truth, got = pairs("vector_topk"), pairs("vector_topk_ann")
+    assert len(truth & got) / len(truth) >= 0.9
+    recall = {r["n_probe"]: r["recall"] for r in QUERIES["vector_ann_recall"](spark, DATA).collect()}
+    assert recall[6] == pytest.approx(len(truth & got) / len(truth), abs=1e-6) and recall[3] < recall[6]
+
+
 def test_wrong_length_and_null_vectors(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0])], "chunk_id long, embedding array<float>")
     asked = spark.createDataFrame([(1, [2.0, 0.0])], "query_id long, embedding array<float>")
