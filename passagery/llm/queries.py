@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import secrets
 from .ann import search, usable
 from .bpe import encode
+from .chat import examples, read_back
 from .common import read
+from .hardneg import mine, prepared
 from .langid import fit, held_out, predict
 from .lines import drop_lines
 from .mixing import mix
@@ -20,6 +22,7 @@ from .secrets import find_secrets
 from .simhash import near_duplicates
 from .suffix import passages
 from .sql import LINES, MIXING
+from .whiten import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op7_line_dedup": LINES, "op9_mixing": MIXING}
@@ -98,3 +101,29 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(read(spark, sf_dir, "documents"), least=50)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = prepared(read(spark, sf_dir, "embeddings"), "vec_id", moved, "embedding")
+    return mine(rows, rows.where("id % 50 = 0")).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    odd = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    table = read(spark, sf_dir, "conversations").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in odd.schema])
+    return read_back(examples(table.unionAll(odd)))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=8)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "part")
+    return out.select("id", "n", "deviation", "identity_error", each).select(
+        F.col("id").alias("vec_id"), (F.col("place") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"),
+        F.col("part.whitened").alias("whitened"), F.col("part.explained").alias("explained"), "identity_error")
