@@ -8,13 +8,14 @@ left out where, for any split point, that range does not meet the distances whic
 leaves, and they are scanned exactly, in integers.
 
 A search takes two rounds: the anchor's own leaf gives a first answer, and its last score narrows the annulus with
-which the other leaves are chosen. Nothing in the window can be lost, whatever the data: vectors without any clusters
+which the other leaves are chosen. All windows of an anchor go with one copy of its vector. Small leaves that follow
+each other in the tree are scanned as one bin. Nothing in the window can be lost, whatever the data: vectors without any clusters
 only make more leaves pass.
 
 Split points come from a bounded sample (`SAMPLE` rows and `SAMPLE_BYTES`), so the tree has at most about `LEAVES`
 leaves and is sent to the tasks; ranges are taken from all rows. Equal rows of a label are one entry that names its
-smallest ids, as many as any answer can need. A leaf is cut into blocks and the searches that reach it into slices of
-`BLOCK`, so that a leaf of any share of the rows meets any number of anchors in bounded tasks.
+smallest ids, as many as any answer can need. A bin is cut into blocks and the anchors that reach it into slices of
+`BLOCK`, so that a bin of any share of the rows meets any number of anchors in bounded tasks.
 
 Rows with a null id, label or vector, an empty vector, any null or non-finite component, or one beyond `LARGEST` take
 no part. Of rows under one id the one of the least label, then vector counts. Vectors of different length never meet.
@@ -41,7 +42,8 @@ POSITIVES, NEGATIVES = 5, 3
 FAN, LEAF, LEAVES, BLOCK = 12, 2048, 4096, 4096
 SAMPLE, SAMPLE_BYTES = 64 * LEAVES, 1 << 28
 OPEN = 1 << 62
-SEARCH = "search string, id long, dim int, label long, vec array<long>, same boolean, low long, high long"
+WINDOW = ["search", "low", "high"]
+ANCHOR = "id long, dim int, label long, vec array<long>, same boolean, search array<string>, low array<long>, high array<long>"
 
 
 def lifted(x: np.ndarray, longest: float) -> np.ndarray:
@@ -171,7 +173,7 @@ class Index:
             self.trees[row["dim"]] = Tree(np.stack(sample["vec"]), float(row["longest"]), max(SAMPLE // LEAVES, math.ceil(leaf * share)))
         self.rows = scratch.write(self._dealt(held), "dealt")
         self._range()
-        self.sizes = {(r["dim"], r["leaf"]): r["count"] for r in self.rows.groupBy("dim", "leaf").count().collect()}
+        self._pack(leaf)
 
     def _dealt(self, held: DataFrame) -> DataFrame:
         trees = self.trees
@@ -207,9 +209,25 @@ class Index:
             node = self.trees[r["dim"]].nodes[r["node"]]
             node.low[r["point"], r["child"]], node.high[r["point"], r["child"]] = r["low"], r["high"]
 
-    def _probes(self, searches: DataFrame, home: bool) -> DataFrame:
-        """The searches with each leaf they have to scan: the anchor's own, or all others that its annulus reaches."""
-        trees = self.trees
+    def _pack(self, most: int) -> None:
+        """Leaves in order of the tree, put together while a bin holds no more than `most` rows."""
+        held = {(r["dim"], r["leaf"]): r["count"] for r in self.rows.groupBy("dim", "leaf").count().collect()}
+        self.sizes: dict[tuple[int, int], int] = {}
+        self.bins: dict[int, np.ndarray] = {}
+        for dim, tree in self.trees.items():
+            bins, filled = np.zeros(len(tree.paths), np.int64), 0
+            for leaf in range(len(bins)):
+                size = held.get((dim, leaf), 0)
+                bins[leaf] = bins[leaf - 1] + (filled > 0 and filled + size > most) if leaf else 0
+                filled = size if leaf and bins[leaf] != bins[leaf - 1] else filled + size
+                if size:
+                    self.sizes[dim, int(bins[leaf])] = self.sizes.get((dim, int(bins[leaf])), 0) + size
+            self.bins[dim] = bins
+
+    def _probes(self, anchors: DataFrame, home: bool) -> DataFrame:
+        """The anchors with each bin they have to scan: their own, or all others that some annulus of theirs reaches,
+        with the windows that do."""
+        trees, bins = self.trees, self.bins
 
         def run(batches: Iterator) -> Iterator:
             for batch in batches:
@@ -217,37 +235,46 @@ class Index:
                     tree = trees.get(int(dim))
                     if tree is None:
                         continue
-                    for i in range(0, len(part), 1024):
-                        rows = part.iloc[i:i + 1024]
+                    for i in range(0, len(part), 256):
+                        rows = part.iloc[i:i + 256]
                         vec = np.stack(rows["vec"])
-                        own = tree.leaves(lifted(vec, tree.longest))
+                        own = bins[int(dim)][tree.leaves(lifted(vec, tree.longest))]
                         if home:
-                            yield rows.assign(leaf=own)
+                            yield rows.assign(bin=own)
                             continue
-                        anchors = np.column_stack([vec.astype(float), np.zeros(len(vec))])
-                        size = (anchors**2).sum(1) + tree.longest
-                        far, near = (np.sqrt(np.maximum(size - 2 * rows[name].to_numpy(float), 0)) for name in ("low", "high"))
-                        for at, leaf in tree.reached(anchors, near, far):
-                            at = at[own[at] != leaf]
-                            if len(at):
-                                yield rows.iloc[at].assign(leaf=leaf)
-
-        return searches.mapInPandas(run, f"{SEARCH}, leaf long")
+                        owner = np.repeat(np.arange(len(rows)), rows["search"].map(len))
+                        search, low, high = (np.concatenate(rows[name].to_list()) for name in WINDOW)
+                        points = np.column_stack([vec.astype(float), np.zeros(len(vec))])[owner]
+                        size = (points**2).sum(1) + tree.longest
+                        far, near = np.sqrt(np.maximum(size - 2.0 * low, 0)), np.sqrt(np.maximum(size - 2.0 * high, 0))
+                        met = np.zeros((int(bins[int(dim)].max()) + 1, len(owner)), bool)
+                        for at, leaf in tree.reached(points, near, far):
+                            met[bins[int(dim)][leaf], at] = True
+                        met[own[owner], np.arange(len(owner))] = False
+                        for number in np.flatnonzero(met.any(1)):
+                            at = np.flatnonzero(met[number])
+                            held, starts = np.unique(owner[at], return_index=True)
+                            yield rows.iloc[held].assign(bin=int(number), **{
+                                name: np.split(column[at], starts[1:]) for name, column in zip(WINDOW, (search, low, high))})
+
+        return anchors.mapInPandas(run, f"{ANCHOR}, bin long")
 
     def _scan(self, probes: DataFrame, k: int, name: str) -> DataFrame:
-        """(search, ids, score) of the best entries of each leaf, enough for `k` rows besides the anchor."""
+        """(search, ids, score) of the best entries of each bin, enough for `k` rows besides the anchor."""
         probes = self.scratch.write(probes, name)
-        plan = probes.groupBy("dim", "leaf").agg(F.count("*").alias("n")).collect()
+        plan = probes.groupBy("dim", "bin").agg(F.count("*").alias("n")).collect()
         cuts = self.spark.createDataFrame(
-            [(r["dim"], r["leaf"], -(-self.sizes[r["dim"], r["leaf"]] // BLOCK), -(-r["n"] // BLOCK))
-             for r in plan if (r["dim"], r["leaf"]) in self.sizes], "dim int, leaf long, blocks int, parts int")
+            [(r["dim"], r["bin"], -(-self.sizes[r["dim"], r["bin"]] // BLOCK), -(-r["n"] // BLOCK))
+             for r in plan if (r["dim"], r["bin"]) in self.sizes], "dim int, bin long, blocks int, parts int")
+        places = self.spark.createDataFrame([(dim, leaf, int(number)) for dim, bins in self.bins.items() for leaf, number in enumerate(bins)],
+                                            "dim int, leaf long, bin long")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         slot = lambda n, of: F.pmod(F.xxhash64(n), of).cast("int")
-        keys = ["dim", "leaf", "block", "part"]
-        rows = self.rows.join(F.broadcast(cuts), ["dim", "leaf"]).select(
-            "dim", "leaf", "rep", "label", "vec", "ids", slot("rep", "blocks").alias("block"), every("parts").alias("part"))
-        asked = probes.join(F.broadcast(cuts), ["dim", "leaf"]).select(
-            "dim", "leaf", "search", "label", "vec", "same", "low", "high", slot("search", "parts").alias("part"), every("blocks").alias("block"))
+        keys = ["dim", "bin", "block", "part"]
+        rows = self.rows.join(F.broadcast(places.join(cuts, ["dim", "bin"])), ["dim", "leaf"]).select(
+            "dim", "bin", "rep", "label", "vec", "ids", slot("rep", "blocks").alias("block"), every("parts").alias("part"))
+        asked = probes.join(F.broadcast(cuts), ["dim", "bin"]).select(
+            "dim", "bin", "label", "vec", "same", *WINDOW, slot("id", "parts").alias("part"), every("blocks").alias("block"))
 
         def meet(key, held, asked):
             import pandas as pd
@@ -255,39 +282,47 @@ class Index:
             if not len(held) or not len(asked):
                 return pd.DataFrame({"search": [], "ids": [], "score": []})
             held = held.sort_values("rep", kind="stable")
-            x, label, parts = np.stack(held["vec"]), held["label"].to_numpy(), []
-            for i in range(0, len(asked), 256):
-                some = asked.iloc[i:i + 256]
-                scores = products(x, np.stack(some["vec"]))
-                low, high = some["low"].to_numpy(), some["high"].to_numpy()
-                for place, (search, own, same) in enumerate(zip(some["search"], some["label"], some["same"])):
-                    score = scores[:, place]
-                    at = np.flatnonzero(((label == own) == same) & (score >= low[place]) & (score <= high[place]))
-                    if len(at) > k + 1:
-                        # all that reach the last score needed, so that ties stay whole until they are ordered
-                        at = at[score[at] >= np.partition(score[at], len(at) - k - 1)[len(at) - k - 1]]
-                    at = at[np.argsort(-score[at], kind="stable")][:k + 1]
-                    parts.append(pd.DataFrame({"search": search, "ids": held["ids"].to_numpy()[at], "score": score[at]}))
-            return pd.concat(parts)
+            x, label = np.stack(held["vec"]), held["label"].to_numpy()
+            named, at, scores = [], [], []
+            for i in range(0, len(asked), 64):
+                some = asked.iloc[i:i + 64]
+                owner = np.repeat(np.arange(len(some)), some["search"].map(len))
+                search, low, high = (np.concatenate(some[name].to_list()) for name in WINDOW)
+                score = products(np.stack(some["vec"]), x)
+                rival = (some["label"].to_numpy()[:, None] == label[None]) == some["same"].to_numpy()[:, None]
+                score = score[owner]
+                window, row = np.nonzero(rival[owner] & (score >= low[:, None]) & (score <= high[:, None]))
+                score = score[window, row]
+                order = np.lexsort((row, -score, window))
+                window = window[order]
+                first = np.arange(len(window)) - np.searchsorted(window, window) <= k
+                named.append(search[window[first]])
+                at.append(row[order[first]])
+                scores.append(score[order[first]])
+            return pd.DataFrame({"search": np.concatenate(named), "ids": held["ids"].to_numpy()[np.concatenate(at)], "score": np.concatenate(scores)})
 
         met = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(meet, "search string, ids array<long>, score long")
         return self.scratch.write(met, f"{name}_met")
 
-    def nearest(self, searches: DataFrame, k: int, name: str) -> DataFrame:
-        """(search, id, score, rank): the first k rows of each search, of its own label or of others (`same`), with a
-        score from `low` to `high`; its own id is left out."""
+    def nearest(self, anchors: DataFrame, windows: DataFrame, k: int, name: str) -> DataFrame:
+        """(search, id, score, rank): the first k rows of each window (search, id, low, high) of an anchor (id, dim, label,
+        vec, same) with a score from `low` to `high`, of its own label or of others (`same`); its own id is left out.
+        An anchor has a bounded number of windows."""
         best = Window.partitionBy("search").orderBy(F.desc("score"), "id")
+        own = windows.select("search", F.col("id").alias("own"))
+
+        def gathered(windows: DataFrame) -> DataFrame:
+            lists = windows.groupBy("id").agg(F.collect_list(F.struct(*WINDOW)).alias("w"))
+            return anchors.join(lists, "id").select("id", "dim", "label", "vec", "same", *[F.col("w")[name].alias(name) for name in WINDOW])
 
         def ranked(found: DataFrame) -> DataFrame:
-            rows = found.select("search", "score", F.explode("ids").alias("id")).join(
-                searches.select("search", F.col("id").alias("own")), "search").where("id <> own")
+            rows = found.select("search", "score", F.explode("ids").alias("id")).join(own, "search").where("id <> own")
             return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("search", "id", "score", "rank")
 
-        home = self._scan(self._probes(searches, True), k, f"{name}_home")
+        home = self._scan(self._probes(gathered(windows), True), k, f"{name}_home")
         bound = ranked(home).where(F.col("rank") == k).select("search", F.col("score").alias("bound"))
-        narrowed = searches.join(bound, "search", "left").select(
-            "search", "id", "dim", "label", "vec", "same", F.greatest("low", "bound").alias("low"), "high")
-        rest = self._scan(self._probes(narrowed, False), k, f"{name}_rest")
+        narrowed = windows.join(bound, "search", "left").select("search", "id", F.greatest("low", "bound").alias("low"), "high")
+        rest = self._scan(self._probes(gathered(narrowed), False), k, f"{name}_rest")
         return self.scratch.write(ranked(home.unionAll(rest)), f"{name}_found")
 
 
@@ -309,15 +344,17 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = POSITIVES, negati
     spark = ship_package(rows.sparkSession)
     scratch = Scratch(spark, "hardneg")
     index = Index(scratch.write(rows, "rows"), scratch, max(positives, negatives) + 1, leaf)
-    first = scratch.write(anchors.select(F.col("id").cast("string").alias("search"), "id", "dim", "label", "vec", F.lit(True).alias("same"),
-                                         F.lit(-OPEN).alias("low"), F.lit(OPEN).alias("high")), "anchors")
-    near = index.nearest(first, positives, "positive").select(
-        F.col("search").alias("anchor"), F.col("id").alias("positive_id"), F.col("rank").alias("positive_rank"), F.col("score").alias("positive_score"))
+    asked = scratch.write(anchors.select("id", "dim", "label", "vec"), "anchors")
+    name = F.col("id").cast("string").alias("search")
+    whole = asked.select(name, "id", F.lit(-OPEN).alias("low"), F.lit(OPEN).alias("high"))
+    near = index.nearest(asked.withColumn("same", F.lit(True)), whole, positives, "positive").select(
+        F.col("search").cast("long").alias("anchor_id"), F.col("id").alias("positive_id"), F.col("rank").alias("positive_rank"),
+        F.col("score").alias("positive_score"), F.concat_ws(":", "search", "score").alias("search"))
     low, high = window
-    asked = near.where("positive_score >= 0").select("anchor", "positive_score").distinct().join(first, F.col("anchor") == F.col("search")).select(
-        F.concat_ws(":", "anchor", "positive_score").alias("search"), "id", "dim", "label", "vec", F.lit(False).alias("same"),
-        F.expr(f"({low} * positive_score + 99) div 100").alias("low"), F.expr(f"({high} * positive_score) div 100").alias("high"))
-    far = index.nearest(scratch.write(asked, "asked"), negatives, "negative").select(
+    windows = scratch.write(near.where("positive_score >= 0").select(
+        "search", F.col("anchor_id").alias("id"), F.expr(f"({low} * positive_score + 99) div 100").alias("low"),
+        F.expr(f"({high} * positive_score) div 100").alias("high")).distinct(), "windows")
+    far = index.nearest(asked.withColumn("same", F.lit(False)), windows, negatives, "negative").select(
         "search", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
-    return near.withColumn("search", F.concat_ws(":", "anchor", "positive_score")).join(far, "search").select(
-        F.col("anchor").cast("long").alias("anchor_id"), "positive_id", "positive_rank", "rank", "negative_id", "positive_score", "negative_score")
+    return near.join(far, "search").select(
+        "anchor_id", "positive_id", "positive_rank", "rank", "negative_id", "positive_score", "negative_score")

@@ -70,9 +70,9 @@ def test_op11_subtrees_are_left_out_where_clusters_allow(spark, monkeypatch):
     monkeypatch.setattr(hardneg, "SAMPLE", 1 << 12)
     monkeypatch.setattr(hardneg, "LEAVES", 1 << 10)
     index = hardneg.Index(Scratch(spark, "test").write(rows, "rows"), Scratch(spark, "test"), 6, leaf=50)
-    searches = rows.where("id % 100 = 0").select(F.col("id").cast("string").alias("search"), "id", "dim", "label", "vec", F.lit(True).alias("same"),
-                                                 F.lit(1_000_000).cast("long").alias("low"), F.lit(hardneg.OPEN).alias("high"))
-    reached = index._probes(searches, False).count()
+    bounds = [F.array(F.lit(x).cast("long")).alias(name) for x, name in ((1_000_000, "low"), (hardneg.OPEN, "high"))]
+    anchors = rows.where("id % 100 = 0").select("id", "dim", "label", "vec", F.lit(True).alias("same"), F.array(F.col("id").cast("string")).alias("search"), *bounds)
+    reached = index._probes(anchors, False).count()
     assert len(index.sizes) >= 20 and reached < 20 * len(index.sizes) / 2
 
 
