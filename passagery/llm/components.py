@@ -27,17 +27,18 @@ def _star(edges: DataFrame, scratch: Scratch, name: str, large: bool) -> DataFra
     return scratch.write(out.where("u <> v").distinct(), name)
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node that has a link; links are (a, b) of non-null longs, root is the smallest reachable."""
+def components(links: DataFrame, scratch: Scratch, label: str = "edges") -> DataFrame:
+    """(node, root) for every node that has a link; links are (a, b) of non-null longs, root is the smallest reachable.
+    What is written is named by `label`."""
     edges = scratch.write(links.where("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges_0")
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}_0")
     state = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before, turn = state(edges), 0
     while before[0]:
         turn += 1
-        large = _star(edges, scratch, f"large_{turn}", True)
-        edges = _star(large, scratch, f"edges_{turn}", False)
-        scratch.drop(f"edges_{turn - 1}", f"large_{turn}", f"large_{turn}_minima", f"edges_{turn}_minima")
+        large = _star(edges, scratch, f"{label}_large_{turn}", True)
+        edges = _star(large, scratch, f"{label}_{turn}", False)
+        scratch.drop(f"{label}_{turn - 1}", f"{label}_large_{turn}", f"{label}_large_{turn}_minima", f"{label}_{turn}_minima")
         now = state(edges)
         if now == before:
             break

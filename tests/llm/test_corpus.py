@@ -382,10 +382,29 @@ def test_near_duplicates_in_crowded_groups(spark, max_group):
     base = [f"w{i}" for i in range(120)]
     texts = {i: " ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(100)}
     texts |= {200 + i: " ".join(base[:60] + [f"y{i}_{k}" for k in range(60)]) for i in range(100)} | {400: "", 401: None}
-    got = {r.doc_id: r.component_id for r in near.near_duplicates(frame(spark, list(texts.items())), max_group=max_group).collect()}
+    docs = frame(spark, list(texts.items()))
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(docs, max_group=max_group, block=40).collect()}
     assert got == similar_components(texts) and len(set(got.values())) == 102
 
 
+def test_near_duplicates_of_families_that_overlap(spark):
+    """Chains of texts a few words apart: neighbours are similar, the ends are not, and no text is similar to all."""
+    draw = random.Random(11)
+    texts = {}
+    for chain in range(3):
+        words = [f"c{chain}_{i}" for i in range(200)]
+        for step in range(40):
+            words[5 * step:5 * step + 3] = [f"n{chain}_{step}_{k}" for k in range(3)]
+            texts[100 * chain + step] = " ".join(words)
+    shared = [f"s{i}" for i in range(150)]
+    texts |= {1000 + i: " ".join(shared + [f"u{draw.randrange(30)}" for _ in range(40)]) for i in range(120)}
+    expected = similar_components(texts)
+    for block in (25, 2048):
+        got = {r.doc_id: r.component_id for r in near.near_duplicates(frame(spark, list(texts.items())), max_group=8, block=block).collect()}
+        assert got == expected
+    assert 3 <= len(set(expected.values())) < len(texts)
+
+
 # mixing
 
 
@@ -472,7 +491,7 @@ def test_pipeline_against_plain_python(spark, found, documents):
             holders[lower(line.strip(strip))].add(i)
     gone = lambda i, key: len(key) >= 40 and len(holders[key]) >= 5 and i != max(holders[key])
     texts = {i: "\n".join(x for x in t.split("\n") if not gone(i, lower(x.strip(strip)))) for i, t in texts.items()}
-    roots = brute_components({i: plain_print(t) for i, t in texts.items()})
+    roots = similar_components(texts)
     texts = {i: t for i, t in texts.items() if roots[i] == i}
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
