@@ -252,9 +252,14 @@ def _within(q: DataFrame, c: DataFrame, scope: str, dim: int, schemas, k: int, s
 
 def scoped_vector_search(
     queries: DataFrame, chunks: DataFrame, scope: str, k: int = K.SEARCH_K, query_id: str = "query_id", id_col: str = "chunk_id",
-    block_rows: int = 1 << 16,
+    block_rows: int = 1 << 16, broadcast_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Exact top-k of every (query, scope) row of `queries` among the chunks of that scope, all scopes in one job."""
+    """Exact top-k of every (query, scope) row of `queries` among the chunks of that scope, all scopes in one job.
+
+    The queries are sent to the tasks with their scopes while they fit `broadcast_bytes`; a task multiplies the rows of
+    each scope it holds with the queries of that scope only, so the corpus is not shuffled, and a scan stored by scope
+    reads the folders asked for. A larger query set meets the corpus in cells of its scopes.
+    """
     q = queries.select(query_id, scope, "embedding").filter(F.size("embedding") > 0)
     c = chunks.select(id_col, scope, "embedding").filter(F.col("embedding").isNotNull())
     pair = F.concat_ws("@", F.col(scope).cast("string"), F.col(query_id).cast("string"))
@@ -263,12 +268,44 @@ def scoped_vector_search(
     lengths = sorted(row["n"] for row in q.select(F.size("embedding").alias("n")).distinct().collect())
     parts = [q.sparkSession.createDataFrame([], schemas[0])]
     for dim in lengths:
-        fits = F.size("embedding") == dim
-        parts.append(_within(asked.filter(fits), c, scope, dim, schemas, k, False, block_rows))
+        fits = asked.filter(F.size("embedding") == dim)
+        limit = max(broadcast_bytes // (8 * dim), 1)
+        head = fits.limit(limit + 1).toArrow()
+        if head.num_rows <= limit:
+            parts.append(_scan_scopes(head, c, scope, dim, schemas, k))
+        else:
+            parts.append(_within(fits, c, scope, dim, schemas, k, False, block_rows))
     hits = _final(reduce(DataFrame.unionAll, parts), "pair", id_col, k)
     return hits.join(q.select(pair.alias("pair"), query_id, scope), "pair").drop("pair")
 
 
+def _scan_scopes(asked: pa.Table, c: DataFrame, scope: str, dim: int, schemas, k: int) -> DataFrame:
+    """Each task's best rows for the queries (pair, scope, embedding), block by block against those of the same scope."""
+    spark_schema, arrow_schema = schemas
+    names, owners, vectors = to_numpy(asked.column(0)), asked.column(1).to_pylist(), _matrix(asked.column(2), dim)
+    held: dict = {}
+    for place, owner in enumerate(owners):
+        held.setdefault(owner, []).append(place)
+    scopes = list(held)
+    shared = c.sparkSession.sparkContext.broadcast({owner: (names[at], vectors[at]) for owner, at in held.items()})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[object, _Best] = {}
+        for batch in batches:
+            owner = batch.column(1)
+            for value in pc.unique(owner).to_pylist():
+                if value not in shared.value:
+                    continue
+                mine = batch.filter(pc.equal(owner, pa.scalar(value, owner.type)))
+                if value not in best:
+                    best[value] = _Best(*shared.value[value], k, False)
+                best[value].add(to_numpy(mine.column(0)), _matrix(mine.column(2), dim))
+        for one in best.values():
+            yield one.table(arrow_schema)
+
+    return c.filter(F.col(scope).isin(scopes)).mapInArrow(scan, spark_schema)
+
+
 def admit_uploads(temp_chunks: DataFrame, limit: int = K.TEMP_DOC_MAX) -> DataFrame:
     """Uploads (session_id, upload_no) in order of arrival, with `admitted` and the `reason` of a refusal.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from passagery.functions import text as T
 from passagery.operators import chunking as C, embedding as E
 from passagery.operators.keyword import Bm25Index, build_bm25_index
+from passagery.operators.postings import PostingsIndex, build_postings
 from passagery.plans.search import Corpus
 from passagery.session import materialize, shared_dir
 from passagery.sources.tables import spread
@@ -32,12 +33,15 @@ def corpus_chunks(t: Tables) -> DataFrame:
 _built: dict[tuple, object] = {}
 
 
-def once(t: Tables, what: str, make: Callable[[], object]):
-    """What `make` writes for a state of the documents is written once an application and then read again."""
+def once(t: Tables, what: str, make: Callable[[], object], reads: tuple[str, ...] = ("documents",)):
+    """What `make` writes for a state of the tables it `reads` is written once an application and then read again."""
     spark = t.spark
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{t.folder}/documents.parquet")
-    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
-    key = (spark.sparkContext.applicationId, shared_dir(spark), t.folder, changed, what)
+
+    def changed(name: str) -> int:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{t.folder}/{name}.parquet")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+
+    key = (spark.sparkContext.applicationId, shared_dir(spark), t.folder, *map(changed, reads), what)
     if key not in _built:
         _built[key] = make()
     return _built[key]
@@ -53,7 +57,7 @@ def benchmark_queries(t: Tables) -> DataFrame:
 
 
 def embedded_queries(t: Tables) -> DataFrame:
-    return once(t, "queries", lambda: materialize(E.embed(benchmark_queries(t)), "queries"))
+    return once(t, "queries", lambda: materialize(E.embed(benchmark_queries(t)), "queries"), ("benchmark",))
 
 
 def embedded_chunks(t: Tables) -> DataFrame:
@@ -66,3 +70,7 @@ def embedded_corpus(t: Tables, scope: str | None = None) -> Corpus:
 
 def corpus_index(t: Tables, scope: str | None = None) -> Bm25Index:
     return once(t, f"index by {scope}", lambda: build_bm25_index(stored_chunks(t), scope=scope))
+
+
+def corpus_postings(t: Tables, scope: str | None = None) -> PostingsIndex:
+    return once(t, f"postings by {scope}", lambda: build_postings(corpus_index(t, scope)))

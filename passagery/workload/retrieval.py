@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from passagery.functions import codes, text as T, vectors
 from passagery.functions.filters import filter_expr
-from passagery.operators import embedding as E, keyword as B, vector as V
+from passagery.operators import embedding as E, keyword as B, postings as PO, vector as V
 from passagery.operators.evaluation import containment_truth, recall_at_k as recall
 from passagery.plans import search as P
 from passagery.workload import base, sqlgen as S
@@ -136,6 +136,22 @@ def bm25_topk_grid(t: Tables):
     return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {S.CHUNKS}, tok AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), {S.TOK})) AS term FROM chunks)
+SELECT term, count(*) AS total_tf, count(DISTINCT chunk_id) AS df, max(n)::INTEGER AS most FROM (SELECT term, chunk_id, count(*) OVER (PARTITION BY term, chunk_id) AS n FROM tok) GROUP BY term""")
+def stored_postings(t: Tables):
+    """Every term as its stored blocks hold it."""
+    tfs = F.aggregate("tfs", F.lit(0).cast("long"), lambda total, n: total + n)
+    return base.corpus_postings(t).blocks.groupBy("term").agg(
+        F.sum(tfs).alias("total_tf"), F.sum(F.size("ids")).alias("df"), F.max(F.array_max("tfs")).alias("most"))
+
+
+@query(S.retrieval(S.bm25(), S.top("bm", 10, "r")) + " SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r")
+def postings_topk(t: Tables):
+    """The keyword search on the stored inverted index."""
+    hits = PO.postings_search(base.benchmark_queries(t), base.corpus_postings(t), 10)
+    return hits.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(S.retrieval(S.bm25(), "ok AS (SELECT b.* FROM bm b JOIN chunks c USING (chunk_id) WHERE (lang = 'en' AND NOT kb_id > 9) OR kb_id = 15)",
                    S.top("ok", 5, "r")) + " SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r")
 def bm25_topk_filtered(t: Tables):

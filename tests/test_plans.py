@@ -44,6 +44,16 @@ def test_searches_shuffle_only_their_winners(tables):
     assert "text:string" not in vector and "embedding" not in keyword
 
 
+def test_searches_by_base_do_not_move_the_corpus(spark, tables, tmp_path):
+    base.embedded_chunks(tables).write.partitionBy("kb_id").parquet(str(tmp_path / "chunks"))
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    asked = base.embedded_queries(tables).withColumn("kb_id", F.lit(3))
+    text = plan(V.scoped_vector_search(asked, stored, "kb_id", 5))
+    scan = text.index("MapInArrow")
+    chunks = next(line for line in text[scan:].split("\n") if "FileScan" in line and "chunk_id" in line)
+    assert "Exchange" not in text[scan:text.index(chunks)] and "kb_id" in chunks.split("PartitionFilters: ")[1].split("]")[0]
+
+
 def test_newest_and_first_rows_are_limited_before_the_shuffle(tables):
     messages = R.messages(tables)
     for df in (

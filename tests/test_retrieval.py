@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagery.functions.filters import filter_expr
-from passagery.operators import fusion as X, keyword as B, vector as V
+from passagery.operators import fusion as X, keyword as B, postings as PO, vector as V
 from passagery.operators.embedding import embed
 from passagery.workload import load_all
 from passagery.workload.registry import QUERIES
@@ -213,3 +213,65 @@ def test_uploads_are_admitted_whole_until_the_pool_is_full(spark):
     assert {r["upload_no"]: r["admitted"] for r in admit_uploads(temp).collect()} == {0: True, 1: False}
     asked = spark.createDataFrame([(7, 1, [0.0, 1.0])], "query_id long, session_id long, embedding array<double>")
     assert [r["chunk_id"] for r in temp_recall(asked, temp, 2).orderBy("rank").collect()] == ["a39", "a38"]
+
+
+@pytest.mark.parametrize("block", [3])
+def test_postings_with_block_maxima_equal_the_full_scan(spark, block):
+    """A term of every chunk, rare terms, ties by copies, repeated query terms, unknown terms, two scopes."""
+    draw = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    share = 1 / np.arange(1, 61)
+    texts = ["all " + " ".join(draw.choice(words, draw.integers(1, 40), p=share / share.sum())) for _ in range(250)] + ["all w1 w2 w3"] * 60
+    chunks = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "chunk_id long, kb int, text string").repartition(3)
+    asked = [(0, "all"), (1, "w50 w59 all"), (2, "w1 w1 w2 w40"), (3, "unknown"), (4, " ".join(words)), (5, ""), (6, "w3 w2 w1 all all")]
+    for scope in (None, "kb"):
+        forward = B.build_bm25_index(chunks, scope=scope)
+        index = PO.build_postings(forward, buckets=8, block=block)
+        for queries in ([spark.createDataFrame(asked, "query_id long, text string")] + (
+                [spark.createDataFrame([(*row, 1) for row in asked], "query_id long, text string, scope int")] if scope else [])):
+            row = lambda r: (r.query_id, r.scope, r["rank"], r.chunk_id, round(r.score, 5))
+            for k in (1, 5, 400):
+                assert sorted(map(row, PO.postings_search(queries, index, k).collect())) == sorted(map(row, B.bm25_search(queries, forward, k).collect()))
+
+
+def test_postings_search_reads_its_own_buckets_only(spark):
+    texts = [f"common filler{i % 50} " + ("needle " * 9 if i == 7 else "") for i in range(400)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    index = PO.build_postings(B.build_bm25_index(chunks), buckets=32)
+    hits = PO.postings_search(spark.createDataFrame([(1, "needle")], "query_id long, text string"), index, 3)
+    assert [(r.chunk_id, r["rank"]) for r in hits.collect()] == [(7, 1)]
+    text = hits._jdf.queryExecution().executedPlan().toString()
+    blocks = [line for line in text.split("\n") if "FileScan parquet" in line and "tfs" in line]
+    assert blocks and all("PartitionFilters: [isnotnull(bucket" in line or "PartitionFilters: [bucket" in line or "IN" in line.split("PartitionFilters")[1][:80] for line in blocks)
+    assert index.blocks.filter(PO.bucket_of(F.lit("needle"), 32) == F.col("bucket")).count() < index.blocks.count() / 8
+
+
+def test_postings_leave_out_levels_below_the_floor(spark):
+    """The frequent term is not essential once the rare ones fill the result: its blocks name no candidates."""
+    texts = ["common"] * 2000 + ["rare common"] * 40
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    forward = B.build_bm25_index(chunks)
+    index = PO.build_postings(forward)
+    asked = spark.createDataFrame([(1, "rare common")], "query_id long, text string")
+    seen = []
+    original, PO.materialize = PO.materialize, lambda df, label: seen.append((label, original(df, label))) or seen[-1][1]
+    try:
+        hits = [r.chunk_id for r in PO.postings_search(asked, index, 5).orderBy("rank").collect()]
+    finally:
+        PO.materialize = original
+    assert hits == [2000, 2001, 2002, 2003, 2004] and dict(seen)["candidates"].count() == 40
+
+
+def test_vectors_by_scope_broadcast_and_in_cells_are_the_same(spark):
+    asked, corpus = frames(spark)
+    corpus = corpus.withColumn("kb_id", F.expr("CASE WHEN chunk_id % 3 = 0 THEN 7 ELSE chunk_id % 5 END").cast("int"))
+    asked = asked.crossJoin(spark.createDataFrame([(0,), (7,), (99,), (None,)], "kb_id int"))
+    row = lambda r: (r.query_id, r.kb_id, r["rank"], r.chunk_id)
+    wide = V.scoped_vector_search(asked, corpus, "kb_id", 4).collect()
+    cells = V.scoped_vector_search(asked, corpus, "kb_id", 4, block_rows=20, broadcast_bytes=64).collect()
+    assert sorted(map(row, wide)) == sorted(map(row, cells)) and len(wide) == 40 * 2 * 4
+    unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
+    score = np.round(unit(ASKED.astype(float)) @ unit(CORPUS.astype(float)).T, 9)
+    sevens = np.arange(0, 300, 3)
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in wide if r.kb_id == 7} == {
+        (q, n + 1): int(sevens[c]) for q in range(40) for n, c in enumerate(np.lexsort((sevens, -score[q][sevens]))[:4])}
