@@ -102,3 +102,6 @@ TITLE_CHARS = 50
 LOCK_FAILURES, LOCK_MINUTES = 5, 30
 KEEP_VERSIONS = 10
 TABLE_ROW_LIMIT = 20
+
+#: largest uploaded file in bytes
+MAX_FILE_BYTES = 100 * 1024 * 1024

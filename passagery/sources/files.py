@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from passagery import constants as K
 from passagery.functions import text as T
 
 
-def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file directly inside `path`; a file that yields no text is a failed row, not an abort."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-        .select(
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("length").alias("file_size"),
-            F.col("content"),
-        )
-    )
+def read_directory(spark: SparkSession, path: str, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
+    """One row per file directly inside `path`; a file that yields no text is a failed row, not an abort.
+
+    Lengths come from the listing: the bound is pushed into the file scan, so that the content of a larger file is never
+    opened; it is a failed row as well.
+    """
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    name, size = F.col("_metadata.file_name").alias("file_name"), F.col("length").alias("file_size")
+    files = source.filter(F.col("length") <= max_bytes).select(name, size, "content")
     decoded = F.try_validate_utf8(F.col("content").cast("string"))
     kind = T.route_parser(F.col("file_name"))
     is_html = T.file_extension(F.col("file_name")).isin("html", "htm")
     text = F.when(kind == "text", F.when(is_html, T.html_to_text(decoded)).otherwise(decoded))
-    return (
+    read = (
         files.withColumn("parser", kind)
         .withColumn("text", text)
         .withColumn("success", ~T.is_blank(F.col("text")))
@@ -33,3 +33,8 @@ def read_directory(spark: SparkSession, path: str) -> DataFrame:
         )
         .drop("content")
     )
+    large = source.filter(F.col("length") > max_bytes).select(name, size).select(
+        "file_name", "file_size", kind.alias("parser"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("success"),
+        F.lit(f"larger than {max_bytes} bytes").alias("message"),
+    )
+    return read.unionByName(large)

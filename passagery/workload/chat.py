@@ -19,28 +19,34 @@ from passagery.workload.retrieval import UPLOADS_SQL, upload_no
 
 
 def stored_documents(t: Tables):
-    """Documents as an upload batch; Spanish ones arrive without text."""
+    """All documents as an upload batch, and for every twentieth one more upload without any text."""
     kb = base.kb_of_source()
-    text = F.when(F.col("lang") == "es", F.lit(" \n　")).otherwise(F.col("text"))
-    return t.documents.select("doc_id", "lang", (kb % 5 + 1).alias("tenant_id"), kb.alias("kb_id"), text.alias("text"))
+    rows = t.documents.select("doc_id", "lang", (kb % 5 + 1).alias("tenant_id"), kb.alias("kb_id"), "text")
+    return rows.unionAll(rows.filter("doc_id % 20 = 3").withColumn("doc_id", -1 - F.col("doc_id")).withColumn("text", F.lit(" \n　")))
 
 
-@query(f"""WITH {S.CHUNKS} SELECT doc_id, kb_id, lang <> 'es' AS success, CASE WHEN lang = 'es' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-  CASE WHEN lang = 'es' THEN 'no text in document' END AS message, CASE WHEN lang = 'es' THEN 0 ELSE n END AS chunk_count
-FROM (SELECT doc_id, kb_id, lang, count(*) AS n FROM chunks GROUP BY doc_id, kb_id, lang)""")
+@query(f"""WITH {S.CHUNKS} SELECT doc_id, kb_id, true AS success, 'COMPLETED' AS status, NULL::VARCHAR AS message, count(*) AS chunk_count
+FROM chunks GROUP BY doc_id, kb_id
+UNION ALL SELECT DISTINCT -1 - doc_id, kb_id, false, 'FAILED', 'no text in document', 0 FROM chunks WHERE doc_id % 20 = 3""")
 def ingest_results(t: Tables):
     return PI.ingest(stored_documents(t))[0]
 
 
-@query("""SELECT sum(length(text) + 1)::BIGINT AS n_chars, 0 AS n_failed, count(*) AS n_texts FROM documents""")
+@query("""SELECT sum(length(text) + 1)::BIGINT AS n_chars, count(*) AS n_texts, count(*) FILTER (doc_id % 20 = 3) AS n_broken,
+count(*) FILTER (doc_id % 100 = 7) AS n_large FROM documents""")
 def directory_ingest(t: Tables):
-    """All documents written as plain files, and that folder read back file by file."""
-    folder = scratch_path(t.spark, "files")
-    t.documents.select("text").write.text(folder)
-    back = files.read_directory(t.spark, folder + "/*.txt")
-    n = t.documents.agg(F.count(F.lit(1)).alias("n")).scalar()
+    """Every document written as a file of its own, with some that are no text and some too large among them, and the
+    folders read back file by file."""
+    folder, most = scratch_path(t.spark, "files"), 1 << 18
+    docs = t.documents.select("doc_id", "text")
+    other = lambda kind: F.concat(F.lit(kind), F.col("doc_id").cast("string")).alias("file")
+    broken = docs.filter("doc_id % 20 = 3").select(other("broken"), F.concat("text", F.expr("CAST(unhex('FF') AS STRING)")).alias("text"))
+    large = docs.filter("doc_id % 100 = 7").select(other("large"), F.repeat(F.concat("text", F.lit(".")), (most / (F.length("text") + 1) + 1).cast("int")).substr(1, most).alias("text"))
+    docs.select(other("text"), "text").unionAll(broken).unionAll(large).write.partitionBy("file").text(folder)
+    back = files.read_directory(t.spark, folder + "/*/*.txt", max_bytes=most)
     return back.agg(
-        F.sum(F.length("text")).alias("n_chars"), F.count_if(~F.col("success")).cast("int").alias("n_failed"), F.any_value(n).alias("n_texts")
+        F.sum(F.length("text")).alias("n_chars"), F.count_if("success").alias("n_texts"),
+        F.count_if(F.col("message") == "no text in file").alias("n_broken"), F.count_if(F.col("message").startswith("larger than")).alias("n_large"),
     )
 
 

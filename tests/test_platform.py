@@ -91,6 +91,19 @@ def test_directory_with_a_broken_file(spark, tmp_path):
     }
 
 
+def test_a_file_above_the_bound_is_a_failed_row_and_never_opened(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("hello")
+    (tmp_path / "b.txt").write_text("x" * 2000)
+    rows = {r["file_name"]: (r["success"], r["text"], r["message"]) for r in files.read_directory(spark, str(tmp_path), max_bytes=1000).collect()}
+    assert rows == {"a.txt": (True, "hello", None), "b.txt": (False, None, "larger than 1000 bytes")}
+    (tmp_path / "b.txt").chmod(0)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert files.read_directory(spark, str(tmp_path), max_bytes=1000).filter("success").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_ingest_reports_failures_and_reprocess_touches_one_folder(spark, tmp_path):
     docs = spark.createDataFrame([(1, 1, 1, "one two"), (2, 1, 2, "three"), (3, 1, 2, " "), (4, 1, 2, None)], "doc_id long, tenant_id int, kb_id int, text string")
     results, chunks = PI.ingest(docs)
