@@ -105,3 +105,6 @@ TABLE_ROW_LIMIT = 20
 
 #: largest uploaded file in bytes
 MAX_FILE_BYTES = 100 * 1024 * 1024
+
+#: candidates that a reranking model takes at once
+RERANK_BATCH = 20

@@ -6,6 +6,8 @@ Every step is keyed by query, so one partitioning by query serves the whole chai
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagery import constants as K
@@ -172,6 +174,36 @@ def rerank(cands: DataFrame, relevance: Column, top_n: int | None = None) -> Dat
     return ranked.drop("sort_key", "n_cands", "rank").withColumnRenamed("new_rank", "rank")
 
 
+def rerank_in_batches(
+    cands: DataFrame, scorer: Callable[[str, list[str]], list[float]], size: int = K.RERANK_BATCH, top_n: int | None = None
+) -> DataFrame:
+    """Rerank by a scorer of a query and at most `size` texts at a time; needs `query_text` and `text`.
+
+    Batches follow the old order. A batch on which the scorer fails, or gives no score for, keeps its old order and counts
+    0; then all batches are merged by score. A query all of whose batches fail keeps its order, a lone candidate counts
+    1. A task holds one batch at a time, so neither the pool of a query nor the number of queries is bounded. Null texts
+    are empty.
+    """
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    batch = F.floor((place - 1) / size).cast("int")
+    placed = cands.withColumn("__place", place).withColumn("__batch", batch)
+    kind = cands.schema["query_id"].dataType.simpleString()
+
+    def score(key, rows):
+        rows = rows.sort_values("__place")
+        try:
+            found = list(scorer(rows["query_text"].iloc[0], rows["text"].fillna("").tolist()))
+        except Exception:  # whatever a remote model may raise: the batch keeps its order
+            found = []
+        values = [float(x) for x in found[: len(rows)]]
+        return rows[["query_id", "__place"]].assign(__relevance=values + [None] * (len(rows) - len(values)))
+
+    scored = placed.select("query_id", "__place", "__batch", "query_text", "text").groupBy("query_id", "__batch").applyInPandas(
+        score, f"query_id {kind}, __place int, __relevance double")
+    rows = placed.drop("__batch").join(scored, ["query_id", "__place"])
+    return rerank(rows, F.col("__relevance"), top_n).drop("__place", "__relevance")
+
+
 def parent_enhance(cands: DataFrame, chunks: DataFrame) -> DataFrame:
     """Give child candidates the text of their parent, looked up in the full chunk table.
 

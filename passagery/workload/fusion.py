@@ -168,6 +168,26 @@ def rerank_with_gaps(t: Tables):
     return X.rerank(rows, F.when(known, F.col("chunk_index").cast("double"))).select("query_id", "chunk_id", "rank")
 
 
+@query(S.retrieval(S.bm25(), S.top("bm", 45, "r"), """
+b AS (SELECT r.*, (r.rank - 1) // 20 AS batch, 1.0::DOUBLE / (1 + abs(length(c.text) - length(q.text))) AS close, length(c.text) AS n
+  FROM r JOIN queries q USING (query_id) JOIN chunks c USING (chunk_id)),
+f AS (SELECT *, first_value(n) OVER (PARTITION BY query_id, batch ORDER BY rank) % 3 = 0 AS failed, count(*) OVER (PARTITION BY query_id) AS pool FROM b),
+v AS (SELECT *, CASE WHEN pool = 1 THEN 1.0 WHEN NOT failed THEN close END AS relevance FROM f)""") + """
+SELECT query_id, chunk_id, round(relevance, 6) AS relevance,
+  (row_number() OVER (PARTITION BY query_id ORDER BY coalesce(relevance, 0) DESC, rank))::INTEGER AS rank FROM v""")
+def reranked_in_batches(t: Tables):
+    """Up to three batches a query, scored by closeness of length; the scorer fails where the first text's length is a
+    multiple of three."""
+    def closeness(asked: str, texts: list[str]) -> list[float]:
+        if len(texts[0]) % 3 == 0:
+            raise ConnectionError("no answer")
+        return [1.0 / (1 + abs(len(text) - len(asked))) for text in texts]
+
+    hits = bm25_search(base.benchmark_queries(t), base.corpus_index(t), 45)
+    rows = P.attach(hits, base.stored_chunks(t), ["text"]).join(base.benchmark_queries(t).withColumnRenamed("text", "query_text"), "query_id")
+    return X.rerank_in_batches(rows, closeness).select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"), "rank")
+
+
 def hierarchical_corpus(t: Tables):
     return C.chunk_hierarchical(multi_part_texts(t)).withColumn("text_hash", text_hash(F.col("text")))
 

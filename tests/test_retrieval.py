@@ -275,3 +275,17 @@ def test_vectors_by_scope_broadcast_and_in_cells_are_the_same(spark):
     sevens = np.arange(0, 300, 3)
     assert {(r.query_id, r["rank"]): r.chunk_id for r in wide if r.kb_id == 7} == {
         (q, n + 1): int(sevens[c]) for q in range(40) for n, c in enumerate(np.lexsort((sevens, -score[q][sevens]))[:4])}
+
+
+def test_reranked_batches_fail_and_merge_each_for_itself(spark):
+    rows = [(1, i, i, f"t{i}", "q") for i in range(1, 8)] + [(2, 1, 1, "lone", "q"), (3, 1, 1, "x", "bad"), (3, 2, 2, None, "bad")]
+    cands = spark.createDataFrame(rows, "query_id long, chunk_id long, rank int, text string, query_text string")
+
+    def scorer(asked, texts):
+        if asked == "bad" or "t4" in texts:
+            raise ValueError("down")
+        return [float(text[1:]) if text[1:].isdigit() else 0.5 for text in texts][:2]
+
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.relevance) for r in X.rerank_in_batches(cands, scorer, size=3).collect()}
+    assert [got[1, n][0] for n in range(1, 8)] == [7, 2, 1, 3, 4, 5, 6] and got[1, 4][1] is None
+    assert got[2, 1] == (1, 1.0) and [got[3, n] for n in (1, 2)] == [(1, None), (2, None)]
