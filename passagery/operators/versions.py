@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from passagery import constants as K
 from passagery.functions import codes
 from passagery.operators.ordered import counts_since
+from passagery.session import materialize
 
 
 def version_chain(changes: DataFrame, keys: list[str], order: list[str], bucket: Column, change: str = "change_type") -> DataFrame:
@@ -21,7 +22,12 @@ def version_chain(changes: DataFrame, keys: list[str], order: list[str], bucket:
 
 
 def activate_latest(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Exactly the newest version of each document is active. The newest is found by aggregation."""
+    """Exactly the newest version of each document is active. The newest is found by aggregation. The versions are read
+    twice, so what makes them is written first."""
+    return _newest_active(materialize(versions, "versions"), keys, order)
+
+
+def _newest_active(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     place = F.struct(*[F.col(c) for c in order])
     newest = versions.groupBy(*keys).agg(F.max(place).alias("newest"))
     return versions.join(newest, keys).withColumn("current_active", place == F.col("newest")).drop("newest")
@@ -42,9 +48,10 @@ def history(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def rollback(versions: DataFrame, targets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Make the target label the active one. A label may occur once per document; a missing label changes
     nothing and is reported by `rollback_errors`."""
+    versions = materialize(versions, "versions")
     wanted = targets.select(*keys, F.col("version").alias("target"))
     hits = versions.join(wanted, keys).filter(F.col("version") == F.col("target")).select(*keys, "target").distinct()
-    flagged = activate_latest(versions, keys, order).join(hits, keys, "left")
+    flagged = _newest_active(versions, keys, order).join(hits, keys, "left")
     active = F.when(F.col("target").isNotNull(), F.col("version") == F.col("target")).otherwise(F.col("current_active"))
     return flagged.withColumn("current_active", active).drop("target")
 

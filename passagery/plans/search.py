@@ -94,16 +94,17 @@ def hybrid_search(
 def search(
     queries: DataFrame, corpus: Corpus, k: int = K.SEARCH_K, config: SearchConfig | None = None, where: Column | None = None
 ) -> DataFrame:
-    """Each query row names its own mode; the three plans are united."""
+    """Each query row names its own mode. One vector and one keyword search, of 2k rows, serve all modes: a single-path
+    query takes the first k of its path, a hybrid one fuses both."""
     cfg = config or SearchConfig()
     moded = queries.withColumn("mode", normalize_mode(F.col("mode")))
-    pick = lambda name: moded.filter(F.col("mode") == name)
-    parts = [
-        vector_path(pick("VECTOR_ONLY"), corpus, k, where).select("query_id", "chunk_id", "rank", "score"),
-        bm25_path(pick("BM25_ONLY"), corpus, k, cfg, where).select("query_id", "chunk_id", "rank", "score"),
-        hybrid_search(pick("HYBRID"), corpus, k, cfg, where).select("query_id", "chunk_id", "rank", "score"),
-    ]
-    hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    vector = vector_path(moded.filter("mode <> 'BM25_ONLY'"), corpus, 2 * k, where)
+    keyword = bm25_path(moded.filter("mode <> 'VECTOR_ONLY'"), corpus, 2 * k, cfg, where)
+    pool = materialize(vector.unionByName(keyword).join(moded.select("query_id", "mode"), "query_id"), "pool")
+    single = pool.filter((F.col("mode") != "HYBRID") & (F.col("rank") <= k)).select("query_id", "chunk_id", "rank", "score")
+    known = pool.filter("mode = 'HYBRID'").drop("mode").join(corpus.chunks.select("chunk_id", *corpus.identity), "chunk_id")
+    fused = X.fuse(known, k, cfg.fusion_mode, cfg.rrf_k, cfg.vector_weight, cfg.bm25_weight)
+    hits = single.unionByName(fused.select("query_id", "chunk_id", "rank", F.col("gain").alias("score")))
     return hits.join(moded.select("query_id", "mode"), "query_id")
 
 
