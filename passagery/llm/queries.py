@@ -21,11 +21,11 @@ from .quality import judge
 from .secrets import find_secrets
 from .simhash import near_duplicates
 from .suffix import passages
-from .sql import LINES, MIXING
+from .sql import CHAT, LINES, MIXING
 from .whiten import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op7_line_dedup": LINES, "op9_mixing": MIXING}
+ORACLES: dict[str, str] = {"op7_line_dedup": LINES, "op9_mixing": MIXING, "op12_chat": CHAT}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):

@@ -55,3 +55,23 @@ SELECT r.doc_id, r.size, t.source_size, t.target,
                           - floor((r.rank - 1) * (t.target / t.source_size) + t.shift)))::BIGINT AS taken
 FROM ranked r JOIN targets t USING (source_key)
 """
+
+CHAT = r"""
+WITH rows_in AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, 15 + length(role) + length(text) + length(role) - length(replace(role, ':', ''))
+         + list_sum(list_transform([role, text], lambda x: length(x) - length(replace(x, '\', ''))
+             + len(regexp_extract_all(x, '#')) - len(regexp_extract_all(x, '#+')) + len(regexp_extract_all(x, '</turn>')))) AS n
+  FROM rows_in
+), placed AS (
+  SELECT *, sum(n) OVER w AS up_to, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS total
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE WHEN role = 'assistant' OR place = total THEN up_to ELSE 0 END)::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
