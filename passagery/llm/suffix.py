@@ -8,11 +8,14 @@ way, and windows with a neighbour from another text make up the repeated passage
 
 Work is on distinct texts; a text of `least` words or more that several rows have is a repeat as a whole. Words are
 compared by 64-bit hashes. Sorting deals equal keys out over tasks by text and place, so that a passage of any number
-of documents is split; what meets at the borders of partitions is settled from two groups a partition.
+of documents is split; what meets at the borders of partitions is settled from the groups that stand there.
+
+Each row of a partition's first group and the last row it holds go to that settling, whatever the layout of batches.
 
 Null and empty texts and those shorter than a passage have no repeats. What repeats within one text alone is none.
 Rows repeated under one doc_id are copies of each other like any. A null doc_id is reported as null. An empty table
-gives no rows.
+gives no rows. Very long texts are hashed whole; ties between partners go to the one of least number. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -107,43 +110,35 @@ def _neighbours(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     names = ["key", "text_no", "place"]
-    held, first, emitted, several = [np.empty(0, np.int64)] * 3, True, False, False
+    held, first, several, least_no = [np.empty(0, np.int64)] * 3, True, False, 0
 
     def out(rows: list[np.ndarray], matched: np.ndarray, edge: np.ndarray, near: np.ndarray):
         keep = matched | edge
         return pa.record_batch([*[pa.array(x[keep]) for x in rows], pa.array(near[keep]), pa.array(matched[keep]), pa.array(edge[keep])],
                                names=[*names, "near", "matched", "edge"])
 
-    def grouped(rows: list[np.ndarray]):
-        """Start of each group of equal keys, and for each row its group and another text of the group (or its own)."""
-        starts = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows[0]))))
-        low, high = rows[1][starts], rows[1][np.append(starts[1:], len(rows[0])) - 1]
-        return starts, group, low, high
-
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = [np.concatenate((h, batch.column(name).to_numpy().astype(np.int64))) for h, name in zip(held, names)]
-        starts, group, low, high = grouped(rows)
-        multi = low != high
-        multi[0] |= several
-        last = len(starts) - 1
+        starts = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows[0]))))
+        low, high = rows[1][starts], rows[1][np.append(starts[1:], len(rows[0])) - 1]
+        if several:
+            low[0] = least_no  # seen in an earlier batch
+        multi, last = low != high, len(starts) - 1
         near = np.where(rows[1] == low[group], high[group], low[group])
-        done = np.ones(len(group), bool)
-        done[0] = not emitted
-        if not multi[last]:
-            done[starts[last]:] = False  # all of one text, and more texts may follow
-        edge = (group == 0) & first & (last > 0)
-        if done.any():
-            yield out([x[done] for x in rows], multi[group][done], edge[done], near[done])
+        # of a group that may go on, the last row waits; while it is of one text alone, all of it waits
+        several, least_no = bool(multi[last]), int(low[last])
+        cut = len(group) - 1 if several else starts[last]
+        edge = (group == 0) & first
+        if cut:
+            yield out([x[:cut] for x in rows], multi[group][:cut], edge[:cut], near[:cut])
         first &= last == 0
-        several, emitted = bool(multi[last]), bool(multi[last])
-        from_ = len(group) - 1 if several else starts[last]
-        held = [x[from_:] for x in rows]
-    if len(held[0]):
-        n = len(held[0])
-        yield out(held, np.full(n, several), np.ones(n, bool), held[1])
+        held = [x[cut:] for x in rows]
+    n = len(held[0])
+    if n:
+        yield out(held, np.full(n, several), np.ones(n, bool), np.full(n, least_no) if several else held[1])
 
 
 def repeated(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -153,9 +148,8 @@ def repeated(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     found = scratch.write(rows.select(*order).repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(
         _neighbours, "key long, text_no long, place long, near long, matched boolean, edge boolean"), name)
     borders = found.where("edge").groupBy("key").agg(
-        F.min("text_no").alias("low"), F.max("text_no").alias("high"), F.max("matched").alias("known"),
-        F.max(F.when(F.col("matched"), F.greatest("near", "text_no"))).alias("other")).where("low <> high OR known")
-    near = F.coalesce(F.when(F.col("text_no") == F.col("low"), F.nullif("high", "text_no")).otherwise(F.col("low")), F.col("other"))
+        F.min(F.least("near", "text_no")).alias("low"), F.max(F.greatest("near", "text_no")).alias("high")).where("low <> high")
+    near = F.when(F.col("text_no") == F.col("low"), F.col("high")).otherwise(F.col("low"))
     settled = found.where("edge AND NOT matched").join(borders, "key").select("text_no", "place", near.alias("near"))
     return found.where("matched").select("text_no", "place", "near").unionAll(settled)
 
@@ -183,8 +177,14 @@ def windows(held: DataFrame, least: int) -> DataFrame:
 
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, start_word, end_word, match_id): the maximal stretches of each document that lie in runs of `least`
-    words or more found in another row too, and the doc_id of a row with such a run."""
+    """(doc_id, start_word, end_word, match_id, class_id, matches): the maximal stretches of each document that lie in
+    runs of `least` words or more found in another row too, and the doc_id of a row with such a run.
+
+    `class_id` is the smallest doc_id with the same text. `matches` lists the runs of the stretch by partner, each as
+    (start_word, end_word, match_id) with the partner's class; texts that share a window form a star around one of
+    them, so that no text is cut off from another it shares words with. A text that several rows have is one stretch
+    as a whole in each of them, and the row of its class_id alone lists what it shares with other texts.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "suffix")
@@ -205,20 +205,27 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     scratch.drop("windows", "sorted_windows", "regions")
     in_text = Window.partitionBy("text_no").orderBy("place")
     opened = F.coalesce((F.col("place") > F.lag("place").over(in_text) + least).cast("int"), F.lit(1))
-    stretches = found.withColumn("opened", opened).withColumn("stretch", F.sum("opened").over(in_text)).groupBy(
-        "text_no", "stretch").agg(F.min("place").alias("start_word"), (F.max("place") + least).alias("end_word"),
-                                  F.min("near").alias("near"))
+    by_partner = Window.partitionBy("text_no", "near").orderBy("place")
+    broken = F.coalesce((F.col("place") > F.lag("place").over(by_partner) + 1).cast("int"), F.lit(1))
+    runs = found.withColumn("opened", opened).withColumn("stretch", F.sum("opened").over(in_text)).withColumn(
+        "broken", broken).withColumn("run", F.sum("broken").over(by_partner)).groupBy(
+        "text_no", "stretch", "near", "run").agg(
+        F.min("place").alias("start_word"), (F.max("place") + least).alias("end_word"))
 
     named = scratch.write(rows.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"),
         F.max("doc_id").alias("last_id")).join(
         numbered, ["t1", "t2"]), "named")
-    near = named.select(F.col("text_no").alias("near"), F.col("first_id").alias("match_id"))
-    inside = scratch.write(stretches.join(near, "near", "left").join(
-        named.where("copies = 1").select("text_no", "t1", "t2"), "text_no").select(
-        "t1", "t2", "start_word", "end_word", "match_id"), "inside")
-    thin = rows.select("doc_id", "t1", "t2", "n_words")
-    copies = named.where("copies > 1").select("t1", "t2", "first_id", "last_id")
-    other = F.when(F.col("doc_id") == F.col("first_id"), F.col("last_id")).otherwise(F.col("first_id"))
-    return thin.join(inside, ["t1", "t2"]).select("doc_id", "start_word", "end_word", "match_id").unionAll(
-        thin.where(F.col("n_words") >= least).join(copies, ["t1", "t2"]).select(
-            "doc_id", F.lit(0).cast("long"), F.col("n_words"), other))
+    partner = named.select(F.col("text_no").alias("near"), F.col("first_id").alias("match_id"))
+    part = F.struct("start_word", "end_word", "match_id")
+    inside = scratch.write(runs.join(partner, "near").groupBy("text_no", "stretch").agg(
+        F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("match_id").alias("match_id"),
+        F.array_sort(F.collect_list(part)).alias("matches")), "inside")
+    single = inside.join(named.where("copies = 1").select("text_no", F.col("first_id").alias("doc_id")), "text_no").select(
+        "doc_id", "start_word", "end_word", "match_id", F.col("doc_id").alias("class_id"), "matches")
+    shared = inside.groupBy("text_no").agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    copies = named.where("copies > 1").join(shared, "text_no", "left").select("t1", "t2", "first_id", "last_id", "matches")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id"))
+    return single.unionAll(
+        rows.select("doc_id", "t1", "t2", "n_words").where(F.col("n_words") >= least).join(copies, ["t1", "t2"]).select(
+            "doc_id", F.lit(0).cast("long"), F.col("n_words"), F.when(is_first, F.col("last_id")).otherwise(F.col("first_id")),
+            "first_id", F.when(is_first, F.col("matches"))))

@@ -94,6 +94,69 @@ def test_op1_hot_passage_over_many_partitions(spark):
     assert {(r.doc_id, r.start_word, r.end_word) for r in got} == stretches(texts) == {(i, 30, 85) for i in texts}
 
 
+def classes_of_windows(texts: dict, least: int = 50) -> dict:
+    """Every window of words that more than one text has: the class of each such text and where the window stands."""
+    firsts, held = {}, defaultdict(lambda: defaultdict(list))
+    for i in sorted(texts):
+        firsts.setdefault(texts[i] or "", i)
+    for text, i in firsts.items():
+        w = text.split()
+        for k in range(len(w) - least + 1):
+            held[tuple(w[k:k + least])][i].append(k)
+    return {window: at for window, at in held.items() if len(at) > 1}
+
+
+def assert_linked(texts: dict, got: list) -> None:
+    """The texts of each shared window are connected by matches that cover the window, and no match is made up."""
+    shared = classes_of_windows(texts)
+    parts = defaultdict(list)
+    for r in got:
+        for m in r.matches or []:
+            parts[r.class_id].append(m)
+            assert m.match_id != r.class_id and (r.doc_id == r.class_id)
+    at_place = {(i, k): members for members in shared.values() for i, places in members.items() for k in places}
+    for i, ms in parts.items():
+        assert all(m.match_id in at_place[i, k] for m in ms for k in range(m.start_word, m.end_word - 49))
+    for members in shared.values():
+        edges = [(i, m.match_id) for i, places in members.items() for m in parts[i]
+                 if m.match_id in members and any(m.start_word <= k and k + 50 <= m.end_word for k in places)]
+        reached, grown = {min(members)}, True
+        while grown:
+            more = {b for a, b in edges if a in reached} | {a for a, b in edges if b in reached}
+            grown = not more <= reached
+            reached |= more
+        assert reached == set(members)
+
+
+def test_op1_links_between_different_texts(found, documents):
+    assert_linked(documents, found("op1_suffix"))
+
+
+def test_op1_links_of_copied_texts_and_changing_partners(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    p, q = words("p", 60), words("q", 70)
+    texts = {1: f"{words('a', 30)} {p}", 2: f"{words('a', 30)} {p}", 3: f"{p} {words('b', 9)}", 4: f"{p} {words('b', 9)}",
+             5: f"{p} {q}", 6: f"{q} end", 7: f"{words('c', 5)} {words('q', 55)}", 8: f"{p} {q}"}
+    got = suffix.passages(frame(spark, list(texts.items()))).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in got} == stretches(texts)
+    assert_linked(texts, got)
+    assert {(r.doc_id, r.class_id) for r in got} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 5)}
+
+
+@pytest.mark.parametrize("sizes", [[3, 2], [1, 1, 1, 2], [5], [2, 3], [4, 1]])
+def test_op1_borders_do_not_depend_on_batches(sizes):
+    """The first and last groups of a partition are there to be settled, and every row stands once with its partner."""
+    import pyarrow as pa
+
+    rows, batches, at = [(5, 1, 0), (5, 2, 0), (5, 2, 4), (7, 3, 0), (9, 4, 1)], [], 0
+    for n in sizes:
+        part = np.array(rows[at:at + n], np.int64)
+        batches.append(pa.record_batch([pa.array(part[:, i]) for i in range(3)], names=["key", "text_no", "place"]))
+        at += n
+    got = [tuple(r.values()) for b in suffix._neighbours(iter(batches)) for r in b.to_pylist()]
+    assert got == [(5, 1, 0, 2, True, True), (5, 2, 0, 1, True, True), (5, 2, 4, 1, True, True), (9, 4, 1, 4, False, True)]
+
+
 def test_op1_repeats_inside_one_text_are_none(spark):
     assert suffix.passages(frame(spark, [(1, "same word " * 200), (2, "other")])).count() == 0
 
