@@ -5,13 +5,19 @@ token characters is encoded with a public vocabulary: prose and identifiers are
 strings fall apart into short ones, so few characters a token expose a secret. Known digests, UUIDs, numbers and rules
 are excluded first; names and words are told by the test alone. A run is encoded in slices of bounded length, all of it.
 
+What base spans and UUIDs cover is cut out, the rest of a run is tested. A rest that passes as a whole is tested again
+piece by piece between its separators, and a long piece window by window, so that neither a path nor a prefix of plain
+words hides a key.
+
 Places are code points. Null and empty texts have no spans. Repeated rows are scanned each for itself. An empty table
-gives no rows.
+gives no rows. Very long texts and runs are scanned whole. Spans that start together are ordered by kind. Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +41,12 @@ KNOWN = re.compile(
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUID
     r"|[0-9_=+/-]+"  # numbers and rules
     r"|(.)\1+")  # one character repeated
+UUID = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])")
+SEPARATORS = "+/_=-"
+PIECE = re.compile(r"[A-Za-z0-9]{16,}")
 SLICE, MOST_CHARS_PER_TOKEN = 256, 2.2
+#: a piece of twice the shortest run is tested in windows of `WINDOW` tokens, which must be short all together
+SHORTEST, WINDOW = 16, 12
 
 
 @lru_cache(maxsize=1)
@@ -59,6 +70,40 @@ def chars_per_token(run: str, path: str) -> float:
     return len(run) / sum(len(encode(run[i:i + SLICE])) for i in range(0, len(run), SLICE))
 
 
+def short_windows(piece: str, path: str) -> list[tuple[int, int]]:
+    """(start, stop) of the stretches of a piece made of windows of tokens that are short together."""
+    encoding, out, base = encoder(path), [], 0
+    for i in range(0, len(piece), SLICE):
+        tokens = encoding.encode_ordinary(piece[i:i + SLICE])
+        ends = list(itertools.accumulate((len(encoding.decode_single_token_bytes(t)) for t in tokens), initial=0))
+        for k in range(len(tokens) - WINDOW + 1):
+            start, stop = base + ends[k], base + ends[k + WINDOW]
+            if stop - start >= SHORTEST and stop - start <= MOST_CHARS_PER_TOKEN * WINDOW:
+                if out and start <= out[-1][1]:
+                    out[-1] = (out[-1][0], stop)
+                else:
+                    out.append((start, stop))
+        base += ends[-1]
+    return out
+
+
+def random_parts(rest: str, path: str) -> list[tuple[int, int]]:
+    """(start, stop) of what looks random in the rest of a run: all of it, else pieces, else stretches of long pieces."""
+    if excluded(rest):
+        return []
+    if chars_per_token(rest, path) <= MOST_CHARS_PER_TOKEN:
+        return [(0, len(rest))]
+    out = []
+    for m in PIECE.finditer(rest):
+        if excluded(m[0]):
+            continue
+        if len(m[0]) < len(rest) and chars_per_token(m[0], path) <= MOST_CHARS_PER_TOKEN:
+            out.append(m.span())
+        elif len(m[0]) >= 2 * SHORTEST:
+            out += [(m.start() + a, m.start() + b) for a, b in short_windows(m[0], path)]
+    return out
+
+
 def excluded(run: str) -> bool:
     """Known digests, identifiers, numbers and rules."""
     if len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
@@ -73,16 +118,31 @@ def base_spans(text: str) -> list[tuple[int, int, int, bool]]:
     return out + [(2, *m.span(), True) for m in HEX.finditer(text)]
 
 
+def rests(run: re.Match, covered: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
+    """(start, characters) of the parts of a run outside the covered spans; cut parts lose the separators at their ends."""
+    at = run.start()
+    for start, stop in [*covered, (run.end(), run.end())]:
+        part, left = run.string[at:start], at
+        if covered:
+            left += len(part) - len(part.lstrip(SEPARATORS))
+            part = part.strip(SEPARATORS)
+        if len(part) >= SHORTEST:
+            yield left, part
+        at = max(at, stop)
+
+
 def scan(text: str, path: str) -> list[tuple[int, int, int, bool]]:
-    """(kind, start, stop, base) by start, then kind. What a base span touches is not reported again."""
-    base = base_spans(text)
-    covered, added, at = sorted((start, stop) for _, start, stop, _ in base), [], 0
-    for m in RUN.finditer(text):
-        while at < len(covered) and covered[at][1] <= m.start():
+    """(kind, start, stop, base) by start, then kind. What base spans cover is not reported again."""
+    base, added, at = base_spans(text), [], 0
+    covered = sorted([(start, stop) for _, start, stop, _ in base] + [m.span() for m in UUID.finditer(text)])
+    for run in RUN.finditer(text):
+        while at < len(covered) and covered[at][1] <= run.start():
             at += 1
-        touched = at < len(covered) and covered[at][0] < m.end()
-        if not touched and not excluded(m[0]) and chars_per_token(m[0], path) <= MOST_CHARS_PER_TOKEN:
-            added.append((3, *m.span(), False))
+        upto = at
+        while upto < len(covered) and covered[upto][0] < run.end():
+            upto += 1
+        for start, rest in rests(run, covered[at:upto]):
+            added += [(3, start + a, start + b, False) for a, b in random_parts(rest, path)]
     return sorted(base + added, key=lambda s: (s[1], s[0]))
 
 

@@ -285,6 +285,36 @@ def test_op4_random_strings_of_one_case_and_short_ones(letters, length):
     assert sum(f == [(3, 4, 4 + length)] for f in found) >= 190
 
 
+def test_op4_keys_in_paths_and_beside_base_spans():
+    path, draw = secrets.default_path(), random.Random(6)
+    key = lambda n: "".join(draw.choices(string.ascii_letters + string.digits, k=n))
+    keys = [key(24) for _ in range(300)]
+
+    def hits(texts, wanted):
+        """Keys of which a found span covers all but two characters at either end."""
+        n = 0
+        for text, k in zip(texts, wanted):
+            a = text.index(k)
+            n += any(not s[3] and s[1] <= a + 2 and s[2] >= a + len(k) - 2 for s in secrets.scan(text, path))
+        return n
+
+    assert hits([f"see example.com/downloads/public/documents/reports/annual/{k} now" for k in keys], keys) >= 290
+    longs = [key(60) for _ in range(300)]
+    assert hits([f"{k}/{draw.getrandbits(160):040x}" for k in longs], longs) >= 290
+    assert hits([f"123e4567-e89b-12d3-a456-426614174000/{k}" for k in keys], keys) >= 290
+    mixed = [key(40) for _ in range(300)]
+    found = [secrets.scan(f"unbelievablyLongInformationAboutDocuments{k}", path) for k in mixed]
+    assert sum(any(s[2] - s[1] >= 30 for s in f) for f in found) >= 290
+
+
+def test_op4_paths_of_words_are_none():
+    path = secrets.default_path()
+    for text in ("example.com/downloads/public/documents/reports/annual/index_of_all_reports", "a_very_long_name_of_some_variable_in_code",
+                 "/usr/local/lib/python/site-packages/public/information", "123e4567-e89b-12d3-a456-426614174000/information/documents",
+                 "https://example.com/" + "information/" * 5_000):
+        assert secrets.scan(text, path) == []
+
+
 # languages
 
 
