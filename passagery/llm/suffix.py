@@ -127,7 +127,9 @@ def _neighbours(batches: Iterator) -> Iterator:
         if several:
             low[0] = least_no  # seen in an earlier batch
         multi, last = low != high, len(starts) - 1
-        near = np.where(rows[1] == low[group], high[group], low[group])
+        is_low = rows[1] == low[group]
+        second = rows[1][np.minimum(starts + np.add.reduceat(is_low.astype(np.int64), starts), np.append(starts[1:], len(group)) - 1)]
+        near = np.where(is_low, second[group], low[group])
         # of a group that may go on, the last row waits; while it is of one text alone, all of it waits
         several, least_no = bool(multi[last]), int(low[last])
         cut = len(group) - 1 if several else starts[last]
@@ -149,9 +151,10 @@ def repeated(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         _neighbours, "key long, text_no long, place long, near long, matched boolean, edge boolean"), name)
     borders = found.where("edge").groupBy("key").agg(
         F.min(F.least("near", "text_no")).alias("low"), F.max(F.greatest("near", "text_no")).alias("high")).where("low <> high")
-    near = F.when(F.col("text_no") == F.col("low"), F.col("high")).otherwise(F.col("low"))
-    settled = found.where("edge AND NOT matched").join(borders, "key").select("text_no", "place", near.alias("near"))
-    return found.where("matched").select("text_no", "place", "near").unionAll(settled)
+    near = F.when(F.col("low").isNull(), F.col("near")).when(F.col("text_no") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    # a partition has two outer keys at most, so the borders are few; a key over several partitions keeps one centre
+    return found.join(F.broadcast(borders), "key", "left").where("matched OR low IS NOT NULL").select(
+        "text_no", "place", near.alias("near"))
 
 
 def windows(held: DataFrame, least: int) -> DataFrame:
