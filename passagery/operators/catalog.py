@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from passagery import constants as K
 from passagery.functions import codes
-from passagery.operators.ordered import previous
+from passagery.operators.ordered import BUCKET_ROWS, DENSE, by_density, previous
 
 
 def list_kbs(kbs: DataFrame, documents: DataFrame, tenant_id: int | None = None) -> DataFrame:
@@ -60,10 +60,12 @@ def valid_transition(before: Column, after: Column) -> Column:
     return F.when(before.isNull(), after == K.STATUS_ORDER[0]).otherwise(step | fail)
 
 
-def check_transitions(events: DataFrame, bucket: Column, doc: str = "doc_id") -> DataFrame:
-    """Status changes that the state machine does not allow."""
-    rows = previous(events, [doc], ["event_time", "seq"], bucket, {"before": F.col("status")})
-    return rows.filter(~valid_transition(F.col("before"), F.col("status")))
+def check_transitions(events: DataFrame, cut: Column, doc: str = "doc_id", rows: int = BUCKET_ROWS) -> DataFrame:
+    """Status changes that the state machine does not allow. A history may be divided between values of `cut`, a
+    monotone expression of the event time; it is divided where its rows are many."""
+    divided = by_density(events, [doc], cut, rows)
+    found = previous(divided, [doc], ["event_time", "seq"], F.col(DENSE), {"before": F.col("status")}).drop(DENSE)
+    return found.filter(~valid_transition(F.col("before"), F.col("status")))
 
 
 def status_facets(documents: DataFrame) -> DataFrame:

@@ -8,9 +8,30 @@ Rows are shuffled once in full; the bucket summaries come from a narrow second r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from passagery.session import materialize
 
 BUCKET = "__bucket"
+DENSE = "__dense"
+BUCKET_ROWS = 50_000
+
+
+def by_density(df: DataFrame, keys: list[str], slice_: Column, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Add `DENSE`, a bucket of about `rows` rows per key, cut between values of `slice_`, a monotone expression of the order.
+
+    Slices are counted and the counts summed per key, so that a busy hour is cut as finely as its slices allow while
+    quiet months share a bucket. Only the slices after a key's first bucket are written and joined: their table is
+    empty or small unless most keys are long, and its size is known from its files.
+    """
+    cut = df.withColumn("__slice", slice_)
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    place = F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / rows).alias(DENSE)
+    later = materialize(counts.select(*keys, "__slice", place).filter(F.col(DENSE) > 0), "slices")
+    return cut.join(later, [*keys, "__slice"], "left").withColumn(DENSE, F.coalesce(DENSE, F.lit(0))).drop("__slice")
 
 
 def earlier(keys: list[str]):
@@ -101,3 +122,63 @@ def gap_sessions(df: DataFrame, keys: list[str], order: list[str], bucket: Colum
     )
     joined = rows.join(carried, [*keys, BUCKET]).withColumn(out, F.col("__base") + F.col("__starts"))
     return joined.drop(BUCKET, "__clock", "__step", "__starts", "__base")
+
+
+def _chain(since: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The end of the last window picked, as a step function of the time up to which no window may start: entered
+    before `starts[i]` it is `ends[i]`, entered later it stays what it was. Entries beyond the first window's end do
+    not occur, because an entry is the end of an earlier window."""
+    following = np.searchsorted(since, until, side="right")
+    last = until.copy()
+    for i in range(len(since) - 1, -1, -1):
+        if following[i] < len(since):
+            last[i] = last[following[i]]
+    reach = slice(0, min(following[0] + 1, len(since)))
+    starts, ends = since[reach], last[reach]
+    keep = np.append(ends[1:] != ends[:-1], True)
+    return starts[keep], ends[keep]
+
+
+def _steps(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = pdf.drop(columns=["since", "until"])
+    chains = [_chain(np.asarray(a), np.asarray(b)) for a, b in zip(pdf["since"], pdf["until"])]
+    return out.assign(starts=[c[0].tolist() for c in chains], ends=[c[1].tolist() for c in chains])
+
+
+def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a bucket is entered with: the step functions of the earlier buckets applied in turn."""
+    ordered = pdf.sort_values(BUCKET)
+    reached, now = [], np.iinfo(np.int64).min
+    for starts, ends in zip(ordered["starts"], ordered["ends"]):
+        reached.append(now)
+        place = np.searchsorted(np.asarray(starts), now, side="right")
+        now = int(ends[place]) if place < len(starts) else now
+    return ordered.drop(columns=["starts", "ends"]).assign(entry=np.array(reached, dtype="int64"))
+
+
+def disjoint_windows(df: DataFrame, keys: list[str], number: str, since: Column, until: Column, bucket: Column) -> DataFrame:
+    """The rows picked when windows [since, until] (long) are taken per key in the order of `number`, each that starts
+    after the end of the one taken before; both ends must rise with `number`.
+
+    What a bucket does to the end of the last window taken is a step function, found in the bucket alone. The
+    functions of a key are applied one after the other, which gives what each bucket is entered with, and the buckets
+    pick their rows side by side. Keys with one bucket, nearly all, are done without Python.
+    """
+    row = F.struct(F.col(number).alias("no"), since.alias("since"), until.alias("until"), F.struct(*df.columns).alias("row"))
+    lists = df.withColumn(BUCKET, bucket).groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    lists = materialize(lists, "windows")
+    many = lists.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    kinds = T.StructType([f for f in lists.schema.fields if f.name != "rows"])
+    wide = lambda *more: T.StructType([*kinds.fields, *more])
+    longs = T.ArrayType(T.LongType())
+    crowded = lists.join(many, keys, "left_semi").select(*keys, BUCKET, F.col("rows.since").alias("since"), F.col("rows.until").alias("until"))
+    steps = crowded.groupBy(*keys, BUCKET).applyInPandas(_steps, wide(T.StructField("starts", longs), T.StructField("ends", longs)))
+    entries = steps.groupBy(*keys).applyInPandas(_entries, wide(T.StructField("entry", T.LongType())))
+    begin = F.coalesce("entry", F.lit(int(np.iinfo(np.int64).min)))
+    kind = lists.schema["rows"].dataType.simpleString()
+    picked = F.aggregate(
+        "rows", F.struct(begin.alias("end"), F.array().cast(kind).alias("taken")),
+        lambda a, r: F.when(r["since"] > a["end"], F.struct(r["until"].alias("end"), F.array_append(a["taken"], r).alias("taken"))).otherwise(a),
+        lambda a: F.transform(a["taken"], lambda r: r["row"]),
+    )
+    return lists.join(entries, [*keys, BUCKET], "left").select(F.inline(picked)).select(*df.columns)

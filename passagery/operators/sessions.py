@@ -8,7 +8,8 @@ from passagery import constants as K
 from passagery.functions import codes
 from passagery.functions.text import estimate_tokens, is_blank
 from passagery.operators.context import parse_citations
-from passagery.operators.ordered import counts_since, gap_sessions
+from passagery.operators.ordered import BUCKET_ROWS, DENSE, by_density, counts_since, disjoint_windows, gap_sessions
+from passagery.session import materialize
 
 
 def list_sessions(sessions: DataFrame, user_id: int | None = None, tenant_id: int | None = None) -> DataFrame:
@@ -101,11 +102,12 @@ def trim_history(messages: DataFrame, rounds: int = K.HISTORY_ROUNDS, tokens: in
     return recent.withColumn("used_tokens", total).filter(F.col("used_tokens") <= tokens)
 
 
-def sessionize(events: DataFrame, keys: list[str], ts: str, gap_seconds: int = K.SESSION_TTL_SECONDS, tie: str = "event_id", bucket: Column | None = None) -> DataFrame:
-    """Number the sliding-expiry sessions of each key: a gap of at least the lifetime starts a new one."""
-    day = F.to_date(F.col(ts)) if bucket is None else bucket
+def sessionize(events: DataFrame, keys: list[str], ts: str, gap_seconds: int = K.SESSION_TTL_SECONDS, tie: str = "event_id", bucket: Column | None = None, rows: int = BUCKET_ROWS) -> DataFrame:
+    """Number the sliding-expiry sessions of each key: a gap of at least the lifetime starts a new one. Buckets follow
+    the number of rows in minutes, or are given."""
+    cut = by_density(events, keys, F.date_trunc("minute", ts), rows) if bucket is None else events.withColumn(DENSE, bucket)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return gap_sessions(events, keys, [ts, tie], day, micros, gap_seconds * 1_000_000, "session_no")
+    return gap_sessions(cut, keys, [ts, tie], F.col(DENSE), micros, gap_seconds * 1_000_000, "session_no").drop(DENSE)
 
 
 def resolve_tenant(requests: DataFrame, kbs: DataFrame) -> DataFrame:
@@ -114,8 +116,24 @@ def resolve_tenant(requests: DataFrame, kbs: DataFrame) -> DataFrame:
     return requests.join(known, "kb_id", "left").withColumn("tenant_id", F.coalesce(F.col("kb_tenant").cast("bigint"), F.col("user_id"))).drop("kb_tenant")
 
 
-def lockouts(events: DataFrame, keys: list[str], ts: str, tie: str, failed: Column, limit: int = K.LOCK_FAILURES, minutes: int = K.LOCK_MINUTES) -> DataFrame:
-    """Failures that complete a row of `limit` without a success between them; a lock starts the count anew."""
-    rows = counts_since(events, keys, [ts, tie], F.to_date(F.col(ts)), {"streak": (failed, ~failed)})
-    full = rows.filter(failed & (F.col("streak") % limit == 0)).drop("seq")
-    return full.withColumn("locked_until", F.col(ts) + F.expr(f"INTERVAL {minutes} MINUTES"))
+def lockouts(
+    events: DataFrame, keys: list[str], ts: str, tie: str, failed: Column, limit: int = K.LOCK_FAILURES, minutes: int = K.LOCK_MINUTES,
+    rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """Attempts that lock an account: the last of `limit` failures without a success between them.
+
+    While it is locked, attempts are refused and not counted, up to and including the moment the lock ends; the first
+    later one starts from a count of 0. A row that could lock is one with `limit` failures in a row up to it. From the
+    first of these to the end of its lock it is a window, and an account is locked by the windows that follow one
+    another without touching. Adds `since`, the time of the first failure counted, and `locked_until`.
+    """
+    order = [ts, tie]
+    cut = by_density(events.select(*keys, *order, failed.alias("failed")), keys, F.date_trunc("minute", ts), rows)
+    streaks = counts_since(cut, keys, order, F.col(DENSE), {"streak": (F.col("failed"), ~F.col("failed"))})
+    failures = materialize(streaks.filter("failed").select(*keys, *order, "seq", "streak"), "failures")
+    first = failures.select(*keys, (F.col("seq") + (limit - 1)).alias("seq"), F.col(ts).alias("since"))
+    full = failures.filter(F.col("streak") >= limit).join(first, [*keys, "seq"])
+    full = full.withColumn("locked_until", F.col(ts) + F.expr(f"INTERVAL {minutes} MINUTES"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    locks = disjoint_windows(full, keys, "seq", micros("since"), micros("locked_until"), F.floor(F.col("seq") / rows))
+    return locks.select(*keys, *order, "since", "locked_until")

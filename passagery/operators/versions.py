@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from passagery import constants as K
 from passagery.functions import codes
-from passagery.operators.ordered import counts_since
+from passagery.operators.ordered import BUCKET_ROWS, DENSE, by_density, counts_since
 from passagery.session import materialize
 
 
-def version_chain(changes: DataFrame, keys: list[str], order: list[str], bucket: Column, change: str = "change_type") -> DataFrame:
-    """Version label of every change: the first is v1.0.0, then each change raises its part and resets the lower ones."""
+def version_chain(changes: DataFrame, keys: list[str], order: list[str], cut: Column, change: str = "change_type", rows: int = BUCKET_ROWS) -> DataFrame:
+    """Version label of every change: the first is v1.0.0, then each change raises its part and resets the lower ones.
+    A history may be divided between values of `cut`, a monotone expression of the order; it is where its rows are many."""
     kind = F.upper(F.col(change))
     is_major, is_patch = kind == "MAJOR", kind == "PATCH"
     is_minor = ~is_major & ~is_patch
     counters = {"n_major": (is_major, F.lit(False)), "n_minor": (is_minor, is_major), "n_patch": (is_patch, is_major | is_minor)}
-    rows = counts_since(changes, keys, order, bucket, counters, first_resets=True)
+    divided = by_density(changes, keys, cut, rows)
+    numbered = counts_since(divided, keys, order, F.col(DENSE), counters, first_resets=True).drop(DENSE)
     label = codes.format_version(F.col("n_major") + 1, F.col("n_minor"), F.col("n_patch"))
-    return rows.withColumn("version", label).drop(*counters)
+    return numbered.withColumn("version", label).drop(*counters)
 
 
 def activate_latest(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -20,36 +20,42 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class Lockout(StatefulProcessor):
-    """Length of the open failure streak per user; a lock at every full row of failures."""
+    """Open failures per user, the time of the first of them, and the end of the last lock."""
 
     def __init__(self, limit: int, minutes: int) -> None:
-        self.limit, self.minutes = limit, minutes
+        self.limit, self.length = limit, minutes * 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "streak long")
+        self.state = handle.getValueState("state", "failures long, since long, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        carried = self.open.get()[0] if self.open.exists() else 0
-        failed = batch["failed"].astype(bool)
-        island = (~failed).cumsum()
-        streak = failed.astype(int).groupby(island).cumsum() + (island == 0) * carried
-        streak = streak.where(failed, 0)
-        self.open.update((int(streak.iloc[-1]),))
-        hit = failed & (streak % self.limit == 0)
-        yield pd.DataFrame({
-            "user_id": key[0], "event_id": batch["event_id"][hit].to_numpy(), "streak": streak[hit].to_numpy(),
-            "locked_until": (batch["ts"][hit] + pd.Timedelta(minutes=self.minutes)).to_numpy(),
-        }).astype({"user_id": "int64", "event_id": "int64", "streak": "int64"})
+        # three narrow columns of one key and one micro-batch, as a lock depends on their order
+        batch = pd.concat([r[["ts", "event_id", "failed"]] for r in rows]).sort_values(["ts", "event_id"])
+        failures, since, until = self.state.get() if self.state.exists() else (0, 0, -(1 << 62))
+        clock = batch["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        locks = []
+        for now, event, failed in zip(clock.tolist(), batch["event_id"].tolist(), batch["failed"].tolist()):
+            if now <= until:
+                continue
+            since = now if failures == 0 else since
+            failures = failures + 1 if failed else 0
+            if failures == self.limit:
+                failures, until = 0, now + self.length
+                locks.append((key[0], event, since, until))
+        self.state.update((failures, since, until))
+        found = pd.DataFrame(locks, columns=["user_id", "event_id", "since", "locked_until"]).astype("int64")
+        times = {c: pd.to_datetime(found[c], unit="us") for c in ("since", "locked_until")}
+        yield found.assign(**times)
 
     def close(self) -> None:
         pass
 
 
 def lockout_stream(events: DataFrame, limit: int = K.LOCK_FAILURES, minutes: int = K.LOCK_MINUTES) -> DataFrame:
-    """`events` (user_id, event_id, ts, failed) in order of arrival per micro-batch."""
+    """`events` (user_id, event_id, ts, failed) in order of arrival per micro-batch; the rules are those of
+    `sessions.lockouts`. An account keeps three numbers for ever, as a lock may follow the last failure at any time."""
     return events.groupBy("user_id").transformWithStateInPandas(
-        Lockout(limit, minutes), "user_id long, event_id long, streak long, locked_until timestamp", "append", "None"
+        Lockout(limit, minutes), "user_id long, event_id long, since timestamp, locked_until timestamp", "append", "None"
     )
 
 

@@ -217,7 +217,7 @@ def latest_statuses(t: Tables):
 SELECT doc_id, seq, before, status FROM l WHERE (before = 'PENDING' AND status = 'PARSED')""")
 def illegal_transitions(t: Tables):
     """Jumping over PARSING is illegal; failing straight after PENDING is not."""
-    return D.check_transitions(status_events(t), F.to_date("event_time")).select("doc_id", "seq", "before", "status")
+    return D.check_transitions(status_events(t), F.date_trunc("minute", "event_time")).select("doc_id", "seq", "before", "status")
 
 
 @query(R.ctes("kb_documents") + """ SELECT CASE process_status WHEN 'COMPLETED' THEN 'INDEXED' WHEN 'FAILED' THEN 'FAILED' ELSE 'PROCESSING' END AS facet,
@@ -259,8 +259,7 @@ chain AS (SELECT *, 'v' || ma || '.' || mi || '.' || sum((k = 'PATCH')::INT) OVE
 
 
 def chain(t: Tables):
-    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
-    return V.version_chain(R.changes(t), ["doc_id"], R.VERSION_ORDER, month)
+    return V.version_chain(R.changes(t), ["doc_id"], R.VERSION_ORDER, F.to_date("l_shipdate"))
 
 
 @query(CHAIN_SQL + " SELECT doc_id, seq, change_type, version FROM chain")

@@ -386,18 +386,35 @@ def resolved_tenants(t: Tables):
     return H.resolve_tenant(R.requests(t), R.kbs(t)).select("request_id", "tenant_id")
 
 
-LOCK_SQL = """
-f AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
-k AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM f WHERE event_type = 'error')"""
-
-
-@query(f"""WITH {LOCK_SQL} SELECT user_id, event_id, streak, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS locked_until
-FROM k WHERE streak % 3 = 0""")
+def lock_sql(limit: int, minutes: int) -> str:
+    """Attempts folded one after the other per user, with the open failures and the end of the lock as state."""
+    return f"""WITH RECURSIVE tries AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+fold AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS failures, NULL::TIMESTAMP AS since, NULL::TIMESTAMP AS until, NULL::BIGINT AS event_id, false AS locks FROM tries
+  UNION ALL
+  SELECT f.user_id, t.n, CASE WHEN coalesce(t.ts <= f.until, false) THEN f.failures WHEN t.failed AND f.failures + 1 < {limit} THEN f.failures + 1 ELSE 0 END,
+    CASE WHEN f.failures = 0 THEN t.ts ELSE f.since END,
+    CASE WHEN NOT coalesce(t.ts <= f.until, false) AND t.failed AND f.failures + 1 = {limit} THEN t.ts + INTERVAL {minutes} MINUTE ELSE f.until END,
+    t.event_id, NOT coalesce(t.ts <= f.until, false) AND t.failed AND f.failures + 1 = {limit}
+  FROM fold f JOIN tries t ON t.user_id = f.user_id AND t.n = f.n + 1)
+SELECT user_id, event_id, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, strftime(until, '%Y-%m-%d %H:%M:%S') AS locked_until FROM fold WHERE locks"""
+
+
+def shown_locks(rows):
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("user_id", "event_id", stamp("since"), stamp("locked_until"))
+
+
+@query(lock_sql(3, 30))
 def account_lockouts(t: Tables):
     """Three failures in a row lock an account here, so that the table holds many cases."""
-    rows = H.lockouts(t.events, ["user_id"], "ts", "event_id", F.col("event_type") == "error", limit=3)
-    until = F.date_format("locked_until", "yyyy-MM-dd HH:mm:ss")
-    return rows.select("user_id", "event_id", "streak", until.alias("locked_until"))
+    return shown_locks(H.lockouts(t.events, ["user_id"], "ts", "event_id", F.col("event_type") == "error", limit=3))
+
+
+@query(lock_sql(2, 4320))
+def long_lockouts(t: Tables):
+    """Locks of three days, during which many attempts are refused and not counted."""
+    return shown_locks(H.lockouts(t.events, ["user_id"], "ts", "event_id", F.col("event_type") == "error", 2, 4320, rows=64))
 
 
 # ---- dashboard ----------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from passagery.functions import text as T
 from passagery.operators import chunking as C
 from passagery.streaming import jobs as J, runner as R, stateful as Z
 from passagery.workload import base, sqlgen as S
-from passagery.workload.chat import DEDUP_SQL, LOCK_SQL, SESSION_SQL
+from passagery.workload.chat import DEDUP_SQL, SESSION_SQL, lock_sql, shown_locks
 from passagery.workload.catalog import EVENTS_SQL
 from passagery.workload.registry import Tables, query
 
@@ -46,12 +46,10 @@ def stream_dedup(t: Tables):
     return R.appended(J.dedup_stream(chunks, "arrived", "3650 days").select("kb_id", "text_hash"), "dedup")
 
 
-@query(f"""WITH {LOCK_SQL} SELECT user_id, event_id, streak, strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS locked_until
-FROM k WHERE streak % 3 = 0""")
+@query(lock_sql(2, 4320))
 def stream_lockouts(t: Tables):
     events = event_stream(t).select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    rows = R.appended(Z.lockout_stream(events, limit=3), "lockouts")
-    return rows.withColumn("locked_until", F.date_format("locked_until", STAMP))
+    return shown_locks(R.appended(Z.lockout_stream(events, 2, 4320), "lockouts"))
 
 
 @query(f"WITH {EVENTS_SQL} SELECT doc_id, arg_max(status, seq) AS status, count(*) AS n_events FROM status_events GROUP BY doc_id")

@@ -39,19 +39,49 @@ def test_sessions_and_streaks_cross_bucket_borders(spark):
     rows = [(0 if rng.random() < 0.6 else rng.randint(1, 9), rng.randint(0, 500_000), i, rng.random() < 0.6) for i in range(1200)]
     df = spark.createDataFrame(rows, "user_id int, s int, event_id int, failed boolean").withColumn("ts", F.timestamp_seconds("s"))
     got = {r["event_id"]: r["session_no"] for r in H.sessionize(df, ["user_id"], "ts", 900).collect()}
-    locks = {r["event_id"] for r in H.lockouts(df, ["user_id"], "ts", "event_id", F.col("failed"), limit=3).collect()}
     before = {r["event_id"]: r["before"] for r in O.previous(df, ["user_id"], ["ts", "event_id"], F.to_date("ts"), {"before": F.col("s")}).collect()}
-    last, number, streak, expected = {}, {}, {}, set()
+    dense = {r["event_id"]: r["session_no"] for r in H.sessionize(df, ["user_id"], "ts", 900, rows=40).collect()}
+    assert dense == got
+    last, number = {}, {}
     for user, s, event, failed in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         assert before[event] == last.get(user)
         if user not in last or s - last[user] >= 900:
             number[user] = number.get(user, 0) + 1
         last[user] = s
         assert got[event] == number[user]
-        streak[user] = streak.get(user, 0) + 1 if failed else 0
-        if failed and streak[user] % 3 == 0:
-            expected.add(event)
-    assert locks == expected
+
+
+@pytest.mark.parametrize("limit, minutes, rows", [(3, 30, 50_000), (2, 2000, 16), (3, 600, 7), (1, 900, 5)])
+def test_locks_refuse_attempts_until_they_end(spark, limit, minutes, rows):
+    rng = random.Random(limit * 100 + rows)
+    tries = [(0 if rng.random() < 0.6 else rng.randint(1, 9), rng.randint(0, 8_000) * 60, i, rng.random() < 0.7) for i in range(1500)]
+    df = spark.createDataFrame(tries, "user_id int, s int, event_id int, failed boolean").withColumn("ts", F.timestamp_seconds("s"))
+    found = H.lockouts(df, ["user_id"], "ts", "event_id", F.col("failed"), limit, minutes, rows)
+    got = {(r.user_id, r.event_id, int(r.a), int(r.b)) for r in found.selectExpr("*", "unix_seconds(since) a", "unix_seconds(locked_until) b").collect()}
+    count, first, until, expected = {}, {}, {}, set()
+    for user, s, event, failed in sorted(tries, key=lambda r: (r[0], r[1], r[2])):
+        if s <= until.get(user, -1):
+            continue
+        if not count.get(user):
+            first[user] = s
+        count[user] = count.get(user, 0) + 1 if failed else 0
+        if count[user] == limit:
+            count[user], until[user] = 0, s + minutes * 60
+            expected.add((user, event, first[user], until[user]))
+    assert got == expected and len(got) > 20
+
+
+def test_a_busy_day_is_divided_by_its_rows(spark):
+    df = spark.range(4000).select((F.col("id") % 2 * F.col("id")).alias("user_id"), F.timestamp_seconds(F.col("id") * 20).alias("ts"), F.col("id").alias("event_id"))
+    sizes = O.by_density(df, ["user_id"], F.date_trunc("minute", "ts"), 100).groupBy("user_id", O.DENSE).count()
+    busy = [r["count"] for r in sizes.filter("user_id = 0").collect()]
+    assert len(busy) >= 15 and max(busy) <= 110 and sum(busy) == 2000
+    assert sizes.filter(f"user_id > 0 AND {O.DENSE} > 0").count() == 0
+
+
+def test_no_attempts_no_locks(spark):
+    df = spark.createDataFrame([], "user_id int, ts timestamp, event_id int, failed boolean")
+    assert H.lockouts(df, ["user_id"], "ts", "event_id", F.col("failed")).count() == 0
 
 
 def test_next_versions(spark):

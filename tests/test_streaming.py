@@ -30,9 +30,9 @@ def events(spark):
 def test_lockouts_over_batches(spark, events, tmp_path):
     failed = (F.col("event_id") % 3 > 0).alias("failed")
     stream = split_stream(events, str(tmp_path / "e"), "event_id").select("user_id", "event_id", "ts", failed)
-    got = R.appended(Z.lockout_stream(stream, limit=3), "locks")
-    expected = H.lockouts(events.withColumn("failed", failed), ["user_id"], "ts", "event_id", F.col("failed"), limit=3)
-    pick = lambda df: sorted(map(tuple, df.select("user_id", "event_id", "locked_until").collect()))
+    got = R.appended(Z.lockout_stream(stream, 3, 1440), "locks")
+    expected = H.lockouts(events.withColumn("failed", failed), ["user_id"], "ts", "event_id", F.col("failed"), 3, 1440)
+    pick = lambda df: sorted(map(tuple, df.select("user_id", "event_id", "since", "locked_until").collect()))
     assert pick(got) == pick(expected) and pick(got)
 
 
