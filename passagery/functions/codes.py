@@ -179,3 +179,8 @@ def normalize_key(key: Column) -> Column:
 
 def session_title(first_user_text: Column) -> Column:
     return F.substring(trim_control(null_if_blank(first_user_text)), 1, K.TITLE_CHARS)
+
+
+def citation_label(chunk_id: Column) -> Column:
+    """The short form a citation shows of its chunk: the last eight characters of the id."""
+    return F.concat(F.lit("#"), F.right(chunk_id, F.lit(8)))

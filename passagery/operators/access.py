@@ -118,6 +118,19 @@ def list_roles(roles: DataFrame, to_super: bool = False) -> DataFrame:
     return shown.withColumn("level", codes.role_level(F.col("role_code")))
 
 
+def lookup_roles(asked: DataFrame, roles: DataFrame, code: str = "role_code") -> DataFrame:
+    """A batch of lookups by role code: the role id, null for a code that is no role. Roles are a small fixed table."""
+    known = F.broadcast(roles.select(F.col("role_code").alias(code), "role_id"))
+    return asked.join(known, code, "left")
+
+
+def roles_in(asked: DataFrame, roles: DataFrame, ids: str = "role_ids") -> DataFrame:
+    """Adds the roles of each row's set of ids, in order of the id; ids that are no role add nothing, nor do repeats."""
+    known = roles.agg(F.array_sort(F.collect_list(F.struct("role_id", "role_code"))).alias("roles")).scalar()
+    held = F.filter("__roles", lambda r: F.coalesce(F.array_contains(ids, r["role_id"]), F.lit(False)))
+    return asked.withColumn("__roles", known).withColumn("roles", held).drop("__roles")
+
+
 def kb_permissions(grants: DataFrame, roles: DataFrame) -> DataFrame:
     """Role codes granted on each knowledge base, in role order (at most one entry per role)."""
     coded = with_role_codes(grants, roles)

@@ -10,11 +10,13 @@ from passagery.operators.ordered import BUCKET_ROWS, DENSE, by_density, previous
 
 
 def list_kbs(kbs: DataFrame, documents: DataFrame, tenant_id: int | None = None) -> DataFrame:
-    """Knowledge bases, of one tenant if given, with their number of documents, which are counted before the join."""
+    """Knowledge bases, of one tenant if given, with their number of documents, which are counted before the join;
+    newest first where the time of creation is known."""
     if tenant_id is not None:
         kbs = kbs.filter(F.col("tenant_id") == tenant_id)
     counts = documents.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_documents"))
-    return kbs.join(counts, "kb_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)))
+    listed = kbs.join(counts, "kb_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)))
+    return listed.orderBy(F.col("create_time").desc(), F.col("kb_id").desc()) if "create_time" in kbs.columns else listed
 
 
 def kb_config(kbs: DataFrame, dims: dict[str, int]) -> DataFrame:

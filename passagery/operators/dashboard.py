@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def dashboard_metrics(kbs: DataFrame, documents: DataFrame, chunks: DataFrame, questions: DataFrame, day: str) -> DataFrame:
-    """Cards: totals, and the day's questions with the change against the day before (in percent)."""
-    total = lambda df, key: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(key).alias("key"), "value", F.lit(0.0).alias("delta"))
-    today = F.to_date(F.col("ts")) == F.lit(day).cast("date")
-    yesterday = F.to_date(F.col("ts")) == F.date_sub(F.lit(day).cast("date"), 1)
-    asked = questions.filter(today | yesterday).agg(F.count_if(today).alias("value"), F.count_if(yesterday).alias("prior"))
-    change = F.when(F.col("prior") > 0, F.round((F.col("value") - F.col("prior")) * 100.0 / F.col("prior"), 4)).otherwise(0.0)
-    cards = [total(kbs, "kb"), total(documents, "doc"), total(chunks, "chunk"), asked.select(F.lit("qa").alias("key"), "value", change.alias("delta"))]
-    out = cards[0]
-    for card in cards[1:]:
-        out = out.unionByName(card)
+def dashboard_metrics(kbs: DataFrame, documents: DataFrame, chunks: DataFrame, questions: DataFrame, day: str, created: str = "create_time", ts: str = "ts") -> DataFrame:
+    """Cards of a day, each with its change in percent: bases, documents and chunks there are at its end against the
+    end of the day before, and the day's questions against those of the day before. What has no time was always there."""
+    this, before = F.lit(day).cast("date"), F.date_sub(F.lit(day).cast("date"), 1)
+    made, asked = F.to_date(F.col(created)), F.to_date(F.col(ts))
+
+    def card(df: DataFrame, key: str, now: Column, prior: Column) -> DataFrame:
+        counted = df.agg(F.count_if(now).alias("value"), F.count_if(prior).alias("prior"))
+        change = F.when(F.col("prior") > 0, F.round((F.col("value") - F.col("prior")) * 100.0 / F.col("prior"), 4)).otherwise(0.0)
+        return counted.select(F.lit(key).alias("key"), "value", change.alias("delta"))
+
+    by = lambda end: made.isNull() | (made <= end)
+    out = card(questions.filter((asked == this) | (asked == before)), "qa", asked == this, asked == before)
+    for key, df in (("kb", kbs), ("doc", documents), ("chunk", chunks)):
+        out = out.unionByName(card(df, key, by(this), by(before)))
     return out
 
 

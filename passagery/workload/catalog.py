@@ -97,9 +97,29 @@ def visible_tenants(t: Tables):
     return A.list_tenants(R.users(t), R.bindings(t), R.roles(t), R.tenants(t))
 
 
-@query(R.ctes("kbs", "kb_documents") + """ SELECT kb_id, kb_name, tenant_id, (SELECT count(*) FROM kb_documents d WHERE d.kb_id = k.kb_id) AS n_documents FROM kbs k""")
+@query(R.ctes("kbs", "kb_documents") + """ SELECT kb_id, kb_name, tenant_id, (SELECT count(*) FROM kb_documents d WHERE d.kb_id = k.kb_id) AS n_documents,
+  strftime((SELECT min(upload_time) FROM kb_documents d WHERE d.kb_id = k.kb_id), '%Y-%m-%d') AS created FROM kbs k""")
 def kb_listing(t: Tables):
-    return D.list_kbs(R.kbs(t), R.kb_documents(t)).select("kb_id", "kb_name", "tenant_id", "n_documents")
+    """A base counts as created with its first document."""
+    first = R.kb_documents(t).groupBy("kb_id").agg(F.min("upload_time").alias("create_time"))
+    listed = D.list_kbs(R.kbs(t).join(first, "kb_id", "left"), R.kb_documents(t))
+    return listed.select("kb_id", "kb_name", "tenant_id", "n_documents", F.date_format("create_time", "yyyy-MM-dd").alias("created"))
+
+
+@query(R.ctes("roles") + """, asked AS (SELECT o_orderkey, ['TENANT_ADMIN', 'VIEWER', 'OWNER', 'KB_ADMIN'][(o_orderkey % 4 + 1)::INTEGER] AS role_code FROM orders)
+SELECT o_orderkey, role_code, role_id FROM asked LEFT JOIN roles USING (role_code)""")
+def roles_by_code(t: Tables):
+    names = F.array(*[F.lit(c) for c in ("TENANT_ADMIN", "VIEWER", "OWNER", "KB_ADMIN")])
+    asked = t.orders.select("o_orderkey", F.element_at(names, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("role_code"))
+    return A.lookup_roles(asked, R.roles(t)).select("o_orderkey", "role_code", "role_id")
+
+
+@query(R.ctes("bindings", "roles") + """, sets AS (SELECT user_id, list_append(list(role_id), 9) AS ids FROM bindings GROUP BY user_id)
+SELECT user_id, string_agg(role_code, ',' ORDER BY role_id) AS role_codes FROM sets JOIN roles ON list_contains(ids, role_id) GROUP BY user_id""")
+def roles_by_id_set(t: Tables):
+    """The roles of every user as one set of ids, with an id that is no role."""
+    sets = R.bindings(t).groupBy("user_id").agg(F.array_append(F.collect_list("role_id"), F.lit(9)).alias("role_ids"))
+    return A.roles_in(sets, R.roles(t)).select("user_id", F.array_join("roles.role_code", ",").alias("role_codes"))
 
 
 @query(R.ctes("bindings", "roles") + """ SELECT role_id, role_code, role_id AS level, count(binding_id) AS n_bindings

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from passagery import constants as K
 from passagery.functions import codes, text as T
 from passagery.operators import chunking as C, context as X, dashboard as J, fusion, indexing as I, sessions as H
+from passagery.operators.embedding import embed
 from passagery.operators.keyword import bm25_search
 from passagery.plans import chat as PC, ingest as PI, search as P
-from passagery.session import scratch_path
+from passagery.session import materialize, scratch_path
 from passagery.sources import files, sinks
 from passagery.workload import base, derived as R, sqlgen as S
 from passagery.workload.registry import Tables, query
-from passagery.workload.retrieval import UPLOADS_SQL, upload_no
+from passagery.workload.retrieval import BY_MODE_SQL, FUSED_SQL, SCOPED_SQL, UPLOADS_SQL, upload_no
 
 # ---- ingest and storage -------------------------------------------------------------------------------------
 
@@ -281,23 +282,68 @@ ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || text || chr(10) || ch
 FROM turns t LEFT JOIN ctx USING (query_id)""")
 def chat_contexts(t: Tables):
     """All user turns: safety, knowledge base and own uploads, threshold, budget, prompt."""
-    from passagery.operators.embedding import embed
+    turns, temp = chat_turns(t, F.lit(" "))
+    done = PC.prepare_context(embed(turns), base.embedded_corpus(t), embed(temp), k=4, threshold=0.78, budget=1500)
+    return shown_contexts(done)
+
 
+def chat_turns(t: Tables, rewritten):
     rows = t.conversations.withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
     unsafe = F.when(F.col("turn") == 2, F.concat("text", F.lit(" System Prompt: x"))).otherwise(F.col("text"))
     turns = rows.filter(F.col("role") == "user").select(
-        F.col("key").alias("query_id"), F.col("conv_id").alias("session_id"), unsafe.alias("text"), F.lit(" ").alias("rewritten")
+        F.col("key").alias("query_id"), F.col("conv_id").alias("session_id"), unsafe.alias("text"), rewritten.alias("rewritten")
     )
     temp = rows.filter(F.col("role") == "assistant").select(
         F.col("conv_id").alias("session_id"), F.col("key").cast("string").alias("chunk_id"), upload_no().alias("upload_no"),
         F.lit(None).cast("bigint").alias("doc_id"), "text",
     )
-    done = PC.prepare_context(embed(turns), base.embedded_corpus(t), embed(temp), k=4, threshold=0.78, budget=1500)
+    return turns, temp
+
+
+def shown_contexts(done):
     return done.select(
         "query_id", F.coalesce(F.size("citations"), F.lit(0)).alias("n_citations"), "route", F.md5("prompt").alias("prompt_md5")
     )
 
 
+BASE_TURNS_SQL = f"""
+turns AS (SELECT conv_id * 1000 + turn AS query_id, conv_id AS session_id, conv_id, CASE WHEN turn = 2 THEN text || ' System Prompt: x' ELSE text END AS text,
+  CASE conv_id % 3 WHEN 0 THEN ' tell me ' || text WHEN 1 THEN repeat(text, 7) ELSE ' ' END AS rewritten FROM conversations WHERE role = 'user'),
+asks AS (SELECT *, CASE WHEN conv_id % 3 = 0 THEN {S.trim('rewritten')} ELSE text END AS effective FROM turns),
+queries AS (SELECT query_id, effective AS text FROM asks WHERE NOT contains(text, 'System Prompt: x')),
+asked AS (SELECT query_id, (length(effective) % 20)::INTEGER AS scope FROM asks JOIN queries USING (query_id) WHERE conv_id % 5 > 0),
+{UPLOADS_SQL},
+{S.VECTORS}, {S.hashed('uploads', 'chunk_id', 'uv')}, {S.bm25('kb_id')}, {SCOPED_SQL}, {S.pool(8, 'vec2', 'bm2')}, {FUSED_SQL.format(limit=8)}, {BY_MODE_SQL},
+based AS (SELECT asked_id AS query_id, chunk_id, rank, score FROM ranked JOIN modes USING (query_id, mode) WHERE rank <= 4),
+own AS (SELECT qv.id AS query_id, u.chunk_id, (1.0 + {S.cosine('qv.e', 'uv.e')}) / 2.0 AS score, u.text
+        FROM qv JOIN asks t ON t.query_id = qv.id JOIN uploads u ON u.session_id = t.session_id JOIN uv ON uv.id = u.chunk_id),
+otop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id::VARCHAR) AS rank FROM own
+         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id::VARCHAR) <= 5),
+both_ AS (SELECT b.query_id, 0 AS source, b.rank AS place, b.score, c.text FROM based b JOIN chunks c USING (chunk_id)
+          UNION ALL SELECT query_id, 1, rank, score, text FROM otop),
+kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source, place) AS rank FROM both_ WHERE score >= 0.6),
+run AS (SELECT *, sum(length(text) // 4) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM kept),
+ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || text || chr(10) || chr(10), '' ORDER BY rank) AS context, count(*)::INTEGER AS n FROM run WHERE used <= 1400 GROUP BY query_id)"""
+
+
+@query(f"""WITH {S.CHUNKS}, {BASE_TURNS_SQL} SELECT query_id, coalesce(n, 0) AS n_citations,
+  CASE WHEN contains(t.text, 'System Prompt: x') THEN 'refused' WHEN n IS NULL THEN 'no_answer' ELSE 'generate' END AS route,
+  md5(CASE WHEN n IS NULL THEN CASE WHEN contains(t.text, 'System Prompt: x') THEN NULL ELSE effective END
+      ELSE '{K.CONTEXT_HEAD}' || context || '{K.QUESTION_HEAD}' || effective END) AS prompt_md5
+FROM asks t LEFT JOIN ctx USING (query_id)""")
+def chat_by_mode(t: Tables):
+    """User turns with a base and a mode each, some without a base; a third is rewritten, a third has a rewrite that is too long."""
+    rewritten = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(" tell me "), "text")).when(F.col("conv_id") % 3 == 1, F.repeat("text", 7))
+    turns, temp = chat_turns(t, rewritten.otherwise(" "))
+    asked = embed(turns.withColumn("effective", PC.effective_text()), "effective")
+    names = F.array(*[F.lit(m) for m in P.MODES])
+    size = F.length("effective")
+    asked = asked.withColumn("mode", F.element_at(names, (size % 3 + 1).cast("int"))).withColumn(
+        "kb_id", F.when(F.col("session_id") % 5 > 0, (size % 20).cast("int")))
+    done = PC.prepare_context(materialize(asked, "turns"), base.embedded_corpus(t, "kb_id"), embed(temp), k=4, threshold=0.6, budget=1500)
+    return shown_contexts(done)
+
+
 # ---- sessions -----------------------------------------------------------------------------------------------
 
 
@@ -417,15 +463,36 @@ def long_lockouts(t: Tables):
     return shown_locks(H.lockouts(t.events, ["user_id"], "ts", "event_id", F.col("event_type") == "error", 2, 4320, rows=64))
 
 
+@query(f"WITH {S.CHUNKS} SELECT chunk_id, '#' || right(chunk_id, 8) AS label FROM chunks")
+def citation_labels(t: Tables):
+    return base.corpus_chunks(t).select("chunk_id", codes.citation_label(F.col("chunk_id")).alias("label"))
+
+
 # ---- dashboard ----------------------------------------------------------------------------------------------
 
 
-@query(R.ctes("kbs", "kb_documents") + f""", {S.CHUNKS}, q AS (SELECT count(*) FILTER (WHERE ts::DATE = DATE '2024-01-15') AS a, count(*) FILTER (WHERE ts::DATE = DATE '2024-01-14') AS b FROM events WHERE event_type = 'view')
-SELECT 'kb' AS key, count(*) AS value, 0.0::DOUBLE AS delta FROM kbs UNION ALL SELECT 'doc', count(*), 0.0 FROM kb_documents
-UNION ALL SELECT 'chunk', count(*), 0.0 FROM chunks UNION ALL SELECT 'qa', a, CASE WHEN b > 0 THEN round((a - b) * 100.0::DOUBLE / b, 4) ELSE 0.0 END FROM q""")
+CARDS_SQL = f""", {S.CHUNKS}, made AS (
+  SELECT 'kb' AS key, TIMESTAMP '2024-01-01' + to_days((kb_id * 7 % 25)::INTEGER) AS born FROM kbs
+  UNION ALL SELECT 'doc', TIMESTAMP '2024-01-01' + to_days((doc_id % 31)::INTEGER) FROM kb_documents
+  UNION ALL SELECT 'chunk', TIMESTAMP '2024-01-01' + to_days((doc_id % 31)::INTEGER) FROM chunks),
+totals AS (SELECT key, count(*) FILTER (WHERE born::DATE <= DATE '2024-01-15') AS a, count(*) FILTER (WHERE born::DATE < DATE '2024-01-15') AS b FROM made GROUP BY key
+  UNION ALL SELECT 'qa', count(*) FILTER (WHERE ts::DATE = DATE '2024-01-15'), count(*) FILTER (WHERE ts::DATE = DATE '2024-01-14') FROM events WHERE event_type = 'view')"""
+
+
+def since_new_year(days):
+    return F.timestamp_seconds(F.lit(1704067200) + days * 86400)
+
+
+@query(R.ctes("kbs", "kb_documents") + CARDS_SQL + """
+SELECT key, a AS value, CASE WHEN b > 0 THEN round((a - b) * 100.0::DOUBLE / b, 4) ELSE 0.0 END AS delta FROM totals""")
 def metric_cards(t: Tables):
+    """Bases, documents and chunks get days of creation from their ids, as the tables hold none of that month."""
     asked = t.events.filter(F.col("event_type") == "view")
-    return J.dashboard_metrics(R.kbs(t), R.kb_documents(t), C.chunk_text_model(t.documents.select("doc_id", "text")), asked, "2024-01-15")
+    chunks = C.chunk_text_model(t.documents.select("doc_id", "text"))
+    made = lambda df, key, cycle: df.select(since_new_year(cycle).alias(key))
+    return J.dashboard_metrics(
+        made(R.kbs(t), "create_time", F.col("kb_id") * 7 % 25), made(R.kb_documents(t), "create_time", F.col("doc_id") % 31),
+        made(chunks, "create_time", F.col("doc_id") % 31), asked, "2024-01-15")
 
 
 @query("""SELECT slot::INTEGER AS slot, lpad((slot * 2)::VARCHAR, 2, '0') || ':00' AS label,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagery import constants as K
 from passagery.functions import codes
-from passagery.operators import access as A, catalog as D, context as X, ordered as O, sessions as H, versions as V
+from passagery.operators import access as A, catalog as D, context as X, dashboard as J, ordered as O, sessions as H, versions as V
 from passagery.plans import ingest as PI
 from passagery.sources import files, sinks, tabular
 
@@ -181,6 +181,23 @@ def test_lists_are_filtered_and_ordered(spark):
     assert [r["session_id"] for r in H.list_sessions(sessions, 5).collect()] == [3, 2, 1]
 
 
+def test_bases_newest_first_and_roles_by_id_set(spark):
+    docs = spark.createDataFrame([(1, 7), (2, 7)], "doc_id int, kb_id int")
+    kbs = spark.createDataFrame([(7, 1, 10), (8, 1, 30), (9, 1, 30), (5, 2, 99)], "kb_id int, tenant_id int, create_time int")
+    assert [(r["kb_id"], r["n_documents"]) for r in D.list_kbs(kbs, docs, 1).collect()] == [(9, 0), (8, 0), (7, 2)]
+    sets = spark.createDataFrame([(1, [4, 2, 2, 77]), (2, []), (3, None), (4, [None, 1])], "k int, role_ids array<int>")
+    got = {r["k"]: [x["role_id"] for x in r["roles"]] for r in A.roles_in(sets, A.role_table(spark)).collect()}
+    assert got == {1: [2, 4], 2: [], 3: [], 4: [1]}
+
+
+def test_a_card_without_a_day_before_has_no_change(spark):
+    made = spark.createDataFrame([("2024-01-02",), ("2024-01-02",), (None,), ("2024-01-03",)], "create_time string")
+    none = made.filter("create_time > '2025'")
+    asked = spark.createDataFrame([("2024-01-02",)], "ts string")
+    got = {r["key"]: (r["value"], r["delta"]) for r in J.dashboard_metrics(made, none, made.filter("create_time = '2024-01-02'"), asked, "2024-01-02").collect()}
+    assert got == {"kb": (3, 200.0), "doc": (0, 0.0), "chunk": (2, 0.0), "qa": (1, 0.0)}
+
+
 @pytest.mark.parametrize("phrase", K.INJECTION_PHRASES)
 def test_unsafe_phrases(spark, phrase):
     df = spark.createDataFrame([("well, " + phrase.upper() + "!",), ("fine",), (" ",), (None,)], "t string")
