@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from passagery import constants as K
 from passagery.functions import codes, text as T
@@ -11,7 +13,7 @@ from passagery.operators.embedding import embed
 from passagery.operators.keyword import bm25_search
 from passagery.plans import chat as PC, ingest as PI, search as P
 from passagery.session import materialize, scratch_path
-from passagery.sources import files, sinks
+from passagery.sources import files, sinks, snapshots
 from passagery.workload import base, derived as R, sqlgen as S
 from passagery.workload.registry import Tables, query
 from passagery.workload.retrieval import BY_MODE_SQL, FUSED_SQL, SCOPED_SQL, UPLOADS_SQL, upload_no
@@ -98,6 +100,28 @@ def stored_documents_deleted(t: Tables):
     return sinks.read_chunks(t.spark, path).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+@query(f"""WITH {S.CHUNKS}, bad AS (SELECT doc_id FROM labels WHERE toxic = 1),
+held AS (SELECT doc_id, regexp_extract(source, '([0-9]+)', 1)::INTEGER AS kb_id FROM documents),
+rows_ AS (SELECT 'chunks' AS stored, kb_id, doc_id FROM chunks UNION ALL SELECT 'documents', kb_id, doc_id FROM held UNION ALL SELECT 'versions', kb_id, doc_id FROM held)
+SELECT state, stored, kb_id, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM rows_, (VALUES (1), (2)) v(state)
+WHERE state = 1 OR doc_id NOT IN (SELECT doc_id FROM bad) GROUP BY ALL""")
+def stored_cascade(t: Tables):
+    """Labelled documents leave chunks, versions and documents in one change; the state before can still be read."""
+    root = scratch_path(t.spark, "base")
+    place = lambda df: df.withColumn("tenant_id", F.col("kb_id") % 5 + 1)
+    held = t.documents.select("doc_id", base.kb_of_source().alias("kb_id"), "text")
+    snapshots.create(t.spark, root, {
+        "chunks": place(base.corpus_chunks(t)), "documents": place(held), "versions": place(held.select("doc_id", "kb_id", F.lit("v1.0.0").alias("version"))),
+    })
+    snapshots.delete_documents(t.spark, root, t.labels.filter("toxic = 1"))
+    counted = [
+        snapshots.read(t.spark, root, name, version=state).groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+        .select(F.lit(state).alias("state"), F.lit(name).alias("stored"), "kb_id", "n", "ids")
+        for state in (1, 2) for name in ("chunks", "documents", "versions")
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query(f"WITH {S.CHUNKS}, {DEDUP_SQL} SELECT kb_id, count(*) AS n_chunks FROM (SELECT kb_id FROM firsts WHERE kb_id = 6 UNION ALL SELECT kb_id FROM chunks WHERE kb_id <> 6) GROUP BY kb_id")
 def reprocessed_kb(t: Tables):
     path = scratch_path(t.spark, "chunks")

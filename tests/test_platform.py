@@ -11,7 +11,7 @@ from passagery import constants as K
 from passagery.functions import codes
 from passagery.operators import access as A, catalog as D, context as X, dashboard as J, ordered as O, sessions as H, versions as V
 from passagery.plans import ingest as PI
-from passagery.sources import files, sinks, tabular
+from passagery.sources import files, sinks, snapshots, tabular
 
 
 def test_version_chain_of_a_dominant_document_equals_a_loop(spark):
@@ -231,3 +231,50 @@ def test_reprocessing_to_nothing_and_clearing_leave_no_stale_chunks(spark, tmp_p
     assert stored() == [1, 3]
     sinks.delete_stored(spark, path, F.col("doc_id") == 3)
     assert stored() == [1]
+
+
+def stored(spark, root):
+    docs = spark.range(60).selectExpr("id AS doc_id", "id % 4 AS kb_id", "id % 4 % 2 AS tenant_id").withColumn("kb_id", F.when(F.col("kb_id") != 3, F.col("kb_id")))
+    chunks = docs.select("*", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("text"))
+    snapshots.create(spark, root, {"chunks": chunks, "documents": docs, "log": docs.filter("false")})
+    return lambda name, **k: sorted(r["doc_id"] for r in snapshots.read(spark, root, name, **k).collect())
+
+
+def test_a_cascade_is_one_change(spark, tmp_path):
+    root = str(tmp_path / "s")
+    held = stored(spark, root)
+    before = {r[3] for r in snapshots._listed(spark, root, None)}
+    ids = spark.createDataFrame([(1,), (5,), (3,), (None,), (77,)], "doc_id long")
+    assert snapshots.delete_documents(spark, root, ids) == 2
+    assert held("documents") == [i for i in range(60) if i not in (1, 3, 5)] and len(held("chunks")) == 114 and held("log") == []
+    assert held("documents", version=1) == list(range(60)) and held("documents", kb_ids=[1]) == [i for i in range(60) if i % 4 == 1 and i not in (1, 5)]
+    kept = {r[3] for r in snapshots._listed(spark, root, None)} & before
+    assert sum("kb_id=0" in f or "kb_id=2" in f for f in kept) == 4  # untouched bases keep their folders
+    snapshots.delete_rows(spark, root, F.col("kb_id") == 2, ["chunks"])
+    assert not [i for i in held("chunks") if i % 4 == 2] and [i for i in held("documents") if i % 4 == 2]
+    assert snapshots.read(spark, root, "chunks", tenant_id=0).select("kb_id").distinct().count() == 1
+
+
+@pytest.mark.parametrize("broken", ["_put", "_commit"])
+def test_a_change_that_dies_midway_is_not_seen(spark, tmp_path, monkeypatch, broken):
+    root = str(tmp_path / "s")
+    held = stored(spark, root)
+    ids = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    whole, calls = getattr(snapshots, broken), []
+
+    def dies(*args):
+        calls.append(1)
+        if broken == "_commit":
+            (tmp_path / "s" / "states" / "2").mkdir()  # a list whose job did not commit
+            raise OSError("lost")
+        if len(calls) > 1:
+            raise OSError("lost")
+        return whole(*args)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshots, broken, dies)
+        with pytest.raises(OSError):
+            snapshots.delete_documents(spark, root, ids)
+    assert held("documents") == list(range(60)) and len(held("chunks")) == 120 and snapshots.versions(spark, root) == [1]
+    snapshots.delete_documents(spark, root, ids)
+    assert len(held("documents")) == 58 and len(held("chunks")) == 116
