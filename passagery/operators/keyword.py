@@ -14,12 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagery import constants as K
 from passagery.functions import text as X
-from passagery.operators.topk import BLOCK_BYTES, BestK, to_numpy
+from passagery.operators.topk import BLOCK_BYTES, BestK, merged, to_numpy
 from passagery.session import materialize
 
 SCOPE = "scope"
@@ -269,5 +269,4 @@ def bm25_search(
         scores = _scan(searched, weighted.toArrow(), k, k1, b, schemas)
     else:
         scores = _grid(searched, weighted, n_terms, max(broadcast_terms, 1), block_rows, k, k1, b, query_id, schemas)
-    order = Window.partitionBy(query_id, SCOPE).orderBy(F.col("score").desc(), F.col(index.id_col))
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return merged(scores, [query_id, SCOPE], "score", index.id_col, k)

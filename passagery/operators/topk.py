@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK_BYTES = 64 << 20
 COMPACT_ROWS = 1 << 20
 SKIPPED = -(1 << 62)
+MERGE_GROUPS = 32
 
 
 def to_numpy(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -62,3 +64,12 @@ class BestK:
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         self.compact()
         return self.parts[0] if self.parts else None
+
+
+def merged(partial: DataFrame, keys: list[str], score: str, id_col: str, k: int, groups: int = MERGE_GROUPS) -> DataFrame:
+    """The best k rows per key of what the tasks emitted, with their rank. Each task emits k rows per key, so a key has as
+    many as k times the tasks: they are cut to k within groups by id first, and only k times the groups meet in one task."""
+    best = [F.col(score).desc(), F.col(id_col)]
+    cut = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, *by).orderBy(*best))).filter(F.col("rank") <= k)
+    grouped = partial.withColumn("__group", F.pmod(F.xxhash64(id_col), F.lit(groups)))
+    return cut(cut(grouped, "__group").drop("__group", "rank"))

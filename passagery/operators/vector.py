@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from passagery import constants as K
 from passagery.functions.vectors import cosine
-from passagery.operators.topk import BLOCK_BYTES, BestK, to_numpy
+from passagery.operators.topk import BLOCK_BYTES, BestK, merged, to_numpy
 from passagery.session import scratch_path
 
 DIGITS = 9
@@ -91,12 +91,7 @@ def _schemas(queries: DataFrame, chunks: DataFrame, query_id: str, id_col: str)
 
 
 def _final(partial: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:
-    order = Window.partitionBy(query_id).orderBy(F.col("cosine").desc(), F.col(id_col))
-    return (
-        partial.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .withColumn("score", (F.col("cosine") + 1.0) / 2.0)
-    )
+    return merged(partial, [query_id], "cosine", id_col, k).withColumn("score", (F.col("cosine") + 1.0) / 2.0)
 
 
 def _cell_topk(cells_q: DataFrame, cells_c: DataFrame, keys: list[str], schemas, dim: int, k: int, skip_self: bool):

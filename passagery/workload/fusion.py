@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from passagery.functions.text import text_hash
 from passagery.operators import chunking as C, fusion as X
+from passagery.operators.embedding import embed
 from passagery.operators.keyword import bm25_search, build_bm25_index
 from passagery.plans import search as P
 from passagery.session import materialize
@@ -235,6 +236,23 @@ def multi_kb_search(t: Tables):
     return hits.select("query_id", "kb_id", "chunk_id", "doc_id", "rank", F.round("relevance", 6).alias("relevance"))
 
 
+KIDS_SQL = HIER_SQL + """, chunks AS (SELECT doc_id, (doc_id % 20)::INTEGER AS kb_id, text, sha256(text) AS text_hash, chunk_id, pid FROM hier WHERE chunk_type = 'child'),
+""" + ",\n".join((S.QUERIES, S.VECTORS, S.bm25("kb_id"), SCATTER_SQL, SCOPED_SQL, S.pool(36, "vec2", "bm2"), FUSED_SQL.format(limit=36), BY_MODE_SQL, """
+r AS (SELECT a.query_id, a.scope, chunk_id, rank, score, kb_pos FROM ranked JOIN modes USING (query_id, mode) JOIN asked a ON a.query_id = asked_id AND a.scope = kb_id WHERE rank <= 18)""", MULTI_SQL))
+
+
+@query(KIDS_SQL + """ SELECT d.query_id, d.scope AS kb_id, d.chunk_id, d.final AS rank, md5(h.text) AS text_md5, true AS parent_enhanced
+FROM done d JOIN chunks c USING (chunk_id) JOIN hier h ON h.chunk_id = c.pid WHERE final <= 3""")
+def multi_kb_search_by_mode(t: Tables):
+    """Children of several bases in the mode of each query, whitelisted, reranked, and shown with the text of their parents."""
+    corpus = materialize(hierarchical_corpus(t).withColumn("kb_id", (F.col("doc_id") % 20).cast("int")), "chunks")
+    kids = materialize(embed(corpus.filter(F.col("chunk_type") == "child")), "children")
+    asked = materialize(embed(by_mode(scattered(t))), "asked")
+    hits = P.multi_search(
+        asked, kids, build_bm25_index(kids, scope="kb_id"), 3, good_documents(t), relevance=X.term_coverage, parents=corpus, by_mode=True)
+    return hits.select("query_id", "kb_id", "chunk_id", "rank", F.md5("text").alias("text_md5"), "parent_enhanced")
+
+
 @query(S.retrieval(S.VECTORS, S.bm25(), S.pool(30), FUSED_SQL.format(limit=30), f"""
 rel AS (SELECT fused.*, {COVER} AS relevance FROM fused JOIN queries q USING (query_id) JOIN chunks c USING (chunk_id) WHERE rank <= 15)""") + """
 SELECT query_id, chunk_id, (row_number() OVER w)::INTEGER AS rank, round(relevance, 6) AS relevance FROM rel

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from passagery.operators import chunking as C, indexing as I, keyword as B, sessions as H, vector as V, versions as VE
+from passagery.operators import chunking as C, indexing as I, keyword as B, sessions as H, topk as TK, vector as V, versions as VE
 from passagery.workload import base, derived as R
 from passagery.workload.registry import QUERIES, Tables
 from passagery.workload import load_all
@@ -40,7 +40,7 @@ def test_searches_shuffle_only_their_winners(tables):
     for text in (vector, keyword):
         exchange, scan = text.index("Exchange hashpartitioning(query_id"), text.index("MapInArrow")
         assert exchange < scan and "Exchange" not in text[scan:]
-        assert text.count("WindowGroupLimit") == 2
+        assert text.count("WindowGroupLimit") == 4  # before and after both exchanges of the merge
     assert "text:string" not in vector and "embedding" not in keyword
 
 
@@ -72,3 +72,12 @@ def test_histories_are_partitioned_by_bucket_too(tables):
 def test_no_row_is_paired_without_a_key(spark, name):
     text = plan(QUERIES[name](spark, DATA))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_ranked_rows_are_cut_in_groups_before_they_meet(spark):
+    hits = spark.range(5000).selectExpr("id % 1 AS query_id", "id AS chunk_id", "(id * 7919 % 1000) / 1000.0 AS cosine")
+    best = TK.merged(hits, ["query_id"], "cosine", "chunk_id", 7)
+    expected = sorted(((i * 7919 % 1000), -i) for i in range(5000))[::-1][:7]
+    assert [(r["chunk_id"], r["rank"]) for r in best.orderBy("rank").collect()] == [(-i, n + 1) for n, (_, i) in enumerate(expected)]
+    text = plan(best)
+    assert text.count("Exchange hashpartitioning(query_id") == 2 and "__group" in text.split("hashpartitioning(", 2)[2]
