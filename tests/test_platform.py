@@ -278,3 +278,17 @@ def test_a_change_that_dies_midway_is_not_seen(spark, tmp_path, monkeypatch, bro
     assert held("documents") == list(range(60)) and len(held("chunks")) == 120 and snapshots.versions(spark, root) == [1]
     snapshots.delete_documents(spark, root, ids)
     assert len(held("documents")) == 58 and len(held("chunks")) == 116
+
+
+def test_the_percentile_of_answer_times_is_exact(spark):
+    times = F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(1_000_000)).cast("int"))
+    rows = spark.range(200_000).select((F.col("id") % 2).alias("tenant"), times.alias("response_time"), F.lit(2).alias("token_count"))
+    got = {r.tenant: r for r in J.answer_stats(rows, ["tenant"]).collect()}
+    held = rows.collect()
+    for tenant in (0, 1):
+        known = sorted(r.response_time for r in held if r.tenant == tenant and r.response_time is not None)
+        r = got[tenant]
+        assert (r.n, r.tokens, r.max_response, r.p95_response) == (100_000, 200_000, known[-1], known[-(-95 * len(known) // 100) - 1])
+        assert r.avg_response == pytest.approx(sum(known) / len(known), abs=1e-6)
+    lone = spark.createDataFrame([(1, None, 3)], "tenant int, response_time int, token_count int")
+    assert [tuple(r) for r in J.answer_stats(lone, ["tenant"]).collect()] == [(1, 1, None, None, None, 3)]
