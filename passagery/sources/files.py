@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from passagery import constants as K
@@ -38,3 +43,27 @@ def read_directory(spark: SparkSession, path: str, max_bytes: int = K.MAX_FILE_B
         F.lit(f"larger than {max_bytes} bytes").alias("message"),
     )
     return read.unionByName(large)
+
+
+def write_directory(texts: DataFrame, path: str, shelves: int = 256) -> int:
+    """One file for each row of `texts` (text), in folders `shelf=n` below `path`; how many there are.
+
+    The tasks make the files in place, so that no file is moved and nothing waits for the driver. A file is named by the
+    partition of its row and its place there: a task that runs again overwrites what it wrote. `path` must be new.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        partition, place, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                shelf = f"{root}/shelf={(partition + place) % shelves}"
+                if shelf not in made:
+                    system.create_dir(shelf, recursive=True)
+                    made.add(shelf)
+                with system.open_output_stream(f"{shelf}/{partition}-{place}.txt") as out:
+                    out.write((text or b"") + b"\n")
+                place += 1
+        yield pa.record_batch([pa.array([place], pa.int64())], names=["n"])
+
+    return texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0

@@ -292,3 +292,16 @@ def test_the_percentile_of_answer_times_is_exact(spark):
         assert r.avg_response == pytest.approx(sum(known) / len(known), abs=1e-6)
     lone = spark.createDataFrame([(1, None, 3)], "tenant int, response_time int, token_count int")
     assert [tuple(r) for r in J.answer_stats(lone, ["tenant"]).collect()] == [(1, 1, None, None, None, 3)]
+
+
+def test_written_files_share_folders_and_come_back_whole(spark, tmp_path):
+    texts = [f"text {i}\n\n" for i in range(500)] + ["", None, "　 \n", "line\r\nnext"]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").repartition(5)
+    broken = spark.sql("SELECT CAST(concat('text', unhex('FF')) AS STRING) AS text")
+    assert files.write_directory(rows.unionAll(broken), str(tmp_path / "files"), shelves=8) == 505
+    assert len(list((tmp_path / "files").iterdir())) == 8
+    back = files.read_directory(spark, str(tmp_path / "files" / "shelf=*"))
+    got = [(r.text, r.message) for r in back.collect()]
+    known = [(f"{x or ''}\n", None if x and x.strip() else "no text in file") for x in texts] + [(None, "no text in file")]
+    assert sorted(got, key=str) == sorted(known, key=str)
+    assert files.write_directory(rows.limit(0), str(tmp_path / "none")) == 0
