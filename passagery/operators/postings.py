@@ -1,38 +1,51 @@
 """An inverted index stored by term buckets, with block maxima, and exact top-k that leaves blocks out.
 
+Chunks are inverted in shards of about `SHARD_ROWS` rows as they are read, without a shuffle: a chunk lies in one shard.
 A posting's gain (its BM25 score without the term's weight) is cut into `LEVELS` impact levels. The postings of a term
-at one level lie in blocks of about `BLOCK_POSTINGS`, each with its greatest gain, so a term found in every chunk is
-spread over as many rows as it needs and never sorted as a whole. Blocks, and a small table of (term, level) figures,
-are stored in folders by a hash of the term: a search reads the folders of its own terms only.
+at one level of a shard lie in blocks of at most `BLOCK_POSTINGS`, each with its greatest gain, so a term found in every
+chunk is spread over as many rows as it needs. Blocks, and a small table of (term, level) figures, are stored in folders
+by a hash of the term, for which the blocks are shuffled once: a search reads the folders of its own terms only.
 
 A search first scores the levels of greatest possible gain. The k-th partial score found there is a floor for the
 result. Terms whose greatest gains together stay below the floor cannot lift a chunk into the result alone (they are
 not essential), and a level of an essential term is left out where its own best and the best of all other terms stay
-below it. What remains names the candidates; only they are scored in full. The result is that of a full scan.
+below it. What remains names the candidates, less those that even the best of all that was left out cannot lift to the
+floor; only they are scored in full. The result is that of a full scan. Blocks meet the terms of all queries shard by
+shard, so a block is sent once, not once a query, and no pair of a query and a posting leaves a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagery import constants as K
 from passagery.operators.keyword import DIGITS, SCOPE, Bm25Index, idf, query_terms
+from passagery.operators.topk import merged, to_numpy
 from passagery.session import materialize, scratch_path
 
 BUCKETS, LEVELS, BLOCK_POSTINGS = 64, 32, 128
+SHARD_ROWS, CELL_TERMS = 1 << 14, 1 << 18
 SEED_FACTOR = 4
-SLACK = 1e-9
+#: scores are ranked by `DIGITS` digits, so what is below the floor by less than one unit may tie with it
+SLACK = 10.0**-DIGITS + 1e-9
 
 
 @dataclass
 class PostingsIndex:
-    """`blocks`: (bucket, scope, term, level, best, ids, tfs, dls); `levels`: (bucket, scope, term, level, n, best);
-    `stats`: (scope, n, avg_dl). The gains hold for `k1` and `b`."""
+    """`blocks`: (bucket, shard, scope, term, level, best, ids, tfs, dls); `levels`: (bucket, scope, term, level, n, best);
+    `shards`: (shard); `stats`: (scope, n, avg_dl). The gains hold for `k1` and `b`."""
 
     blocks: DataFrame
     levels: DataFrame
+    shards: DataFrame
     stats: DataFrame
     buckets: int
     id_col: str
@@ -56,27 +69,77 @@ def build_postings(
     path = path or scratch_path(spark, "postings")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
-    value = gain(F.col("tf"), F.col("dl"), F.col("avg_dl"), k1, b)
-    placed = index.postings.join(F.broadcast(stats.select(SCOPE, "avg_dl")) if _few(stats) else stats.select(SCOPE, "avg_dl"), SCOPE).select(
-        SCOPE, "term", F.col(index.id_col).alias("id"), "dl", "tf", value.alias("gain"),
-        F.least(F.floor(value / (k1 + 1.0) * LEVELS), F.lit(LEVELS - 1)).cast("int").alias("level"))
-    keys = [SCOPE, "term", "level"]
-    figures = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("gain").alias("best"))
-    figures = figures.withColumn("bucket", bucket_of(F.col("term"), buckets))
-    figures.hint("rebalance", "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/levels")
-    levels = spark.read.schema(figures.schema).parquet(f"{path}/levels")
-    # most (term, level) pairs fit one block; only the longer ones are looked up to be cut
-    long = levels.filter(F.col("n") > block).select(*keys, F.ceil(F.col("n") / block).cast("int").alias("slices"))
-    cut = placed.join(long, keys, "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("id"), "slices"), F.lit(0)))
-    held = F.sort_array(F.collect_list(F.struct("id", "tf", "dl")))
-    blocks = cut.groupBy(*keys, "slice").agg(F.max("gain").alias("best"), held.alias("p")).select(
-        *keys, "best", *[F.col("p")[name].alias(f"{name}s") for name in ("id", "tf", "dl")], bucket_of(F.col("term"), buckets).alias("bucket"))
+    figures = stats.select(SCOPE, "avg_dl")
+    forward = index.forward.select(SCOPE, F.col(index.id_col).alias("id"), "dl", "terms", "tfs").join(F.broadcast(figures) if _few(stats) else figures, SCOPE)
+    blocks = _inverted(forward, block, k1, b).withColumn("bucket", bucket_of(F.col("term"), buckets))
     blocks.hint("rebalance", "bucket").sortWithinPartitions("term", "level").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    stored = spark.read.schema(blocks.schema).parquet(f"{path}/blocks")
+    levels = stored.groupBy("bucket", SCOPE, "term", "level").agg(F.sum(F.size("ids")).alias("n"), F.max("best").alias("best"))
+    levels.hint("rebalance", "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/levels")
+    stored.select("shard").distinct().write.mode("overwrite").parquet(f"{path}/shards")
     return load_postings(spark, path, buckets, index.id_col, k1, b)
 
 
+def _inverted(forward: DataFrame, block: int, k1: float, b: float) -> DataFrame:
+    """Blocks of the rows (scope, id, dl, terms, tfs, avg_dl), inverted in shards of about `SHARD_ROWS` as they come."""
+    kind = {f.name: f.dataType for f in forward.schema}
+    schema = T.StructType([
+        T.StructField("shard", T.LongType()), T.StructField(SCOPE, kind[SCOPE]), T.StructField("term", T.StringType()),
+        T.StructField("level", T.IntegerType()), T.StructField("best", T.DoubleType()), T.StructField("ids", T.ArrayType(kind["id"])),
+        T.StructField("tfs", T.ArrayType(T.IntegerType())), T.StructField("dls", T.ArrayType(T.IntegerType())),
+    ])
+    arrow_schema = to_arrow_schema(schema)
+
+    def invert(rows: pa.Table, shard: int) -> pa.RecordBatch:
+        scopes = rows.column(SCOPE).combine_chunks().dictionary_encode()
+        terms, tfs = (rows.column(name).combine_chunks() for name in ("terms", "tfs"))
+        lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+        place = np.repeat(np.arange(rows.num_rows), lengths)
+        words = terms.flatten().dictionary_encode()
+        word, tf = words.indices.to_numpy(zero_copy_only=False), tfs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        dl = to_numpy(rows.column("dl"))
+        value = gain(tf, dl[place].astype(np.float64), to_numpy(rows.column("avg_dl"))[place], k1, b)
+        level = np.minimum(np.floor(value / (k1 + 1.0) * LEVELS), LEVELS - 1).astype(np.int32)
+        scope = scopes.indices.to_numpy(zero_copy_only=False)[place]
+        order = np.lexsort((place, level, word, scope))
+        place, word, level, scope, value = place[order], word[order], level[order], scope[order], value[order]
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (word[1:] != word[:-1]) | (level[1:] != level[:-1]) | (scope[1:] != scope[:-1])
+        run = np.flatnonzero(first)
+        first |= (np.arange(len(order)) - run[np.cumsum(first) - 1]) % block == 0
+        start = np.flatnonzero(first)
+        offsets = pa.array(np.append(start, len(order)).astype(np.int32))
+        listed = lambda values, kind: pa.ListArray.from_arrays(offsets, values.cast(kind))
+        columns = [
+            pa.array(np.full(len(start), shard, dtype=np.int64)), scopes.dictionary.take(pa.array(scope[start])), words.dictionary.take(pa.array(word[start])),
+            pa.array(level[start]), pa.array(np.maximum.reduceat(value, start)),
+            listed(rows.column("id").combine_chunks().take(pa.array(place)), arrow_schema.field("ids").type.value_type),
+            listed(pa.array(tf[order].astype(np.int32)), pa.int32()), listed(pa.array(dl[place]), pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, shard = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start in range(0, batch.num_rows, SHARD_ROWS):
+                held.append(batch.slice(start, SHARD_ROWS))
+                rows += held[-1].num_rows
+                if rows >= SHARD_ROWS:
+                    yield from whole(held, shard)
+                    held, rows, shard = [], 0, shard + 1
+        if held:
+            yield from whole(held, shard)
+
+    def whole(held: list[pa.RecordBatch], shard: int) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        if pc.sum(pc.list_value_length(rows.column("terms"))).as_py():
+            yield invert(rows, shard)
+
+    return forward.mapInArrow(run, schema)
+
+
 def load_postings(spark: SparkSession, path: str, buckets: int = BUCKETS, id_col: str = "chunk_id", k1: float = K.BM25_K1, b: float = K.BM25_B) -> PostingsIndex:
-    return PostingsIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "levels", "stats")), buckets, id_col, k1, b)
+    return PostingsIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "levels", "shards", "stats")), buckets, id_col, k1, b)
 
 
 def _few(stats: DataFrame, most: int = 100_000) -> bool:
@@ -115,12 +178,112 @@ def postings_search(queries: DataFrame, index: PostingsIndex, k: int = K.SEARCH_
     rising = Window.partitionBy(*slot).orderBy("most", "term")
     terms = terms.withColumn("up_to", F.sum("most").over(rising)).withColumn("all", F.sum("most").over(Window.partitionBy(*slot)))
     judged = plan.join(terms.drop("most"), [*slot, "term"]).join(floor, slot, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)) - SLACK)
-    kept = judged.filter((F.col("up_to") >= F.col("floor")) & (F.col("bound") + F.col("all") - F.col("most") >= F.col("floor")))
-    candidates = materialize(_scored(index, kept, mine, slot).select(*slot, "id").distinct(), "candidates")
-    full = _scored(index, plan, mine, slot).join(candidates, [*slot, "id"]).groupBy(*slot, "id").agg(F.sum("part").alias("score"))
-    best = Window.partitionBy(*slot).orderBy(F.col("score").desc(), F.col(index.id_col))
-    return full.select(*slot, F.col("id").alias(index.id_col), F.round("score", DIGITS).alias("score")).withColumn(
-        "rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    keeps = (F.col("up_to") >= F.col("floor")) & (F.col("bound") + F.col("all") - F.col("most") >= F.col("floor"))
+    # a term's blocks are read from the level `low` on; what lies below gives a chunk `cap` at most
+    low = F.min(F.when(F.col("keep"), F.col("level")))
+    judged = judged.withColumn("keep", keeps).groupBy(*slot, "term").agg(
+        F.first("avg_dl").alias("avg_dl"), F.first("weight").alias("weight"), F.first("floor").alias("floor"), low.alias("low"),
+        F.coalesce(F.max(F.when(~F.col("keep"), F.col("bound"))), F.lit(0.0)).alias("cap"))
+    asking = materialize(judged.withColumn("rest", F.sum("cap").over(Window.partitionBy(*slot))), "asking")
+
+    kinds = {query_id: queries.schema[query_id].dataType, SCOPE: index.stats.schema[SCOPE].dataType, "shard": T.LongType(), "id": index.blocks.schema["ids"].dataType.elementType}
+    fields = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+    slices = F.lit(max(-(-asking.count() // CELL_TERMS), 1))
+    every = F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice")
+    cell = ["shard", "slice"]
+    asking = asking.withColumn("slice", F.pmod(F.xxhash64(*slot), slices).cast("int"))
+    lists = index.blocks.filter(mine).select("shard", SCOPE, "term", "level", "ids", "tfs", "dls")
+    lowest = asking.filter("low IS NOT NULL").groupBy(SCOPE, "term").agg(F.min("low").alias("low"))
+    essential = lists.join(lowest, [SCOPE, "term"]).filter(F.col("level") >= F.col("low")).drop("low")
+    sent = asking.crossJoin(index.shards).select(*cell, *slot, "term", "avg_dl", "weight", "low", "cap", "rest", "floor")
+    named = essential.select("*", every).groupBy(*cell).cogroup(sent.filter("low IS NOT NULL").groupBy(*cell))
+    candidates = materialize(named.applyInArrow(_candidates(query_id, fields, index.k1, index.b), fields), "candidates")
+
+    scored = T.StructType([*fields.fields, T.StructField("score", T.DoubleType())])
+    known = candidates.withColumn("slice", F.pmod(F.xxhash64(*slot), slices).cast("int"))
+    wanted = sent.unionByName(known, allowMissingColumns=True).groupBy(*cell)
+    asked_for = lists.join(asking.select(SCOPE, "term").distinct(), [SCOPE, "term"], "left_semi").select("*", every)
+    full = asked_for.groupBy(*cell).cogroup(wanted).applyInArrow(_full(query_id, scored, index.k1, index.b), scored)
+    return merged(full.select(*slot, F.col("id").alias(index.id_col), F.round("score", DIGITS).alias("score")), slot, "score", index.id_col, k)
+
+
+class _Lists:
+    """The postings of one shard, those of a term side by side."""
+
+    def __init__(self, blocks: pa.Table) -> None:
+        blocks = blocks.combine_chunks().sort_by([(SCOPE, "ascending"), ("term", "ascending")])
+        lists = blocks.column("ids").combine_chunks()
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        named = lists.flatten().dictionary_encode()
+        self.names, self.codes = named.dictionary, named.indices.to_numpy(zero_copy_only=False)
+        flat = lambda name: blocks.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.tfs, self.dls = flat("tfs"), flat("dls")
+        self.levels = np.repeat(to_numpy(blocks.column("level")), lengths)
+        self.spans: dict = {}
+        for key, a, z in zip(zip(blocks.column(SCOPE).to_pylist(), blocks.column("term").to_pylist()), ends - lengths, ends):
+            self.spans[key] = (self.spans.get(key, (a, z))[0], z)
+
+    def parts(self, scope, term, avg_dl: float, weight: float, k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the chunks that have a term, its part of their scores and its levels there."""
+        at = slice(*self.spans.get((scope, term), (0, 0)))
+        return self.codes[at], weight * gain(self.tfs[at], self.dls[at], avg_dl, k1, b), self.levels[at]
+
+
+def _found(schema: pa.Schema, parts: list) -> pa.Table:
+    """Rows of (query, scope, shard, ids, further columns)."""
+    tables = [pa.Table.from_arrays([
+        *(pa.array([value] * len(ids), f.type) for value, f in zip(head, schema)), *(pa.array(c).cast(f.type) for c, f in zip((ids, *more), list(schema)[len(head):]))
+    ], schema=schema) for *head, ids, more in parts]
+    return pa.concat_tables([schema.empty_table(), *tables])
+
+
+def _candidates(query_id: str, schema: T.StructType, k1: float, b: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Chunks of a shard that the essential levels name and that may reach the floor."""
+    arrow_schema = to_arrow_schema(schema)
+
+    def meet(blocks: pa.Table, asking: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not asking.num_rows:
+            return arrow_schema.empty_table()
+        lists, shard, out = _Lists(blocks), blocks.column("shard")[0].as_py(), []
+        for (query, scope), rows in asking.to_pandas().groupby([query_id, SCOPE], sort=False):
+            most, seen = np.full(len(lists.names), rows["rest"].iloc[0]), np.zeros(len(lists.names), dtype=bool)
+            for row in rows.itertuples():
+                codes, part, levels = lists.parts(scope, row.term, row.avg_dl, row.weight, k1, b)
+                met = levels >= row.low
+                most[codes[met]] += part[met] - row.cap
+                seen[codes[met]] = True
+            out.append((query, scope, shard, lists.names.take(pa.array(np.flatnonzero(seen & (most >= rows["floor"].iloc[0] - 1e-9)))), ()))
+        return _found(arrow_schema, out)
+
+    return meet
+
+
+def _full(query_id: str, schema: T.StructType, k1: float, b: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Whole scores of the candidates of a shard that reach the floor."""
+    arrow_schema = to_arrow_schema(schema)
+
+    def meet(blocks: pa.Table, asking: pa.Table) -> pa.Table:
+        known = asking.filter(pc.is_valid(asking.column("id")))
+        if not blocks.num_rows or not known.num_rows:
+            return arrow_schema.empty_table()
+        lists, shard, out = _Lists(blocks), blocks.column("shard")[0].as_py(), []
+        known = known.append_column("code", pc.index_in(known.column("id"), value_set=lists.names))
+        wanted = {slot: rows["code"].to_numpy() for slot, rows in known.select([query_id, SCOPE, "code"]).to_pandas().groupby([query_id, SCOPE], sort=False)}
+        terms = asking.filter(pc.is_null(asking.column("id"))).drop_columns(["id"]).to_pandas()
+        for slot, rows in terms.groupby([query_id, SCOPE], sort=False):
+            if slot not in wanted:
+                continue
+            score = np.zeros(len(lists.names))
+            for row in rows.itertuples():
+                codes, part, _ = lists.parts(slot[1], row.term, row.avg_dl, row.weight, k1, b)
+                score[codes] += part
+            code = wanted[slot]
+            code = code[score[code] >= rows["floor"].iloc[0] - 1e-9]
+            out.append((*slot, shard, lists.names.take(pa.array(code)), (score[code],)))
+        return _found(arrow_schema, out)
+
+    return meet
 
 
 def _scored(index: PostingsIndex, plan: DataFrame, mine: Column, slot: list[str]) -> DataFrame:

@@ -234,6 +234,20 @@ def test_postings_with_block_maxima_equal_the_full_scan(spark, block):
                 assert sorted(map(row, PO.postings_search(queries, index, k).collect())) == sorted(map(row, B.bm25_search(queries, forward, k).collect()))
 
 
+def test_postings_in_many_shards_and_slices_equal_the_full_scan(spark, monkeypatch):
+    """A chunk lies in one shard; queries are dealt over slices; ids are strings and a scope has none of the terms."""
+    monkeypatch.setattr(PO, "SHARD_ROWS", 16)
+    monkeypatch.setattr(PO, "CELL_TERMS", 20)
+    docs, asked, chunks, queries = docs_and_queries(spark)
+    forward = B.build_bm25_index(chunks.repartition(3), scope="kb_id")
+    index = PO.build_postings(forward, buckets=4, block=5)
+    assert index.shards.count() >= 12
+    held = index.blocks.select("shard", F.explode("ids").alias("id"))
+    assert held.groupBy("id").agg(F.count_distinct("shard").alias("n")).filter("n > 1").isEmpty()
+    got = {(r["query_id"], r["scope"], r["rank"]): r["chunk_id"] for r in PO.postings_search(queries, index, 7).collect()}
+    assert got == brute_bm25(docs, asked, 7, True)
+
+
 def test_postings_search_reads_its_own_buckets_only(spark):
     texts = [f"common filler{i % 50} " + ("needle " * 9 if i == 7 else "") for i in range(400)]
     chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
