@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK_BYTES = 64 << 20
+SCORE_BYTES = 16 << 20
 COMPACT_ROWS = 1 << 20
+STRIP = 64
 SKIPPED = -(1 << 62)
 MERGE_GROUPS = 32
 
@@ -49,6 +51,24 @@ class BestK:
         if self.rows > COMPACT_ROWS:
             self.compact()
 
+    def add_floats(self, first: int, score: np.ndarray, ids: np.ndarray, scale: int) -> None:
+        """The same for scores before scaling, of which those at minus infinity are left out. The k-th best of the greatest
+        scores of strips of columns bounds the k-th best score from below: only what reaches it is scaled and ordered."""
+        strips = score.shape[1] // STRIP
+        if strips > self.k:
+            tops = score[:, : strips * STRIP].reshape(len(score), strips, STRIP).max(axis=2)
+            floor = np.partition(tops, strips - self.k, axis=1)[:, strips - self.k] - 2.0 / scale
+            near = score >= floor[:, None]
+            if np.count_nonzero(near) <= 8 * self.k * len(score):
+                rows, columns = np.nonzero(near & (score > -np.inf))
+                self.parts.append((rows + first, np.rint(score[rows, columns] * scale).astype(np.int64), ids[columns]))
+                self.rows += len(rows)
+                if self.rows > COMPACT_ROWS:
+                    self.compact()
+                return
+        skip = score == -np.inf
+        self.add(first, np.rint(np.where(skip, 0.0, score) * scale).astype(np.int64), ids, skip)
+
     def compact(self) -> None:
         if not self.parts:
             return

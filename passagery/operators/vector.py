@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from passagery import constants as K
 from passagery.functions.vectors import cosine
-from passagery.operators.topk import BLOCK_BYTES, BestK, merged, to_numpy
+from passagery.operators.topk import BLOCK_BYTES, SCORE_BYTES, BestK, merged, to_numpy
 from passagery.session import scratch_path
 
 DIGITS = 9
 SCALE = 10**DIGITS
+CELL_ROWS = 1 << 14
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -51,17 +52,15 @@ class _Best:
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
-        step = max(1, BLOCK_BYTES // (8 * len(ids)))
+        step = max(1, SCORE_BYTES // (8 * len(ids)))
+        own = None if self.position is None else np.array([self.position.get(c, -1) for c in ids.tolist()])
         for start in range(0, len(self.queries), step):
             block = self.queries[start : start + step]
-            score = np.rint(block @ vectors.T * SCALE).astype(np.int64)
-            skip = None
-            if self.position is not None:
-                own = np.array([self.position.get(c, -1) for c in ids.tolist()]) - start
-                here = np.flatnonzero((own >= 0) & (own < len(block)))
-                skip = np.zeros(score.shape, dtype=bool)
-                skip[own[here], here] = True
-            self.best.add(start, score, ids, skip)
+            score = block @ vectors.T
+            if own is not None:
+                here = np.flatnonzero((own >= start) & (own < start + len(block)))
+                score[own[here] - start, here] = -np.inf
+            self.best.add_floats(start, score, ids, SCALE)
 
     def table(self, schema: pa.Schema) -> pa.RecordBatch:
         found = self.best.result()
@@ -125,9 +124,13 @@ def vector_search(
     id_col: str = "chunk_id",
     skip_self: bool = False,
     broadcast_bytes: int = BLOCK_BYTES,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Exact top-k by cosine: rows (query_id, chunk_id, cosine, rank, score). The filter applies before ranking.
 
+    Queries up to `broadcast_bytes` are sent to all tasks; more of them meet the corpus in cells of `cell_rows` rows of each
+    side, whatever the bound of the broadcast, as every row is sent once for each block of the other side.
+
     Each length of query vectors, as of different models, is searched on its own; a corpus vector of another length has
     cosine 0 there, whatever the order of the rows.
     """
@@ -144,11 +147,11 @@ def vector_search(
     parts = []
     for dim in lengths:
         fits = F.size("embedding") == dim
-        parts.append(_best_of_length(q.filter(fits), c, dim, schemas, k, query_id, id_col, skip_self, broadcast_bytes))
+        parts.append(_best_of_length(q.filter(fits), c, dim, schemas, k, query_id, id_col, skip_self, broadcast_bytes, cell_rows))
     return _final(reduce(DataFrame.unionAll, parts), query_id, id_col, k)
 
 
-def _best_of_length(q: DataFrame, c: DataFrame, dim: int, schemas, k: int, query_id: str, id_col: str, skip_self: bool, broadcast_bytes: int) -> DataFrame:
+def _best_of_length(q: DataFrame, c: DataFrame, dim: int, schemas, k: int, query_id: str, id_col: str, skip_self: bool, broadcast_bytes: int, cell_rows: int) -> DataFrame:
     """Each task's best rows per query, all vectors being of one length."""
     spark_schema, arrow_schema = schemas
     limit = max(broadcast_bytes // (8 * dim), 1)
@@ -165,7 +168,7 @@ def _best_of_length(q: DataFrame, c: DataFrame, dim: int, schemas, k: int, query
 
         return c.mapInArrow(scan, spark_schema)
     n_q, n_c = q.count(), c.count()
-    grid_q, grid_c = F.lit(-(-n_q // limit)), F.lit(max(-(-n_c // limit), 1))
+    grid_q, grid_c = F.lit(-(-n_q // cell_rows)), F.lit(max(-(-n_c // cell_rows), 1))
     cells_q = _spread(q, query_id, "cell_q", grid_q, "cell_c", grid_c).select("cell_q", "cell_c", query_id, "embedding")
     cells_c = _spread(c, id_col, "cell_c", grid_c, "cell_q", grid_q).select("cell_q", "cell_c", id_col, "embedding")
     return _cell_topk(cells_q, cells_c, ["cell_q", "cell_c"], schemas, dim, k, skip_self)
@@ -218,7 +221,7 @@ def vector_search_ann(
     n_probe: int = 4,
     query_id: str = "query_id",
     skip_self: bool = False,
-    block_rows: int = 1 << 16,
+    block_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Approximate top-k: exact within the `n_probe` nearest clusters of each query.
 
@@ -247,7 +250,7 @@ def _within(q: DataFrame, c: DataFrame, scope: str, dim: int, schemas, k: int, s
 
 def scoped_vector_search(
     queries: DataFrame, chunks: DataFrame, scope: str, k: int = K.SEARCH_K, query_id: str = "query_id", id_col: str = "chunk_id",
-    block_rows: int = 1 << 16, broadcast_bytes: int = BLOCK_BYTES,
+    block_rows: int = CELL_ROWS, broadcast_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact top-k of every (query, scope) row of `queries` among the chunks of that scope, all scopes in one job.
 
