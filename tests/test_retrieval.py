@@ -303,3 +303,31 @@ def test_reranked_batches_fail_and_merge_each_for_itself(spark):
     got = {(r.query_id, r["rank"]): (r.chunk_id, r.relevance) for r in X.rerank_in_batches(cands, scorer, size=3).collect()}
     assert [got[1, n][0] for n in range(1, 8)] == [7, 2, 1, 3, 4, 5, 6] and got[1, 4][1] is None
     assert got[2, 1] == (1, 1.0) and [got[3, n] for n in (1, 2)] == [(1, None), (2, None)]
+
+
+def test_search_in_several_cells_of_bounded_size(spark):
+    """The bound of the broadcast does not size the cells: many cells, and one, give the rows of the broadcast form."""
+    asked, corpus = frames(spark)
+    for cell_rows in (17, 1 << 14):
+        assert found(V.vector_search(asked, corpus, 6, broadcast_bytes=64, cell_rows=cell_rows)) == found(V.vector_search(asked, corpus, 6))
+    docs, queried, chunks, q = docs_and_queries(spark)
+    for scope in (None, "kb_id"):
+        index = B.build_bm25_index(chunks, scope=scope)
+        rows = B.bm25_search(q, index, 7, broadcast_terms=5, block_rows=30, cell_terms=12).collect()
+        assert {(r["query_id"], r["scope"], r["rank"]): r["chunk_id"] for r in rows} == brute_bm25(docs, queried, 7, scope is not None)
+
+
+def test_best_of_float_scores_equals_a_full_sort():
+    from passagery.operators.topk import BestK
+
+    draw = np.random.default_rng(5)
+    ids = np.sort(draw.choice(10**6, 3000, replace=False))
+    for score in (draw.normal(size=(20, 3000)), np.round(draw.normal(size=(20, 3000)), 1), np.zeros((20, 3000))):
+        score[:, ::7] = -np.inf
+        score[3, 5:] = -np.inf
+        best = BestK(5)
+        best.add_floats(100, score, ids, 1000)
+        rows, got, names = best.result()
+        for row in range(20):
+            held = [(-int(np.rint(s * 1000)), i) for s, i in zip(score[row].tolist(), ids.tolist()) if s > -np.inf]
+            assert [(-g, n) for r, g, n in zip(rows.tolist(), got.tolist(), names.tolist()) if r == 100 + row] == sorted(held)[:5]
