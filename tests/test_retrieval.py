@@ -331,3 +331,13 @@ def test_best_of_float_scores_equals_a_full_sort():
         for row in range(20):
             held = [(-int(np.rint(s * 1000)), i) for s, i in zip(score[row].tolist(), ids.tolist()) if s > -np.inf]
             assert [(-g, n) for r, g, n in zip(rows.tolist(), got.tolist(), names.tolist()) if r == 100 + row] == sorted(held)[:5]
+
+
+def test_index_rows_hold_sorted_terms_and_their_counts(spark):
+    texts = ["b a b ab B", "", None, "é z a é", " .. ", "a " * 700]
+    chunks = spark.createDataFrame([(i, i % 2, x) for i, x in enumerate(texts)], "chunk_id long, kb int, text string").coalesce(1)
+    forward = B.build_bm25_index(chunks, scope="kb", carry=["text"]).forward
+    assert forward.columns == ["scope", "chunk_id", "text", "dl", "terms", "tfs"]
+    assert [tuple(r)[3:] for r in forward.orderBy("chunk_id").collect()] == [
+        (5, ["a", "ab", "b"], [1, 1, 3]), (0, [], []), (None, None, None), (4, ["a", "z", "é"], [1, 1, 2]), (0, [], []), (700, ["a"], [700])]
+    assert "MapInArrow" in B.build_bm25_index(chunks, settle=False).forward._jdf.queryExecution().executedPlan().toString()
