@@ -1,13 +1,15 @@
 """Near duplicates by the exact similarity of their word shingles.
 
-Texts with the same set of shingles are one class. Each class gets `BANDS` keys of `ROWS` least hashes; classes that
-share a key may be similar, and are linked if the Jaccard similarity of their sets, counted exactly, reaches the bound.
-Two texts at similarity 0.8 share a key with probability 0.9993, closer ones more surely. Before sets are read, sizes
+Texts with the same set of shingles are one class. Each class gets a SimHash fingerprint of its set, and classes whose
+fingerprints are in range by the pivot distance table of `simhash` may be similar. As texts at the bound mostly differ
+in more bits than any lossless key of a fingerprint allows, each class also gets `BANDS` keys of `ROWS` least hashes;
+classes that share a key may be similar as well. Whichever found them, classes are linked if the Jaccard similarity of
+their sets, counted exactly, reaches the bound. Two texts at similarity 0.8 share a key with probability 0.9993, closer ones more surely. Before sets are read, sizes
 must fit and the sketches (a byte of each of the least hashes) must agree in all but 4.5 standard deviations; a pair at
 0.8 fails that once in some 300 thousand cases.
 
-A key of at most `max_group` classes makes their pairs. Larger keys are joined to families by the classes they share,
-and a family is compared whole, in cells of two blocks of bounded size: a task walks from class to class over those not
+A key or fingerprint of at most `max_group` classes makes their pairs. Larger ones, and what fingerprints link over
+midpoints, are joined to families by the classes they share, and a family is compared whole, in cells of two blocks of bounded size: a task walks from class to class over those not
 reached yet, so a family of close copies costs one comparison a member, and only links that join something leave the
 task. No pair of a family is left out, whatever its size, and the number of stages does not depend on the data but for
 the few rounds in which components settle.
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
 from .components import components
+from .simhash import BITS, close
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED, CHUNK = 24, 6, 42, 1 << 12
@@ -49,8 +52,17 @@ def shingles(text: str, width: int):
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[len(ends) - count:].tolist())), np.uint64, count))
 
 
+def fingerprint(held: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingle hashes, as a signed long; that of the empty set is zero."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(held), CHUNK):
+        counts += np.unpackbits(held[i:i + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(held), bitorder="little").view("<i8")[0])
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, a hash of the text, `node`, which stands for the set of shingles, and its size, sketch and keys of each row."""
+    """doc_id, a hash of the text, `node`, which stands for the set of shingles, and its size, fingerprint, sketch and keys
+    of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
@@ -61,7 +73,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         factors, shifts = (draw.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
         factors |= np.uint64(1)
         for batch in batches:
-            nodes, sizes, sketches, keys = [], [], [], []
+            nodes, sizes, prints, sketches, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 held = shingles(text, width)
                 least = np.full(BANDS * ROWS, ~np.uint64(0))
@@ -69,15 +81,16 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     np.minimum(least, ((held[i:i + CHUNK] ^ shifts) * factors).min(axis=1), out=least)
                 nodes.append(xxhash.xxh64_intdigest(held.tobytes(), SEED))
                 sizes.append(len(held))
+                prints.append(fingerprint(held))
                 sketches.append(least.astype(np.uint8).tobytes())
                 keys.append([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))])
             flat = pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(nodes) + 1, BANDS), pa.int32()), flat)
             yield pa.record_batch([batch.column("doc_id"), batch.column("t"), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                                   pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists],
-                                  names=["doc_id", "t", "node", "size", "sketch", "keys"])
+                                   pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary()), lists],
+                                  names=["doc_id", "t", "node", "size", "fp", "sketch", "keys"])
 
-    return hashed(docs).mapInArrow(run, "doc_id long, t long, node long, size long, sketch binary, keys array<long>")
+    return hashed(docs).mapInArrow(run, "doc_id long, t long, node long, size long, fp long, sketch binary, keys array<long>")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -199,21 +212,46 @@ def within(families: DataFrame, classes: DataFrame, held: DataFrame, similarity:
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, "a long, b long")
 
 
+def by_fingerprint(classes: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes whose fingerprints are in range, and links (a, b) that are to be compared as families. The
+    empty set, which is one class, takes no part."""
+    scratch = Scratch(classes.sparkSession, "prints")
+    members = classes.where("size > 0").select("fp", "node")
+    heads = scratch.write(members.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "heads")
+    pairs, over = close(heads.select(F.col("head").alias("node"), "fp"), scratch, max_group)
+    pairs = scratch.write(pairs.unionAll(heads.where(f"n BETWEEN 2 AND {max_group}").select(F.col("head").alias("a"), F.col("head").alias("b"))), "pairs")
+    over = scratch.write(over, "over")
+    scratch.drop("grouped")
+
+    held = members.join(heads, "fp").select("head", "node", "n")
+    side = lambda name: held.where(f"n <= {max_group}").select(F.col("head").alias(name), F.col("node").alias(f"node_{name}"))
+    ends = [F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")]
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select(*ends).where("a < b")
+
+    many = heads.where(f"n > {max_group}").select("head")
+    wide = over.unionAll(pairs.join(many.withColumnRenamed("head", "a"), "a", "left_semi")).unionAll(
+        pairs.join(many.withColumnRenamed("head", "b"), "b", "left_semi"))
+    whole = wide.select(F.explode(F.array("a", "b")).alias("head")).unionAll(many).distinct()
+    shared = held.join(whole, "head", "left_semi").select(F.col("head").alias("a"), F.col("node").alias("b")).where("a <> b")
+    return met, wide.unionAll(shared)
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, max_group: int = 64, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) for each input row; the component is named by its smallest doc_id."""
     scratch = Scratch(docs.sparkSession, "near")
     printed = scratch.write(signatures(docs, width), "printed")
-    first = [F.first(c).alias(c) for c in ("size", "sketch", "keys")]
+    first = [F.first(c).alias(c) for c in ("size", "fp", "sketch", "keys")]
     classes = scratch.write(printed.groupBy("node").agg(F.min("t").alias("t"), F.min("doc_id").alias("doc_id"), *first), "classes")
     keyed = classes.select("node", F.explode("keys").alias("key"))
     sizes = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "sizes")
     grouped = scratch.write(keyed.join(sizes, "key"), "grouped")
 
     small = grouped.where(F.col("n") <= max_group)
-    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    candidates = scratch.write(likely(pairs, classes, similarity), "candidates")
+    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    met, wide = by_fingerprint(classes, max_group)
+    candidates = scratch.write(likely(pairs.unionAll(met).distinct(), classes, similarity), "candidates")
     crowded = grouped.where((F.col("n") > max_group) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    families = scratch.write(components(crowded.distinct(), scratch, "families"), "families")
+    families = scratch.write(components(crowded.unionAll(wide).distinct(), scratch, "families"), "families")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).unionAll(families.select("node")).distinct()
     held = scratch.write(sets(docs, wanted.join(classes, "node").select("t", "node"), width), "held")
     links = scratch.write(similar(candidates, held, similarity).unionAll(within(families, classes, held, similarity, block, scratch)), "links")

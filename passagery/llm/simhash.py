@@ -91,8 +91,8 @@ def pivot_table(fps: DataFrame) -> DataFrame:
     return table.withColumn("blocks", F.array(*local))
 
 
-def links(fps: DataFrame, scratch: Scratch, max_group: int = 64) -> DataFrame:
-    """(a, b) of node ids: for every two fingerprints in range a path of links that are all in range.
+def close(fps: DataFrame, scratch: Scratch, max_group: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of node ids: the pairs in range of keys that make pairs, and the links over midpoints of the others.
 
     `fps` is (node, fp) with distinct non-null nodes and distinct fingerprints.
     """
@@ -115,7 +115,13 @@ def links(fps: DataFrame, scratch: Scratch, max_group: int = 64) -> DataFrame:
     midpoints = crowded.select("node", F.explode(F.array(*flips)).alias("midpoint"))
     stars = midpoints.groupBy("midpoint").agg(F.collect_list("node").alias("near")).where(F.size("near") > 1)
     over = stars.select(F.array_min("near").alias("a"), F.explode("near").alias("b"))
-    return pairs.unionAll(over.where("a <> b"))
+    return pairs, over.where("a <> b")
+
+
+def links(fps: DataFrame, scratch: Scratch, max_group: int = 64) -> DataFrame:
+    """(a, b) of node ids: for every two fingerprints in range a path of links that are all in range."""
+    pairs, over = close(fps, scratch, max_group)
+    return pairs.unionAll(over)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from passagery.llm import ann, bpe, components, langid, mixing, near, pii, quality, secrets, simhash, suffix
@@ -498,6 +499,22 @@ def test_near_duplicates_of_families_that_overlap(spark):
     assert 3 <= len(set(expected.values())) < len(texts)
 
 
+@pytest.mark.parametrize("max_group", [2, 64])
+def test_near_duplicates_by_fingerprints_alone(spark, monkeypatch, max_group):
+    """Without any shared least hash, the fingerprints still bring together what differs in few bits."""
+    signatures = near.signatures
+    monkeypatch.setattr(near, "signatures", lambda docs, width: signatures(docs, width).withColumn("keys", F.array("node")))
+    words, draw = [f"w{i}" for i in range(3000)], random.Random(5)
+    texts = {i: " ".join(words[:300 * i] + [f"x{i}"] + words[300 * i + 1:]) for i in range(10)}
+    texts |= {100 + i: " ".join(f"r{draw.randrange(10**9)}" for _ in range(200)) for i in range(5)} | {200: "", 201: None}
+    docs = frame(spark, list(texts.items()))
+    prints = {r.doc_id: r.fp & (1 << 64) - 1 for r in signatures(docs, 5).collect()}
+    assert prints[1] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in near.shingles(texts[1], 5).tolist()) > 3001 - 5)
+    expected = brute_components({i: prints[i] for i in texts if texts[i]}) | {200: 200, 201: 200}
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(docs, max_group=max_group, block=4).collect()}
+    assert got == expected and len(set(expected.values())) < 12
+
+
 # mixing
 
 
