@@ -333,6 +333,32 @@ def test_best_of_float_scores_equals_a_full_sort():
             assert [(-g, n) for r, g, n in zip(rows.tolist(), got.tolist(), names.tolist()) if r == 100 + row] == sorted(held)[:5]
 
 
+def test_block_product_in_single_precision_gives_the_scores_of_double_precision(monkeypatch):
+    monkeypatch.setattr(V, "COMPACT_ROWS", 500)
+    draw = np.random.default_rng(8)
+    vectors = draw.normal(size=(5000, 16))
+    vectors[100:2000:3], vectors[2500] = vectors[7], 0.0
+    vectors[3000:4000] = vectors[11] + draw.normal(size=(1000, 16)) * 1e-7
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    ids = draw.permutation(10**5)[:5000]
+    asked = np.concatenate([np.arange(150), [2500, 3000, 3500]])
+    best = V._Best(ids[asked], vectors[asked], 5, True)
+    for part in np.array_split(draw.permutation(5000), 3):
+        best.add(ids[part], vectors[part])
+    assert best.rough.dtype == np.float32
+    rows, got, names = best.best.result()
+    for place, own in enumerate(asked.tolist()):
+        scaled = np.rint((vectors @ vectors[own]) * V.SCALE).astype(np.int64)
+        expected = sorted((-s, i) for s, i in zip(scaled.tolist(), ids.tolist()) if i != ids[own])[:5]
+        held = [(-s, i) for r, s, i in zip(rows.tolist(), got.tolist(), names.tolist()) if r == place]
+        assert [i for _, i in held] == [i for _, i in expected] and all(abs(a - b) <= 1 for (a, _), (b, _) in zip(held, expected))
+
+
+def test_recall_searches_its_truth_once(spark):
+    plan = QUERIES["vector_ann_recall"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 2 and " MapInArrow" not in plan
+
+
 def test_index_rows_hold_sorted_terms_and_their_counts(spark):
     texts = ["b a b ab B", "", None, "é z a é", " .. ", "a " * 700]
     chunks = spark.createDataFrame([(i, i % 2, x) for i, x in enumerate(texts)], "chunk_id long, kb int, text string").coalesce(1)
