@@ -172,7 +172,8 @@ def disjoint_windows(df: DataFrame, keys: list[str], number: str, since: Column,
     wide = lambda *more: T.StructType([*kinds.fields, *more])
     longs = T.ArrayType(T.LongType())
     crowded = lists.join(many, keys, "left_semi").select(*keys, BUCKET, F.col("rows.since").alias("since"), F.col("rows.until").alias("until"))
-    steps = crowded.groupBy(*keys, BUCKET).applyInPandas(_steps, wide(T.StructField("starts", longs), T.StructField("ends", longs)))
+    # a row is a bucket already: no shuffle, and no call of Python for each of very many buckets
+    steps = crowded.mapInPandas(lambda parts: map(_steps, parts), wide(T.StructField("starts", longs), T.StructField("ends", longs)))
     entries = steps.groupBy(*keys).applyInPandas(_entries, wide(T.StructField("entry", T.LongType())))
     begin = F.coalesce("entry", F.lit(int(np.iinfo(np.int64).min)))
     kind = lists.schema["rows"].dataType.simpleString()

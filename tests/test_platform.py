@@ -84,6 +84,14 @@ def test_no_attempts_no_locks(spark):
     assert H.lockouts(df, ["user_id"], "ts", "event_id", F.col("failed")).count() == 0
 
 
+def test_lockouts_call_python_once_for_a_key_and_not_for_each_bucket(spark):
+    df = spark.createDataFrame([(1, i, True) for i in range(20)], "user_id long, event_id long, failed boolean").withColumn("ts", F.timestamp_seconds(F.col("event_id") * 60))
+    locks = H.lockouts(df, ["user_id"], "ts", "event_id", F.col("failed"), 2, 3, 2)
+    plan = locks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsIn") == 1 and plan.count("MapInPandas") == 1
+    assert sorted(r["event_id"] for r in locks.collect()) == [1, 6, 11, 16]
+
+
 def test_next_versions(spark):
     cases = [(None, "MAJOR", "v1.0.0"), ("v1.2.3", "MAJOR", "v2.0.0"), ("v1.2.3", "MINOR", "v1.3.0"), ("v1.2.3", "PATCH", "v1.2.4"),
              ("v1.2.3", "other", "v1.3.0"), ("2.5", "PATCH", "v2.5.1"), ("garbage", "MAJOR", "v2.0.0"), ("v1.x", "PATCH", "v1.0.1")]
