@@ -103,6 +103,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
+def token_text(text: Column) -> Column:
+    """Lower-cased text whose `tokens` are its runs of ASCII letters, ASCII digits and characters beyond ASCII: other
+    characters beyond ASCII are spaces. Plain ASCII needs no regular expression."""
+    low = F.lower(text)
+    plain = F.octet_length(low) == F.length(low)
+    return F.when(plain, low).otherwise(F.regexp_replace(low, "[^\\x00-\\x7f\\p{L}\\p{N}]+", " "))
+
+
 def file_extension(name: Column) -> Column:
     """Text after the last dot, lower case; empty when there is no dot."""
     return F.coalesce(F.lower(F.regexp_extract(name, "\\.([^.]*)\\z", 1)), F.lit(""))

@@ -1,14 +1,14 @@
 """BM25 over a batch of queries.
 
-The index keeps one row per chunk with its terms and their counts, made row by row without a shuffle. Searching
-scans it once: a task scores its chunks against all query terms and keeps the best k per query, so neither postings
+The index keeps one row per chunk with its words, made row by row without a shuffle. Searching scans it twice: query terms
+are counted, then a task scores its chunks against all of them and keeps the best k per query, so neither postings
 nor (query, chunk) pairs are shuffled, and a term found in every chunk is no hot key. Query terms are broadcast
 after their number has been checked; a larger query set is met slice by slice in a grid of bounded cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from passagery import constants as K
 from passagery.functions import text as X
-from passagery.operators.topk import BLOCK_BYTES, BestK, merged, to_numpy
+from passagery.operators.topk import BestK, merged, to_numpy
 from passagery.session import materialize
 
 SCOPE = "scope"
@@ -28,14 +28,35 @@ SCALE = 10**DIGITS
 MAX_BLOCK_ROWS = 1 << 16
 BROADCAST_TERMS = 1_000_000
 CELL_TERMS = 1 << 18
+STEP_BYTES, LEAST_STEP = 1 << 20, 64
+COUNTED = 1 << 24
+WORD = np.arange(256) >= 128
+WORD[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]] = True
 
 
 @dataclass
 class Bm25Index:
-    """`forward`: one row per chunk (scope, id, dl, terms, tfs, carried columns)."""
+    """`forward`: one row per chunk (scope, id, dl, terms, tfs, carried columns). `listed`, when there, is what it is counted
+    from: (scope, id, carried columns, token_text), which searches read, as they count query terms only."""
 
     forward: DataFrame
     id_col: str = "chunk_id"
+    listed: DataFrame | None = None
+
+    @property
+    def rows(self) -> DataFrame:
+        """Rows (scope, id, token_text) as searches hand them to Python: all words of a chunk in one string."""
+        if self.listed is not None:
+            return self.listed.select(SCOPE, self.id_col, "token_text")
+        repeated = F.flatten(F.zip_with("terms", "tfs", lambda term, tf: F.array_repeat(term, tf)))
+        return self.forward.select(SCOPE, self.id_col, F.array_join(repeated, " ").alias("token_text"))
+
+    def narrowed(self, cut: Callable[[DataFrame], DataFrame]) -> Bm25Index:
+        return Bm25Index(cut(self.forward), self.id_col, None if self.listed is None else cut(self.listed))
+
+    def settled(self) -> Bm25Index:
+        """With the counted rows written, for what reads all of them more than once."""
+        return self if self.listed is None else Bm25Index(materialize(self.forward, "bm25"), self.id_col, self.listed)
 
     @property
     def postings(self) -> DataFrame:
@@ -54,9 +75,32 @@ class Bm25Index:
         return self.forward.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
 
 
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all rows of a `token_text`, one after another, and the number of words before each row and at the end."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    if not len(column):
+        return pa.array([], pa.string()), np.zeros(1, dtype=np.int64)
+    _, places, data = column.buffers()
+    places = np.frombuffer(places, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, dtype=np.uint8)[places[0] : places[-1]] if places[-1] > places[0] else np.empty(0, dtype=np.uint8)
+    places = places - places[0]
+    inside = WORD[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    filled = places[1:] > places[:-1]
+    heads, ends = places[:-1][filled], places[1:][filled] - 1
+    first[heads], last[ends] = inside[heads], inside[ends]
+    starts = np.flatnonzero(first)
+    offsets = np.zeros(len(starts) + 1, dtype=np.int32)
+    np.cumsum(np.flatnonzero(last) + 1 - starts, out=offsets[1:])
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return words, np.searchsorted(starts, places)
+
+
 def _counted(listed: DataFrame) -> DataFrame:
-    """`dl`, the sorted distinct `terms` and their counts `tfs` in place of `tokens`, a batch of rows at a time."""
-    kept = [f for f in listed.schema.fields if f.name != "tokens"]
+    """`dl`, the sorted distinct `terms` and their counts `tfs` in place of `token_text`, a batch of rows at a time."""
+    kept = [f for f in listed.schema.fields if f.name != "token_text"]
     whole = T.IntegerType()
     schema = T.StructType([*kept, T.StructField("dl", whole), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(whole))])
     arrow_schema = to_arrow_schema(schema)
@@ -65,10 +109,10 @@ def _counted(listed: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens, n = batch.column("tokens"), batch.num_rows
-            none = tokens.is_null()
-            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-            words = tokens.flatten().dictionary_encode()
+            texts, n = batch.column("token_text"), batch.num_rows
+            none = texts.is_null()
+            words, starts = _words(texts)
+            lengths, words = np.diff(starts), words.dictionary_encode()
             order = pc.sort_indices(words.dictionary).to_numpy()
             place = np.empty(len(order), dtype=np.int64)
             place[order] = np.arange(len(order))
@@ -91,12 +135,13 @@ def build_bm25_index(
 ) -> Bm25Index:
     """Statistics are kept per `scope` (one knowledge base is one collection); without it there is one scope.
 
-    `carry` keeps columns for filtering. With `settle` the rows are written once, as searching reads them twice.
+    `carry` keeps columns for filtering. With `settle` the words are written once, as searching reads them twice.
     """
     scope_value = F.col(scope) if scope else F.lit(0)
-    listed = chunks.select(scope_value.alias(SCOPE), id_col, *(carry or []), X.tokens(F.col(text_col)).alias("tokens"))
-    forward = _counted(listed)
-    return Bm25Index(materialize(forward, "bm25") if settle else forward, id_col)
+    listed = chunks.select(scope_value.alias(SCOPE), id_col, *(carry or []), X.token_text(F.col(text_col)).alias("token_text"))
+    if settle:
+        listed = materialize(listed, "words")
+    return Bm25Index(_counted(listed), id_col, listed)
 
 
 def save_bm25_index(index: Bm25Index, path: str) -> None:
@@ -122,12 +167,65 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text_col: str =
     )
 
 
-def weighted_terms(queries: DataFrame, index: Bm25Index, query_id: str = "query_id") -> DataFrame:
+def _figures(index: Bm25Index, vocabulary: pa.Array) -> DataFrame:
+    """Rows (scope, term, df) of the broadcast terms alone, and for each scope a row without term (df: its chunks, dl: their
+    words, held: those that have a text). A task sends one row for each term that it met."""
+    shared = index.forward.sparkSession.sparkContext.broadcast(vocabulary)
+    fields = [T.StructField("term", T.StringType()), *(T.StructField(name, T.LongType()) for name in ("df", "dl", "held"))]
+    schema = T.StructType([T.StructField(SCOPE, index.forward.schema[SCOPE].dataType), *fields])
+    arrow_schema = to_arrow_schema(schema)
+
+    def emit(counts: dict) -> Iterator[pa.RecordBatch]:
+        for scope, (df, sums) in counts.items():
+            met = np.flatnonzero(df)
+            none = np.zeros(len(met), dtype=np.int64)
+            terms = [*shared.value.take(pa.array(met)).to_pylist(), None]
+            columns = [[scope] * len(terms), terms, np.append(df[met], sums[0]), np.append(none, sums[1]), np.append(none, sums[2])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict = {}
+        width = max(len(shared.value), 1)
+        for batch in batches:
+            scopes = batch.column(0).dictionary_encode(null_encoding="encode")
+            of_row = scopes.indices.to_numpy(zero_copy_only=False)
+            present = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            words, starts = _words(batch.column(1))
+            lengths = np.diff(starts)
+            codes = pc.index_in(words, value_set=shared.value)
+            hit = codes.is_valid().to_numpy(zero_copy_only=False)
+            key = np.sort(np.repeat(np.arange(len(lengths)), lengths)[hit] * width + codes.drop_null().to_numpy())
+            row, code = np.divmod(key[np.diff(key, prepend=-1) > 0], width)
+            for number, scope in enumerate(scopes.dictionary.to_pylist()):
+                mine = of_row == number
+                if scope not in counts:
+                    counts[scope] = np.zeros(len(shared.value), dtype=np.int64), np.zeros(3, dtype=np.int64)
+                df, sums = counts[scope]
+                df += np.bincount(code[mine[row]], minlength=len(df))
+                sums += mine.sum(), lengths[mine].sum(), present[mine].sum()
+                if len(counts) * width > COUNTED:
+                    yield from emit(counts)
+                    counts = {}
+        yield from emit(counts)
+
+    found = index.rows.select(SCOPE, "token_text").mapInArrow(count, schema)
+    return found.groupBy(SCOPE, "term").agg(*(F.sum(name).alias(name) for name in ("df", "dl", "held")))
+
+
+def weighted_terms(queries: DataFrame, index: Bm25Index, query_id: str = "query_id", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Rows (query, scope, term, avg_dl, weight). Only terms that some query has are counted in the index."""
-    wanted = query_terms(queries, query_id)
+    wanted = materialize(query_terms(queries, query_id), "wanted")
     keys = [SCOPE, "term"] if SCOPE in queries.columns else ["term"]
-    used = index.terms.join(wanted.select(*keys).distinct(), keys, "left_semi")
-    weights = used.join(index.stats, SCOPE).select(SCOPE, "term", "avg_dl", idf(F.col("n"), F.col("df")).alias("idf"))
+    if wanted.count() <= broadcast_terms:
+        vocabulary = pa.array(wanted.select("term").distinct().toArrow().column(0).to_pylist(), pa.string())
+        figures = materialize(_figures(index, vocabulary), "figures")
+        terms = figures.filter(F.col("term").isNotNull()).select(SCOPE, "term", "df")
+        stats = figures.filter(F.col("term").isNull()).select(SCOPE, F.col("df").alias("n"), F.try_divide("dl", "held").alias("avg_dl"))
+    else:
+        counted = index.settled()
+        terms, stats = counted.terms, counted.stats
+    used = terms.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    weights = used.join(stats, SCOPE).select(SCOPE, "term", "avg_dl", idf(F.col("n"), F.col("df")).alias("idf"))
     return wanted.join(weights, keys).select(
         query_id, SCOPE, "term", "avg_dl", (F.col("idf") * F.col("qtf")).alias("weight")
     )
@@ -171,16 +269,15 @@ class _Terms:
             self.scopes[value] = (terms, numbers)
 
     def score(self, block: pa.RecordBatch, best: BestK, k1: float, b: float) -> None:
-        """Score chunks (scope, id, dl, terms, tfs); each scope present only against its own query terms."""
+        """Score chunks (scope, id, token_text); each scope present only against its own query terms."""
         owner = to_numpy(block.column(0))
         for value in np.unique(owner):
             if value not in self.scopes:
                 continue
             terms, numbers = self.scopes[value]
-            limit = min(MAX_BLOCK_ROWS, max(1, BLOCK_BYTES // (8 * len(numbers))))
             mine = block.filter(pa.array(owner == value))
-            for start in range(0, mine.num_rows, limit):
-                _score_block(mine.slice(start, limit), terms, numbers, best, k1, b)
+            for start in range(0, mine.num_rows, MAX_BLOCK_ROWS):
+                _score_block(mine.slice(start, MAX_BLOCK_ROWS), terms, numbers, best, k1, b)
 
     def result(self, best: BestK, schema: pa.Schema) -> pa.RecordBatch:
         found = best.result()
@@ -201,11 +298,12 @@ def _schemas(queries: DataFrame, index: Bm25Index, query_id: str) -> tuple[T.Str
 def _scan(index: Bm25Index, weighted: pa.Table, k: int, k1: float, b: float, schemas) -> DataFrame:
     """Score every chunk against the broadcast query terms; each task emits at most k rows per query and scope."""
     spark_schema, arrow_schema = schemas
-    forward = index.forward.select(SCOPE, index.id_col, "dl", "terms", "tfs")
+    forward = index.rows
     shared = forward.sparkSession.sparkContext.broadcast(_Terms(weighted))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, best = shared.value, BestK(k)
+        terms = shared.value
+        best = BestK(k, len(terms.queries))
         for batch in batches:
             if batch.num_rows:
                 terms.score(batch, best, k1, b)
@@ -220,20 +318,21 @@ def _grid(index: Bm25Index, weighted: DataFrame, cell_terms: int, block_rows: in
     spark_schema, arrow_schema = schemas
     count = lambda df, most, name: df.groupBy(SCOPE).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
     # one row per scope; written, so that its size is known before the chunks are joined to it
-    plan = materialize(count(weighted, cell_terms, "slices").join(count(index.forward, block_rows, "blocks"), SCOPE), "cells")
+    plan = materialize(count(weighted, cell_terms, "slices").join(count(index.rows, block_rows, "blocks"), SCOPE), "cells")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
     asked = weighted.join(plan, SCOPE).withColumn("cell_q", slot(query_id, "slices")).withColumn("cell_c", every("blocks"))
-    held = index.forward.join(plan, SCOPE).withColumn("cell_c", slot(index.id_col, "blocks")).withColumn("cell_q", every("slices"))
+    held = index.rows.join(plan, SCOPE).withColumn("cell_c", slot(index.id_col, "blocks")).withColumn("cell_q", every("slices"))
     cells = [SCOPE, "cell_q", "cell_c"]
-    asked_columns, held_columns = [query_id, SCOPE, "term", "avg_dl", "weight"], [SCOPE, index.id_col, "dl", "terms", "tfs"]
+    asked_columns, held_columns = [query_id, SCOPE, "term", "avg_dl", "weight"], [SCOPE, index.id_col, "token_text"]
     left = asked.select(*cells[1:], *asked_columns).groupBy(*cells)
     right = held.select(*cells[1:], *held_columns).groupBy(*cells)
 
     def meet(terms: pa.Table, chunks: pa.Table) -> pa.Table:
         if not terms.num_rows or not chunks.num_rows:
             return arrow_schema.empty_table()
-        prepared, best = _Terms(terms.select(asked_columns)), BestK(k)
+        prepared = _Terms(terms.select(asked_columns))
+        best = BestK(k, len(prepared.queries))
         for batch in chunks.select(held_columns).to_batches():
             prepared.score(batch, best, k1, b)
         return pa.Table.from_batches([prepared.result(best, arrow_schema)])
@@ -242,26 +341,23 @@ def _grid(index: Bm25Index, weighted: DataFrame, cell_terms: int, block_rows: in
 
 
 def _score_block(block: pa.RecordBatch, scope: _ScopeTerms, numbers: np.ndarray, best: BestK, k1: float, b: float) -> None:
+    """Chunks are scored a few at a time, so that the scores of all queries stay in the cache of a core."""
     ids = to_numpy(block.column(1))
     order = np.argsort(ids, kind="stable")
-    block = block.take(pa.array(order))
-    n, terms = block.num_rows, block.column(3)
-    codes = pc.index_in(terms.flatten(), value_set=scope.vocabulary)
+    block, ids = block.take(pa.array(order)), ids[order]
+    n, (words, starts) = block.num_rows, _words(block.column(2))
+    codes = pc.index_in(words, value_set=scope.vocabulary)
     hit = codes.is_valid().to_numpy(zero_copy_only=False)
-    lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(n), lengths)[hit]
-    codes = codes.drop_null().to_numpy()
-    tf = block.column(4).flatten().to_numpy(zero_copy_only=False)[hit].astype(np.float64)
-    dl = to_numpy(block.column(2)).astype(np.float64)
-    score = _scope_scores(scope, rows, codes, tf, dl, n, len(numbers), k1, b)
-    scaled = np.rint(score * SCALE).astype(np.int64)
-    part = BestK(best.k)
-    part.add(0, scaled, ids[order], score == 0.0)
-    for slots, found, names in part.parts:
-        best.parts.append((numbers[slots], found, names))
-        best.rows += len(slots)
-    if best.rows > 1 << 20:
-        best.compact()
+    places = np.repeat(np.arange(n), np.diff(starts))[hit] * len(scope.vocabulary) + codes.drop_null().to_numpy()
+    found, counts = np.unique(places, return_counts=True)
+    rows, codes = np.divmod(found, len(scope.vocabulary))
+    tf, dl = counts.astype(np.float64), np.diff(starts).astype(np.float64)
+    step = max(LEAST_STEP, STEP_BYTES // (8 * len(numbers)))
+    for first in range(0, n, step):
+        size = min(step, n - first)
+        mine = slice(*np.searchsorted(rows, (first, first + size)))
+        score = _scope_scores(scope, rows[mine] - first, codes[mine], tf[mine], dl[first : first + size], size, len(numbers), k1, b)
+        best.add_above(numbers, score, ids[first : first + size], SCALE)
 
 
 def bm25_search(
@@ -285,12 +381,12 @@ def bm25_search(
     statistics stay those of the collection.
     """
     k = k if k > 0 else K.SEARCH_K
-    weighted = materialize(weighted_terms(queries, index, query_id), "terms")
+    weighted = materialize(weighted_terms(queries, index, query_id, broadcast_terms), "terms")
     searched = index
     if isinstance(where, DataFrame):
-        searched = Bm25Index(index.forward.join(where.select(index.id_col), index.id_col, "left_semi"), index.id_col)
+        searched = index.narrowed(lambda df: df.join(where.select(index.id_col), index.id_col, "left_semi"))
     elif where is not None:
-        searched = Bm25Index(index.forward.filter(where), index.id_col)
+        searched = index.narrowed(lambda df: df.filter(where))
     n_terms, schemas = weighted.count(), _schemas(queries, index, query_id)
     if n_terms <= broadcast_terms:
         scores = _scan(searched, weighted.toArrow(), k, k1, b, schemas)

@@ -65,7 +65,7 @@ def build_postings(
     index: Bm25Index, path: str | None = None, buckets: int = BUCKETS, block: int = BLOCK_POSTINGS, k1: float = K.BM25_K1, b: float = K.BM25_B,
 ) -> PostingsIndex:
     """Invert a forward index and store it below `path`."""
-    spark = index.forward.sparkSession
+    spark, index = index.forward.sparkSession, index.settled()
     path = path or scratch_path(spark, "postings")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")

@@ -24,10 +24,13 @@ def to_numpy(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 class BestK:
-    def __init__(self, k: int) -> None:
+    """`floors` holds the k-th best score known of each of `queries` queries, for `add_above`."""
+
+    def __init__(self, k: int, queries: int = 0) -> None:
         self.k = k
+        self.floors = np.full(queries, -np.inf)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.rows = 0
+        self.rows = self.most = 0
 
     def add(self, first: int, score: np.ndarray, ids: np.ndarray, skip: np.ndarray | None = None) -> None:
         """Scores of queries `first`, `first + 1`, ... (rows) for corpus rows in ascending id order (columns)."""
@@ -69,6 +72,24 @@ class BestK:
         skip = score == -np.inf
         self.add(first, np.rint(np.where(skip, 0.0, score) * scale).astype(np.int64), ids, skip)
 
+    def add_above(self, queries: np.ndarray, score: np.ndarray, ids: np.ndarray, scale: int) -> None:
+        """Scores of the numbered `queries` (rows) before scaling, those of 0 left out. Only what may reach the k-th best score
+        known of its query is scaled and ordered."""
+        near = (score != 0.0) & (score >= (self.floors[queries] - 1.0)[:, None] / scale)
+        if np.count_nonzero(near) <= self.k * len(queries):
+            rows, columns = np.nonzero(near)
+            found = queries[rows], np.rint(score[rows, columns] * scale).astype(np.int64), ids[columns]
+        else:
+            part = BestK(self.k)
+            part.add(0, np.rint(score * scale).astype(np.int64), ids, ~near)
+            rows, scaled, names = part.parts[0]
+            found = queries[rows], scaled, names
+        self.parts.append(found)
+        self.rows += len(found[0])
+        if self.rows > self.most:
+            self.compact()
+            self.most = min(2 * self.rows + COMPACT_ROWS // 64, COMPACT_ROWS + self.rows)
+
     def compact(self) -> None:
         if not self.parts:
             return
@@ -77,7 +98,11 @@ class BestK:
         order = np.lexsort((ordinal, -score, rows))
         rows, score, ids = rows[order], score[order], ids[order]
         starts = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - starts < self.k
+        place = np.arange(len(rows)) - starts
+        keep = place < self.k
+        if len(self.floors):
+            last = place == self.k - 1
+            self.floors[rows[last]] = score[last]
         self.parts = [(rows[keep], score[keep], ids[keep])]
         self.rows = int(keep.sum())
 

@@ -11,8 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagery.functions.filters import filter_expr
+from passagery.functions.text import tokens
 from passagery.operators import fusion as X, keyword as B, postings as PO, vector as V
 from passagery.operators.embedding import embed
+from passagery.operators.topk import BestK
 from passagery.workload import load_all
 from passagery.workload.registry import QUERIES
 from tests.conftest import DATA
@@ -367,3 +369,35 @@ def test_index_rows_hold_sorted_terms_and_their_counts(spark):
     assert [tuple(r)[3:] for r in forward.orderBy("chunk_id").collect()] == [
         (5, ["a", "ab", "b"], [1, 1, 3]), (0, [], []), (None, None, None), (4, ["a", "z", "é"], [1, 1, 2]), (0, [], []), (700, ["a"], [700])]
     assert "MapInArrow" in B.build_bm25_index(chunks, settle=False).forward._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_is_made_without_python_and_searches_count_the_words_of_queries_only(spark):
+    """The words stored for a search are those of the regular expression, whatever else a text holds."""
+    texts = ["Ab-c 1٣x_y", "É È—ß…z​İK", "日本、語 \U0001d400\U0001f600a", "", " .,\t\n", "áb ①½ x" * 2, None, "plain ascii, twice ascii"]
+    chunks = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    index = B.build_bm25_index(chunks)
+    assert index.rows.columns == ["scope", "chunk_id", "token_text"]
+    assert "MapInArrow" not in index.rows._jdf.queryExecution().executedPlan().toString()
+    listed = dict(chunks.select("chunk_id", tokens(F.col("text"))).collect())
+    for name, dl, terms, tfs in index.forward.select("chunk_id", "dl", "terms", "tfs").collect():
+        words = listed[name]
+        assert (dl, terms, tfs) == ((None, None, None) if words is None else (
+            len(words), sorted(set(words), key=str.encode), [words.count(w) for w in sorted(set(words), key=str.encode)]))
+    asked = spark.createDataFrame([(1, "ascii É x 語 nowhere")], "query_id int, text string")
+    stored = B.Bm25Index(index.forward)
+    few, many, again = (sorted(map(tuple, B.weighted_terms(asked, i, broadcast_terms=n).collect())) for i, n in ((index, 99), (index, 0), (stored, 99)))
+    assert few == many == again and len(few) == 4
+
+
+def test_what_cannot_reach_the_best_rows_known_is_left_out_of_them():
+    rng = np.random.default_rng(5)
+    score = np.where(rng.random((3, 900)) < 0.5, 0.0, np.round(rng.random((3, 900)), 2))
+    ids = np.array([f"{i:04d}" for i in rng.permutation(900)])
+    best = BestK(7, 4)
+    for start in range(0, 900, 50):
+        order = np.argsort(ids[start : start + 50]) + start
+        best.add_above(np.array([0, 2, 3]), score[:, order], ids[order], 10**6)
+    rows, found, names = best.result()
+    for slot, row in zip((0, 2, 3), score):
+        mine = sorted((-round(s * 10**6), i) for s, i in zip(row, ids) if s)[:7]
+        assert [(-s, n) for s, n in zip(found[rows == slot], names[rows == slot])] == mine
