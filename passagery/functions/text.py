@@ -56,8 +56,8 @@ def split_paragraphs(cleaned: Column) -> Column:
 
 
 def split_oversized(text: Column, limit: int) -> Column:
-    """Cut at the last sentence end inside each window of `limit` characters, else hard."""
-    pattern = f"(?s).{{1,{limit}}}\\z|.{{0,{limit - 1}}}[{K.SENTENCE_ENDS}]|.{{1,{limit}}}"
+    """Cut at the last sentence end inside each window of `limit` characters, else hard. A window is read forward once."""
+    pattern = f"(?s).{{1,{limit}}}(?:\\z|(?<=[{K.SENTENCE_ENDS}]))|.{{1,{limit}}}"
     pieces = F.regexp_extract_all(text, F.lit(pattern), 0)
     return F.filter(F.transform(pieces, trim_control), lambda p: p != "")
 

@@ -202,7 +202,7 @@ HIER_BM = (
 @query(HIER_BM + """ SELECT r.query_id, r.chunk_id, r.rank, md5(p.text) AS text_md5, true AS parent_enhanced
 FROM r JOIN chunks c USING (chunk_id) JOIN chunks p ON p.chunk_id = c.pid""")
 def parent_texts(t: Tables):
-    corpus = materialize(hierarchical_corpus(t), "chunks")
+    corpus = materialize(C.chunk_hierarchical(multi_part_texts(t)), "chunks")
     kids = corpus.filter(F.col("chunk_type") == "child")
     hits = bm25_search(base.benchmark_queries(t), build_bm25_index(kids), 5)
     rows = P.attach(hits, corpus, ["text", "chunk_type", "parent_chunk_id"])

@@ -401,3 +401,13 @@ def test_what_cannot_reach_the_best_rows_known_is_left_out_of_them():
     for slot, row in zip((0, 2, 3), score):
         mine = sorted((-round(s * 10**6), i) for s, i in zip(row, ids) if s)[:7]
         assert [(-s, n) for s, n in zip(found[rows == slot], names[rows == slot])] == mine
+
+
+def test_parent_texts_writes_no_hash_that_it_never_reads(spark, monkeypatch):
+    from passagery.workload import fusion as W
+
+    load_all()
+    written, write = [], W.materialize
+    monkeypatch.setattr(W, "materialize", lambda df, label: written.append(df.columns) or write(df, label))
+    assert QUERIES["parent_texts"](spark, DATA).count()
+    assert [columns for columns in written if "text_hash" in columns] == [] and "chunk_id" in written[0]
