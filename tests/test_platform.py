@@ -313,3 +313,18 @@ def test_written_files_share_folders_and_come_back_whole(spark, tmp_path):
     known = [(f"{x or ''}\n", None if x and x.strip() else "no text in file") for x in texts] + [(None, "no text in file")]
     assert sorted(got, key=str) == sorted(known, key=str)
     assert files.write_directory(rows.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_folders_are_listed_in_tasks_and_empty_or_unfinished_files_are_told_apart(spark, tmp_path):
+    assert files.write_directory(spark.range(40).select(F.col("id").cast("string").alias("text")), f"file://{tmp_path}/a b", shelves=4) == 40
+    (tmp_path / "a b" / "shelf=1" / "_0-1.7").write_text("cut")
+    (tmp_path / "a b" / "shelf=1" / "empty.txt").touch()
+    back = files.read_directory(spark, str(tmp_path / "a b" / "shelf=*"))
+    assert back.inputFiles() == []  # the driver knows no file
+    got = [(r.text, r.success, r.message) for r in back.collect()]
+    assert sorted(got) == sorted([(f"{i}\n", True, None) for i in range(40)] + [("", False, "no text in file")])
+    one = files.read_directory(spark, f"file:{tmp_path}/a b/shelf=1/empty.txt").select("file_name", "file_size").collect()
+    assert [tuple(r) for r in one] == [("empty.txt", 0)]
+    assert files.read_directory(spark, str(tmp_path / "none" / "shelf=*")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.read_directory(spark, str(tmp_path / "none"))
