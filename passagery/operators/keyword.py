@@ -212,6 +212,15 @@ def _figures(index: Bm25Index, vocabulary: pa.Array) -> DataFrame:
     return found.groupBy(SCOPE, "term").agg(*(F.sum(name).alias(name) for name in ("df", "dl", "held")))
 
 
+def _stats(figures: DataFrame) -> DataFrame:
+    return figures.filter(F.col("term").isNull()).select(SCOPE, F.col("df").alias("n"), F.try_divide("dl", "held").alias("avg_dl"))
+
+
+def scope_stats(index: Bm25Index) -> DataFrame:
+    """The same rows as `index.stats`, without the terms of chunks where only their words are stored."""
+    return index.stats if index.listed is None else _stats(_figures(index, pa.array([], pa.string())))
+
+
 def weighted_terms(queries: DataFrame, index: Bm25Index, query_id: str = "query_id", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Rows (query, scope, term, avg_dl, weight). Only terms that some query has are counted in the index."""
     wanted = materialize(query_terms(queries, query_id), "wanted")
@@ -220,7 +229,7 @@ def weighted_terms(queries: DataFrame, index: Bm25Index, query_id: str = "query_
         vocabulary = pa.array(wanted.select("term").distinct().toArrow().column(0).to_pylist(), pa.string())
         figures = materialize(_figures(index, vocabulary), "figures")
         terms = figures.filter(F.col("term").isNotNull()).select(SCOPE, "term", "df")
-        stats = figures.filter(F.col("term").isNull()).select(SCOPE, F.col("df").alias("n"), F.try_divide("dl", "held").alias("avg_dl"))
+        stats = _stats(figures)
     else:
         counted = index.settled()
         terms, stats = counted.terms, counted.stats

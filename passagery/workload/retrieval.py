@@ -144,7 +144,7 @@ def stored_postings(t: Tables):
     """Every term as its stored blocks hold it."""
     tfs = F.aggregate("tfs", F.lit(0).cast("long"), lambda total, n: total + n)
     return base.corpus_postings(t).blocks.groupBy("term").agg(
-        F.sum(tfs).alias("total_tf"), F.sum(F.size("ids")).alias("df"), F.max(F.array_max("tfs")).alias("most"))
+        F.sum(tfs).alias("total_tf"), F.sum(F.size("places")).alias("df"), F.max(F.array_max("tfs")).alias("most"))
 
 
 @query(S.retrieval(S.bm25(), S.top("bm", 10, "r")) + " SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r")

@@ -411,3 +411,19 @@ def test_parent_texts_writes_no_hash_that_it_never_reads(spark, monkeypatch):
     monkeypatch.setattr(W, "materialize", lambda df, label: written.append(df.columns) or write(df, label))
     assert QUERIES["parent_texts"](spark, DATA).count()
     assert [columns for columns in written if "text_hash" in columns] == [] and "chunk_id" in written[0]
+
+
+def test_postings_hold_places_and_not_the_ids_of_chunks(spark, tmp_path):
+    """Ids of 32 characters are stored once a chunk; the ids come back, with ties in their order, and counts above two bytes hold."""
+    draw = np.random.default_rng(9)
+    texts = [" ".join(draw.choice([f"w{i}" for i in range(80)], 40)) for _ in range(600)] + ["w1 w2"] * 7 + ["w3 " * 70_000]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "n long, text string").select(F.md5(F.col("n").cast("string")).alias("chunk_id"), "text")
+    forward = B.build_bm25_index(chunks)
+    index = PO.build_postings(forward, str(tmp_path / "index"), buckets=2)
+    held = index.blocks.select(F.sum(F.size("places"))).first()[0]
+    assert sum(p.stat().st_size for p in (tmp_path / "index" / "blocks").rglob("*.parquet")) < 4 * held + 64 * len(texts)
+    assert index.names.select(F.explode("names")).distinct().count() == len(texts) and dict(index.stored.dtypes)["places"] == "array<smallint>"
+    assert index.blocks.filter("term = 'w3'").select(F.max(F.array_max("tfs"))).first()[0] == 70_000
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w3"), (3, "w4 w5 w6")], "query_id long, text string")
+    row = lambda r: (r.query_id, r["rank"], r.chunk_id, round(r.score, 5))
+    assert sorted(map(row, PO.postings_search(asked, index, 9).collect())) == sorted(map(row, B.bm25_search(asked, forward, 9).collect()))
