@@ -12,7 +12,7 @@ A search first adds up the least gains of the best levels. The k-th partial scor
 result. Terms whose greatest gains together stay below the floor cannot lift a chunk into the result alone (they are
 not essential), and a level of an essential term is left out where its own best and the best of all other terms stay
 below it. What remains names the candidates, less those that even the best of all that was left out cannot lift to the
-floor; only they are scored in full. The result is that of a full scan. Blocks meet the terms of all queries shard by
+floor, or to the k-th best partial score of their shard; only they are scored in full. The result is that of a full scan. Blocks meet the terms of all queries shard by
 shard, so a block is sent once, not once a query, and no pair of a query and a posting leaves a task.
 """
 
@@ -219,7 +219,7 @@ def postings_search(queries: DataFrame, index: PostingsIndex, k: int = K.SEARCH_
     essential = lists.join(lowest, [SCOPE, "term"]).filter(F.col("level") >= F.col("low")).drop("low")
     sent = asking.crossJoin(index.shards).select(*cell, *slot, "term", "avg_dl", "weight", "low", "cap", "rest", "floor")
     named = with_names(essential).cogroup(sent.filter("low IS NOT NULL").groupBy(*cell))
-    candidates = materialize(named.applyInArrow(_candidates(query_id, fields, index.k1, index.b), fields), "candidates")
+    candidates = materialize(named.applyInArrow(_candidates(query_id, fields, k, index.k1, index.b), fields), "candidates")
 
     scored = T.StructType([*fields.fields[:-1], T.StructField("id", index.stored.schema["names"].dataType.elementType), T.StructField("score", T.DoubleType())])
     known = candidates.withColumn("slice", F.pmod(F.xxhash64(*slot), slices).cast("int"))
@@ -262,8 +262,8 @@ def _found(schema: pa.Schema, parts: list) -> pa.Table:
     return pa.concat_tables([schema.empty_table(), *tables])
 
 
-def _candidates(query_id: str, schema: T.StructType, k1: float, b: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Chunks of a shard that the essential levels name and that may reach the floor."""
+def _candidates(query_id: str, schema: T.StructType, k: int, k1: float, b: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Chunks of a shard that the essential levels name and that may reach the floor and the best k of the shard."""
     arrow_schema = to_arrow_schema(schema)
 
     def meet(blocks: pa.Table, asking: pa.Table) -> pa.Table:
@@ -271,14 +271,18 @@ def _candidates(query_id: str, schema: T.StructType, k1: float, b: float) -> Cal
             return arrow_schema.empty_table()
         lists, out = _Lists(blocks), []
         for (query, scope), rows in asking.to_pandas().groupby([query_id, SCOPE], sort=False):
-            most, seen = np.full(len(lists.dls), rows["rest"].iloc[0]), np.zeros(len(lists.dls), dtype=bool)
+            sure, most = np.zeros(len(lists.dls)), np.full(len(lists.dls), rows["rest"].iloc[0])
+            seen = np.zeros(len(lists.dls), dtype=bool)
             for row in rows.itertuples():
                 places, part, levels = lists.parts(scope, row.term, row.avg_dl, row.weight, k1, b)
                 met = levels >= row.low
                 places, part = places[met], part[met]
                 most[places] += part - row.cap
+                sure[places] += part
                 seen[places] = True
             floor, found = rows["floor"].iloc[0], np.flatnonzero(seen)
+            if len(found) > k:
+                floor = max(floor, np.partition(sure[found], len(found) - k)[len(found) - k] - SLACK)
             out.append((query, scope, lists.shard, found[most[found] >= floor - 1e-9], ()))
         return _found(arrow_schema, out)
 

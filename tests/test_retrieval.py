@@ -427,3 +427,19 @@ def test_postings_hold_places_and_not_the_ids_of_chunks(spark, tmp_path):
     asked = spark.createDataFrame([(1, "w1 w2"), (2, "w3"), (3, "w4 w5 w6")], "query_id long, text string")
     row = lambda r: (r.query_id, r["rank"], r.chunk_id, round(r.score, 5))
     assert sorted(map(row, PO.postings_search(asked, index, 9).collect())) == sorted(map(row, B.bm25_search(asked, forward, 9).collect()))
+
+
+def test_candidates_of_a_shard_are_cut_by_its_own_best(spark):
+    """Every chunk names the terms of the query, but few can reach the best k of their shard."""
+    draw = np.random.default_rng(4)
+    texts = [" ".join(draw.choice([f"w{i}" for i in range(60)], 30)) for _ in range(2000)]
+    forward = B.build_bm25_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"))
+    index, seen = PO.build_postings(forward), []
+    asked = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)))], "query_id long, text string")
+    original, PO.materialize = PO.materialize, lambda df, label: seen.append((label, original(df, label))) or seen[-1][1]
+    try:
+        hits = [(r["rank"], r.chunk_id) for r in PO.postings_search(asked, index, 5).collect()]
+    finally:
+        PO.materialize = original
+    assert sorted(hits) == sorted((r["rank"], r.chunk_id) for r in B.bm25_search(asked, forward, 5).collect())
+    assert dict(seen)["candidates"].count() <= 300
