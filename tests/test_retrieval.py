@@ -443,3 +443,43 @@ def test_candidates_of_a_shard_are_cut_by_its_own_best(spark):
         PO.materialize = original
     assert sorted(hits) == sorted((r["rank"], r.chunk_id) for r in B.bm25_search(asked, forward, 5).collect())
     assert dict(seen)["candidates"].count() <= 300
+
+
+def test_equal_vectors_are_searched_once_and_all_of_them_are_found(spark, monkeypatch):
+    asked, corpus = frames(spark)
+    twice = asked.unionAll(asked.withColumn("query_id", F.col("query_id") + 100))
+    monkeypatch.setattr(V, "FOLD_QUERIES", 1)
+    met, scan = [], V._scan
+    monkeypatch.setattr(V, "_scan", lambda table, c, *more: met.append((table.num_rows, c.count())) or scan(table, c, *more))
+    for k in (1, 6, 400):
+        rows = V.vector_search(twice, corpus, k).collect()
+        known = brute(k)
+        assert {(r["query_id"], r["rank"]): r["chunk_id"] for r in rows} == known | {(q + 100, rank): c for (q, rank), c in known.items()}
+    assert set(met) == {(40, 200)}
+
+
+def test_queries_in_slices_equal_brute_force_and_a_threshold_only_drops_lower_scores(spark, monkeypatch):
+    asked, corpus = frames(spark)
+    monkeypatch.setattr(V, "LEAST_SLICE", 1)
+    met, scan = [], V._scan
+    monkeypatch.setattr(V, "_scan", lambda table, *more: met.append(table.num_rows) or scan(table, *more))
+    row = lambda r: (r["query_id"], r["rank"], r["chunk_id"], r["score"])
+    whole = sorted(map(row, V.vector_search(asked, corpus, 6, broadcast_bytes=8 * DIM * 10).collect()))
+    assert {x[:2]: x[2] for x in whole} == brute(6) and len(met) == 4 and sum(met) == 40
+    cut = [row(r) for r in V.vector_search(asked, corpus, 6, least=0.8).collect() if r["score"] >= 0.8]
+    assert 0 < len(cut) < len(whole) and sorted(cut) == [x for x in whole if x[3] >= 0.8]
+
+
+def test_small_blocks_of_a_scope_keep_few_pairs():
+    """Blocks of fewer strips than k rows take a floor as well, and what a task holds is cut long before a million pairs."""
+    draw = np.random.default_rng(8)
+    queries, vectors = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (draw.normal(size=(300, 16)), draw.normal(size=(20_000, 16))))
+    best, ids = V._Best(np.arange(300), queries, 8, False), np.array([f"{i:06d}" for i in range(20_000)], dtype=object)
+    most = 0
+    for start in range(0, 20_000, 500):
+        best.add(ids[start : start + 500], vectors[start : start + 500])
+        most = max(most, best.best.rows)
+    rows, score, names = best.best.result()
+    full = np.rint(queries @ vectors.T * V.SCALE).astype(np.int64)
+    assert sorted(zip(rows.tolist(), score.tolist())) == sorted((q, s) for q in range(300) for s in np.sort(full[q])[-8:].tolist())
+    assert most < 40_000 and all(full[q, int(name)] == s for q, s, name in zip(rows, score, names))
