@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -483,3 +484,24 @@ def test_small_blocks_of_a_scope_keep_few_pairs():
     full = np.rint(queries @ vectors.T * V.SCALE).astype(np.int64)
     assert sorted(zip(rows.tolist(), score.tolist())) == sorted((q, s) for q in range(300) for s in np.sort(full[q])[-8:].tolist())
     assert most < 40_000 and all(full[q, int(name)] == s for q, s, name in zip(rows, score, names))
+
+
+def test_frequent_terms_name_no_chunks_once_floors_are_known(spark, monkeypatch):
+    """Terms that cannot lift a chunk are added up for chunks that the rare terms name only; the result is that of all sums."""
+    draw = np.random.default_rng(6)
+    words, share = np.array([f"w{i}" for i in range(400)]), 1 / np.arange(1, 401)
+    texts = [" ".join(draw.choice(words, 60, p=share / share.sum())) for _ in range(1500)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").coalesce(1)
+    asked = spark.createDataFrame([(q, " ".join(draw.choice(words, 12, p=share / share.sum()))) for q in range(30)], "query_id long, text string")
+    index = B.build_bm25_index(chunks)
+    terms = B._Terms(B.weighted_terms(asked, index).toArrow())
+    rows = pa.RecordBatch.from_pandas(index.rows.toPandas())
+    best, plain = BestK(5, len(terms.queries)), BestK(5, len(terms.queries))
+    added, dense = [], B._dense_scores
+    monkeypatch.setattr(B, "_dense_scores", lambda *args: added.append((args[0].starts[-1], len(args[2]))) or dense(*args))
+    for start in range(0, 1500, 300):
+        terms.score(rows.slice(start, 300), best, 1.2, 0.75)
+    monkeypatch.setattr(B, "MOST_NEAR", 1 << 40)  # always all sums
+    terms.score(rows, plain, 1.2, 0.75)
+    assert all((x == y).all() for x, y in zip(best.result(), plain.result()))
+    assert min(n for n, _ in added) < max(n for n, _ in added) / 2
